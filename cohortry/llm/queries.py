@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from cohortry.llm import mixing, quality, sharding
+from cohortry.llm import language, mixing, quality, sharding
 
-QUERIES = {f.__name__: f for f in (sharding.op2_feistel_shards, mixing.op7_hypergeometric_mix, quality.op8_host_rules)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        sharding.op2_feistel_shards,
+        language.op4_byte_network,
+        mixing.op7_hypergeometric_mix,
+        quality.op8_host_rules,
+    )
+}
 ORACLE_SQL = {"op8_host_rules": quality.ORACLE_SQL}
