@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortry.llm import language, mixing, quality, sharding
+from cohortry.llm import language, minhash, mixing, quality, sharding
 
 QUERIES = {
     f.__name__: f
@@ -11,6 +11,7 @@ QUERIES = {
         language.op4_byte_network,
         mixing.op7_hypergeometric_mix,
         quality.op8_host_rules,
+        minhash.op9_circulant_minhash,
     )
 }
 ORACLE_SQL = {"op8_host_rules": quality.ORACLE_SQL}
