@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortry.llm import language, minhash, mixing, quality, sharding
+from cohortry.llm import decontamination, language, minhash, mixing, quality, sharding
 
 QUERIES = {
     f.__name__: f
@@ -10,8 +10,9 @@ QUERIES = {
         sharding.op2_feistel_shards,
         language.op4_byte_network,
         mixing.op7_hypergeometric_mix,
+        decontamination.op6_prefix_join,
         quality.op8_host_rules,
         minhash.op9_circulant_minhash,
     )
 }
-ORACLE_SQL = {"op8_host_rules": quality.ORACLE_SQL}
+ORACLE_SQL = {"op6_prefix_join": decontamination.ORACLE_SQL, "op8_host_rules": quality.ORACLE_SQL}

@@ -1,5 +1,70 @@
-"""A corpus pipeline."""
-STAGES = []
+"""A corpus pipeline: language ID, near-duplicate removal, benchmark decontamination, mixing to weights, sharding.
+
+Each stage is one operator over all that its predecessor kept. Every stage but the last returns the columns of
+``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cohortry.llm.common import table, written
+from cohortry.llm.decontamination import contamination
+from cohortry.llm.language import UNKNOWN, fit_network, identify_languages
+from cohortry.llm.minhash import near_duplicates
+from cohortry.llm.mixing import mixed_documents
+from cohortry.llm.sharding import document_shards
+
+#: A document is rejected if no language can be told or the best one is less likely than this.
+LEAST_SCORE = 0.3
+#: Ids of dropped documents that are broadcast at most (8 bytes each).
+MOST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
+    """``docs`` less the rows whose doc_id is in ``dropped``; texts are shuffled only if the ids are too many."""
+    ids = written(dropped.select(F.col("doc_id").alias("_id")).distinct(), name)
+    few = F.broadcast(ids) if ids.count() <= MOST_IDS else ids
+    return docs.join(few, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+
+
+def told_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    told = identify_languages(docs, fit_network(docs), docs.columns)
+    return told.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without(docs, near_duplicates(docs).filter("not kept"), "dropped-near")
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated")
+    return without(docs, found, "dropped-benchmark")
+
+
+def mixed_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixed_documents(docs).select(*docs.columns)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return document_shards(docs)
+
+
+STAGES = [
+    ("language", told_language),
+    ("near_duplicates", without_near_copies),
+    ("decontamination", without_benchmark),
+    ("mixing", mixed_to_weights),
+    ("sharding", sharded),
+]
+
+#: A trained network, hashed signatures and hashed draws can't be written as SQL; tests compare with brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
