@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortry.llm import decontamination, language, minhash, mixing, quality, sharding
+from cohortry.llm import decontamination, language, minhash, mixing, quality, secrets, sharding, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -10,9 +10,11 @@ QUERIES = {
         sharding.op2_feistel_shards,
         language.op4_byte_network,
         mixing.op7_hypergeometric_mix,
+        toxicity.op5_lexicon_toxicity,
         decontamination.op6_prefix_join,
         quality.op8_host_rules,
         minhash.op9_circulant_minhash,
+        secrets.op10_keyword_secrets,
     )
 }
 ORACLE_SQL = {"op6_prefix_join": decontamination.ORACLE_SQL, "op8_host_rules": quality.ORACLE_SQL}
