@@ -1,6 +1,6 @@
 """Language identification by a byte convolutional network, trained in numpy and applied to fixed-length windows.
 
-Network: one-hot bytes, filters of several widths, max pooling over the window, ReLU, linear layer, softmax. It learns
+Network: one-hot bytes of the lower-case text, filters of several widths, max pooling over the window, ReLU, linear layer, softmax. It learns
 from a bounded sample of labelled rows (``SAMPLE`` windows, one of each sampled row) and reads every window of every
 text. A document's logits are the mean over its windows, each weighing as many bytes as it holds.
 
@@ -27,7 +27,7 @@ WIDTHS = (2, 3, 4)
 FILTERS = 8
 #: Labelled rows to learn from, at most; the driver gets one window of each.
 SAMPLE = 6000
-EPOCHS, BATCH, RATE = 5, 64, 0.01
+STEPS, BATCH, RATE = 600, 64, 0.01
 #: Windows in one numpy step.
 STEP = 1024
 UNKNOWN = "und"
@@ -59,7 +59,7 @@ def training_sample(docs: DataFrame, limit: int = SAMPLE, seed: int = 3) -> tupl
         .collect()
     )
     rows = [r for r in rows if LETTER.search(r.piece)]
-    pieces = [windows_of(r.piece.encode()[:WINDOW]) for r in rows]
+    pieces = [windows_of(r.piece.lower().encode()[:WINDOW]) for r in rows]
     return (np.concatenate(pieces) if pieces else np.zeros((0, WINDOW), np.uint8)), [r.lang for r in rows]
 
 
@@ -77,17 +77,13 @@ class ByteNetwork:
     def train(self, x: np.ndarray, y: np.ndarray, seed: int = 9) -> None:
         rng, held = np.random.default_rng(seed), {}
         params = [*self.filters.values(), self.bias, self.out, self.out_bias]
-        for t in range(EPOCHS):
-            order = rng.permutation(len(x))
-            for lo in range(0, len(x), BATCH):
-                at = order[lo : lo + BATCH]
-                grads = self._gradients(x[at], y[at])
-                for k, (p, g) in enumerate(zip(params, grads, strict=True)):
-                    m, v, n = held.get(k, (np.zeros_like(p), np.zeros_like(p), 0))
-                    m, v, n = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, n + 1
-                    held[k] = m, v, n
-                    step = RATE / (1 + t) * np.sqrt(1 - 0.999**n) / (1 - 0.9**n)
-                    p -= (step * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
+        for n in range(1, STEPS + 1):
+            at = rng.integers(0, len(x), BATCH)
+            for k, (p, g) in enumerate(zip(params, self._gradients(x[at], y[at]), strict=True)):
+                m, v = held.get(k, (np.zeros_like(p), np.zeros_like(p)))
+                held[k] = m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+                step = RATE * (1 - 0.9 * n / STEPS) * np.sqrt(1 - 0.999**n) / (1 - 0.9**n)
+                p -= (step * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
 
     def _gradients(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
         n, rows, places, pooled = len(x), np.arange(len(x))[:, None], [], []
@@ -196,7 +192,7 @@ def identify_languages(docs: DataFrame, net: ByteNetwork | None, keep: list[str]
                 langs.append(UNKNOWN)
                 scores.append(0.0)
                 if reader and t and LETTER.search(t):
-                    group.append(t.encode())
+                    group.append(t.lower().encode())
                     held.append(k)
                     size += len(group[-1])
                     if size >= STEP * WINDOW:

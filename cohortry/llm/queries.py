@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from cohortry.llm import decontamination, language, minhash, mixing, quality, secrets, sharding, toxicity
+from cohortry.llm import chat, decontamination, language, licenses, minhash, mixing, quality, secrets, sharding, toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
+        chat.op1_preference_pairs,
         sharding.op2_feistel_shards,
+        licenses.op3_rare_token_licenses,
         language.op4_byte_network,
         mixing.op7_hypergeometric_mix,
         toxicity.op5_lexicon_toxicity,
@@ -17,4 +19,8 @@ QUERIES = {
         secrets.op10_keyword_secrets,
     )
 }
-ORACLE_SQL = {"op6_prefix_join": decontamination.ORACLE_SQL, "op8_host_rules": quality.ORACLE_SQL}
+ORACLE_SQL = {
+    "op1_preference_pairs": chat.ORACLE_SQL,
+    "op6_prefix_join": decontamination.ORACLE_SQL,
+    "op8_host_rules": quality.ORACLE_SQL,
+}
