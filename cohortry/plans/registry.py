@@ -1,4 +1,10 @@
 """All queries on whole tables and their SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from cohortry.plans import sales_queries, share_queries
+
+_ALL = {**sales_queries.QUERIES, **share_queries.QUERIES}
+QUERIES = {name: f for name, (f, _) in _ALL.items()}
+ORACLE_SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}
+flagship = sales_queries.widget_sales
