@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cohortry.plans import sales_queries, share_queries
+from cohortry.plans import path_queries, sales_queries, share_queries
 
-_ALL = {**sales_queries.QUERIES, **share_queries.QUERIES}
+_ALL = {**sales_queries.QUERIES, **share_queries.QUERIES, **path_queries.QUERIES}
 QUERIES = {name: f for name, (f, _) in _ALL.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}
 flagship = sales_queries.widget_sales
