@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortry.functions import text
 from cohortry.operators import matrix, paths
+from cohortry.operators.filters import in_states
 from cohortry.sources import dimensions as dim
 from cohortry.sources import html_fields, sinks, tables
 
@@ -48,7 +49,7 @@ w AS (SELECT *, {_WEIGHT} AS kg FROM paths),
 q AS (SELECT *, CASE state WHEN 'articular_bleeding' THEN 25.0 * kg * 1 WHEN 'minor_bleeding' THEN (0.05 * 31.5 + 0.1 * 25.0) / 0.15 * kg * 1
       WHEN 'inhibitor' THEN (0.05 * 31.5 + 0.1 * 25.0) / 0.15 * kg * 1
       WHEN 'life_treating_bleeding' THEN (0.015 * 32.0 + 0.01 * 35.0 + 0.02 * 45.0) / 0.045 * kg * 3 ELSE 0.0 END::DOUBLE AS raw FROM w),
-doses AS (SELECT regime, stage, run_id, step, state, raw AS dose, raw * 58000 AS cost FROM q)
+doses AS (SELECT regime, stage, run_id, step, state, round_even(raw, 2) AS dose, round_even(raw * 58000, 2) AS cost FROM q)
 """
 
 
@@ -190,8 +191,6 @@ WITH {_PATHS}, {_SHARES} SELECT stage, step, state, round(max(share) FILTER (reg
 def bleeding_steps(spark: SparkSession, d: str) -> DataFrame:
     """Steps in a bleeding state, by a semi-join with the stage dimension cut to such states."""
     bleeds = dim.stage_states(spark).filter(F.col("state").isin(*dim.BLEEDING))
-    from cohortry.operators.filters import in_states
-
     return in_states(_paths(spark, d), bleeds).groupBy("regime", "state").agg(F.count("*").alias("n"))
 
 

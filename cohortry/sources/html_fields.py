@@ -43,7 +43,7 @@ class _Listing(HTMLParser):
         if "searchRow" in names:
             self.block += 1
         node["inside"] = "searchRow" in names or bool(self.open and self.open[-1][1]["inside"])
-        node["row"] = "row" in names or bool(self.open and self.open[-1][1]["row"])
+        node["row"] = bool(self.open and (self.open[-1][1]["row"] or "row" in self.open[-1][1]["names"]))
         node["title"] = next((f for c, f in TITLES.items() if tag == "span" and c in names), None)
         self.open.append((tag, node))
 
