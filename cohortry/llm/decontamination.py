@@ -134,7 +134,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         matched.select("doc_id", "print", "win").distinct().join(owners.filter("item_id is not null"), "win")
         .groupBy("doc_id", "print").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     )
-    found = covered.join(listed, ["doc_id", "print"], "left")
+    listed = listed.select(F.col("doc_id").alias("d"), F.col("print").alias("p"), "items")
+    found = covered.join(listed, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("print").eqNullSafe(F.col("p")), "left")
     same = [rows[c].eqNullSafe(found[c]) for c in ("doc_id", "print")]
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     items = F.coalesce("items", F.array().cast("array<string>"))

@@ -170,12 +170,13 @@ def fit_network(docs: DataFrame, limit: int = SAMPLE) -> ByteNetwork | None:
     return net
 
 
-def identify_languages(docs: DataFrame, net: ByteNetwork | None, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of each row, with ``lang_pred`` and ``score``; ``docs`` needs a ``text`` column."""
-    keep = [c for c in keep if c not in ("lang_pred", "score")]
+def identify_languages(
+    docs: DataFrame, net: ByteNetwork | None, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """The columns ``keep`` of each row, with prediction and score under ``names``; ``docs`` needs a ``text`` column."""
+    keep = [c for c in keep if c not in names]
     schema = T.StructType(
-        [docs.schema[c] for c in keep]
-        + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+        [docs.schema[c] for c in keep] + [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
     )
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +202,7 @@ def identify_languages(docs: DataFrame, net: ByteNetwork | None, keep: list[str]
             if group:
                 flush(group, held, langs, scores)
             columns = [batch.column(c) for c in keep] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(predict, schema)
 

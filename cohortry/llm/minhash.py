@@ -5,10 +5,10 @@ places, and coordinate k is the smallest value k places further on. So all coord
 the value table. ``BANDS`` bands of ``ROWS`` coordinates make candidate keys; the low bits of all coordinates and the
 set sizes screen candidates; what passes is confirmed on the full sets of word shingles.
 
-Work per group of copies stays linear: equal sets are one class; each class first asks for a link to the smallest
-class it shares a key with, or else to its neighbour; links make components; then only classes outside a key's largest
-component are compared with the key's others. Where a key holds many classes that all stay apart, that last step still
-compares them with each other, by their bits, inside the join.
+Work per group of copies stays near linear: equal sets are one class; each class first asks for one link, to the
+nearest by bits among its keys' leads and its neighbours in them; links make components; then only classes outside a
+key's largest component are compared with the key's others, by a prefix join on their rarest shingles. Where a key
+holds many classes that all stay apart, bits are still compared inside a semi-join.
 
 Chance: a pair of Jaccard 0.75 shares no band with probability (1 - 0.75^4)^32 = 5e-6, and fails the screen on bits
 with about 1e-6.
@@ -126,11 +126,60 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, schema)
 
 
+def _differ(a: str, b: str) -> Column:
+    return sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in _LONGS), F.lit(0))
+
+
 def _screen(a: str, b: str) -> Column:
     """Sizes and bits allow the Jaccard threshold."""
-    differ = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in _LONGS), F.lit(0))
     x, y = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-    return (differ <= MOST_BITS) & (100 * F.least(x, y) >= PERCENT * F.greatest(x, y))
+    return (_differ(a, b) <= MOST_BITS) & (100 * F.least(x, y) >= PERCENT * F.greatest(x, y))
+
+
+def _left_over(rest: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes in different components that may still be linked.
+
+    ``rest`` has the members (key, own, main, m) of keys that hold more than one component. Classes outside the largest
+    component that have a screened partner, and those partners, are compared by a prefix join: with a class's shingles
+    in order of rarity, linked sets share one among the first n - ceil(0.75 n) + 1 of both, at places that leave
+    enough others. So a near copy whose own edits fill its prefix meets only what shares these edits.
+    """
+    x = rest.filter("own <> main").select(F.col("key").alias("kx"), F.col("own").alias("xo"), F.col("m").alias("x"))
+    y = rest.select(F.col("key").alias("ky"), F.col("own").alias("yo"), F.col("m").alias("y"))
+    fits = (F.col("kx") == F.col("ky")) & (F.col("xo") != F.col("yo")) & _screen("x", "y")
+    x = written(x.join(y, fits, "left_semi"), "near-apart")
+    others = x.select(F.col("x.doc").alias("doc"), F.col("xo").alias("own"), F.lit(1).alias("apart"))
+    near = y.join(x, fits, "left_semi").select(F.col("y.doc").alias("doc"), F.col("yo").alias("own"), F.lit(0).alias("apart"))
+    some = written(others.union(near).groupBy("doc", "own").agg(F.max("apart").alias("apart")), "near-some")
+    few = F.broadcast(some) if some.count() <= MOST_IDS else some
+    texts = docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("doc")).select("doc", "own", "apart", "text")
+
+    def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            sets = [shingle_hashes(w, hashes) if (w := words_of(t.as_py() or "")) else np.zeros(0, np.uint64) for t in batch.column("text")]
+            n = np.array([len(h) for h in sets], np.int64)
+            columns = [pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), n)) for c in ("doc", "own", "apart")]
+            token = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(np.repeat(n, n)), pa.array(token)], names=["doc", "own", "apart", "n", "token"]
+            )
+
+    tokens = texts.mapInArrow(tokens_of, "doc long, own long, apart int, n long, token long")
+    tokens = written(tokens.distinct(), "near-tokens")
+    counts = tokens.groupBy("token").agg(F.count("*").alias("f"))
+    rare = Window.partitionBy("doc").orderBy("f", "token")
+    prefix = tokens.join(counts, "token").withColumn("i", F.row_number().over(rare))
+    prefix = prefix.filter(100 * (F.col("n") - F.col("i") + 1) >= PERCENT * F.col("n"))
+    prefix = written(prefix.select("token", F.struct("doc", "own", "apart", "n", "i").alias("t")), "near-prefix")
+    a = prefix.filter("t.apart = 1").select(F.col("token").alias("ta"), F.col("t").alias("a"))
+    b = prefix.select(F.col("token").alias("tb"), F.col("t").alias("b"))
+    left = 1 + F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i"))
+    enough = (100 + PERCENT) * left >= PERCENT * (F.col("a.n") + F.col("b.n"))
+    sizes = 100 * F.least("a.n", "b.n") >= PERCENT * F.greatest("a.n", "b.n")
+    once = (F.col("b.apart") == 0) | (F.col("a.doc") < F.col("b.doc"))
+    pairs = a.join(b, (F.col("ta") == F.col("tb")) & (F.col("a.own") != F.col("b.own")) & once & sizes & enough)
+    return pairs.select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")).distinct()
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -183,7 +232,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "near-classes",
     )
     keyed = classes.select("doc", F.explode(F.array(*_KEYS)).alias("key"))
-    keys = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("doc").alias("lead")).filter("members > 1")
+    keys = keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     held = keyed.join(keys, "key")
     parts = F.ceil(F.col("members") / CHUNK)
     held = held.withColumn("part", F.pmod(F.xxhash64("doc"), parts).cast("int"))
@@ -191,20 +240,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = written(held.join(bits, "doc"), "near-members")
 
     mine = F.struct("doc", "n_shingles", *_LONGS)
-    leads = members.filter("doc = lead").select("key", mine.alias("y"))
-    to_lead = members.filter("doc <> lead").select("key", mine.alias("x")).join(leads, "key")
+    # a key's lead is the member whose keys have the most members, so the middle of a group of near copies
+    degree = members.groupBy("doc").agg(F.sum("members").alias("degree"))
+    ranked = members.select("key", "doc").join(degree, "doc")
+    lead = ranked.groupBy("key").agg(F.max_by("doc", F.struct("degree", -F.col("doc"))).alias("lead"))
+    mine = F.struct("doc", "n_shingles", *_LONGS)
+    marked = members.join(lead, "key")
+    leads = marked.filter("doc = lead").select("key", mine.alias("y"))
+    to_lead = marked.filter("doc <> lead").select("key", mine.alias("x")).join(leads, "key")
     in_part = Window.partitionBy("key", "part").orderBy("n_shingles", "doc")
     chain = members.withColumn("y", F.lag(mine).over(in_part)).withColumn("at", F.row_number().over(in_part))
-    heads = chain.filter("at = 1 and members > 1").select("key", "part", mine.alias("x"))
+    heads = chain.filter("at = 1").select("key", "part", mine.alias("x"))
     to_head = heads.withColumn("y", F.lag("x").over(Window.partitionBy("key").orderBy("part"))).select("key", "x", "y")
     to_next = chain.filter("at > 1").select("key", mine.alias("x"), "y")
 
-    def asked(rows: DataFrame, rank: int) -> DataFrame:
-        fit = rows.filter(F.col("y").isNotNull()).filter(_screen("x", "y"))
-        return fit.select(F.col("x.doc").alias("b"), F.col("y.doc").alias("a"), F.lit(rank).alias("r"))
-
-    first = asked(to_lead, 0).union(asked(to_next, 1)).union(asked(to_head, 1))
-    first = first.groupBy("b").agg(F.min(F.struct("r", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+    asked = to_lead.select("x", "y").union(to_next.select("x", "y")).union(to_head.select("x", "y"))
+    asked = asked.filter(F.col("y").isNotNull()).filter(_screen("x", "y"))
+    best = F.min(F.struct(_differ("x", "y").alias("d"), F.col("y.doc").alias("a"))).alias("best")
+    first = asked.groupBy(F.col("x.doc").alias("b")).agg(best).select(F.col("best.a").alias("a"), "b")
     links = written(confirmed(written(first, "near-asked"), docs), "near-links")
     labels = written(components(links), "near-labels")
 
@@ -215,15 +268,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "own")).alias("top"), F.count("*").alias("c")).filter("c > 1")
     mixed = mixed.select("key", F.col("top.own").alias("main"))
     rest = written(known.join(mixed, "key").select("key", "own", "main", mine.alias("m")), "near-rest")
-    x = rest.filter("own <> main").select("key", F.col("own").alias("xo"), F.col("m").alias("x"))
-    y = rest.select("key", F.col("own").alias("yo"), "main", F.col("m").alias("y"))
-    apart = (F.col("yo") == F.col("main")) | (F.col("xo") < F.col("yo"))
-    second = x.join(
-        y.withColumnRenamed("key", "k2"),
-        (F.col("key") == F.col("k2")) & (F.col("xo") != F.col("yo")) & apart & _screen("x", "y"),
-    )
-    second = second.select(F.col("x.doc").alias("b"), F.col("y.doc").alias("a")).distinct()
-    second = written(second, "near-second")
+    second = written(_left_over(rest, docs), "near-second")
     if second.isEmpty():
         more, final = links, labels
     else:

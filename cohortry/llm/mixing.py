@@ -178,6 +178,9 @@ def mix_plan(docs: DataFrame, shards: int = 16, seed: int = 11) -> tuple[DataFra
         for size in rows["size"]:
             takes.append(0 < size <= left)
             left -= size if takes[-1] else 0
+        over = [(size, k) for k, size in enumerate(rows["size"]) if not takes[k] and 0 < size < 2 * left]
+        if over:  # nearer to the target with one more than without
+            takes[min(over)[1]] = True
         return rows[np.array(takes, dtype=bool)][["source", "doc_id"]]
 
     b = blocks.filter("left is not null").select(F.col("source").alias("_s"), F.col("block").alias("_b"), "left")
@@ -191,14 +194,14 @@ def mix_plan(docs: DataFrame, shards: int = 16, seed: int = 11) -> tuple[DataFra
     return units, blocks, partial
 
 
-def _with_draws(rows: DataFrame, blocks: DataFrame, partial: DataFrame) -> DataFrame:
-    """Adds ``_draws`` to rows that have source, doc_id and block."""
-    b = blocks.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "draws", "part")
+def _with_draws(rows: DataFrame, blocks: DataFrame, partial: DataFrame, block: str = "block") -> DataFrame:
+    """Adds ``_draws`` to rows that have source, doc_id and a block."""
+    b = blocks.select(F.col("source").alias("_s"), F.col("block").alias("_b"), F.col("draws").alias("_d"), F.col("part").alias("_p"))
     p = partial.select(F.col("source").alias("_ps"), F.col("doc_id").alias("_pd"), F.lit(True).alias("_in"))
-    rows = rows.join(b, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")), "left")
+    rows = rows.join(b, F.col("source").eqNullSafe(F.col("_s")) & (F.col(block) == F.col("_b")), "left")
     rows = rows.join(p, F.col("source").eqNullSafe(F.col("_ps")) & F.col("doc_id").eqNullSafe(F.col("_pd")), "left")
-    draws = F.when(F.col("_in"), F.concat("draws", F.array("part"))).otherwise(F.col("draws"))
-    return rows.withColumn("_draws", draws).drop("_s", "_b", "_ps", "_pd", "_in", "draws", "part")
+    draws = F.when(F.col("_in"), F.concat("_d", F.array("_p"))).otherwise(F.col("_d"))
+    return rows.withColumn("_draws", draws).drop("_s", "_b", "_ps", "_pd", "_in", "_d", "_p")
 
 
 def mix_counts(docs: DataFrame, shards: int = 16, seed: int = 11) -> DataFrame:
@@ -221,11 +224,12 @@ def mix_counts(docs: DataFrame, shards: int = 16, seed: int = 11) -> DataFrame:
 def mixed_documents(docs: DataFrame, shards: int = 16, seed: int = 11) -> DataFrame:
     """The mix itself: the columns of ``docs``, a row for each draw of a row, with ``mix_shard`` and ``mix_order``."""
     units, blocks, partial = mix_plan(docs, shards, seed)
-    of = units.select(F.col("source").alias("_us"), "n_blocks").distinct()
-    rows = docs.join(of, F.col("source").eqNullSafe(F.col("_us")), "left").drop("_us")
-    rows = rows.withColumn("block", _block("doc_id", F.col("n_blocks"), seed)).drop("n_blocks")
-    rows = _with_draws(rows, blocks, partial)
-    rows = rows.select(*[F.col(c) for c in docs.columns], F.explode("_draws").alias("_draw"))
+    of = units.select(F.col("source").alias("_us"), F.col("n_blocks").alias("_nb")).distinct()
+    rows = docs.join(of, F.col("source").eqNullSafe(F.col("_us")), "left")
+    rows = rows.withColumn("_block", _block("doc_id", F.col("_nb"), seed))
+    rows = _with_draws(rows, blocks, partial, "_block")
+    kept = [F.col(c) for c in docs.columns if c not in ("mix_shard", "mix_order")]
+    rows = rows.select(*kept, F.explode("_draws").alias("_draw"))
     order = F.xxhash64(F.lit(seed + 3), F.col("doc_id"), F.col("_draw.pass"))
     return rows.withColumns({"mix_shard": F.col("_draw.shard"), "mix_order": order}).drop("_draw")
 

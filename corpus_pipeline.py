@@ -30,8 +30,8 @@ def without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
 
 
 def told_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    told = identify_languages(docs, fit_network(docs), docs.columns)
-    return told.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    told = identify_languages(docs, fit_network(docs), docs.columns, ("_told", "_sure"))
+    return told.filter((F.col("_told") != UNKNOWN) & (F.col("_sure") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
