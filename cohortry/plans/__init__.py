@@ -1 +1 @@
-
+"""Queries on whole tables."""

@@ -60,20 +60,20 @@ def _dosed(spark: SparkSession, d: str) -> DataFrame:
 def path_doses(spark: SparkSession, d: str) -> DataFrame:
     """Total dose and cost by state and step."""
     g = _dosed(spark, d).groupBy("regime", "state", "step")
-    return g.agg(F.round(F.sum("dose"), 0).alias("dose"), F.round(F.sum("cost") / 1e6, 1).alias("cost_m"), F.count("*").alias("n"))
+    return g.agg(F.round(F.sum("dose"), 2).alias("dose"), F.round(F.sum("cost"), 2).alias("cost"), F.count("*").alias("n"))
 
 
-PATH_DOSES = f"WITH {_PATHS}, {_DOSES} SELECT regime, state, step, round(sum(dose), 0) AS dose, round(sum(cost) / 1e6, 1) AS cost_m, count(*) AS n FROM doses GROUP BY ALL"
+PATH_DOSES = f"WITH {_PATHS}, {_DOSES} SELECT regime, state, step, round(sum(dose), 2) AS dose, round(sum(cost), 2) AS cost, count(*) AS n FROM doses GROUP BY ALL"
 
 
 def run_mean_totals(spark: SparkSession, d: str) -> DataFrame:
     m = paths.mean_totals(_dosed(spark, d), KEYS)
-    return m.select(*KEYS, F.round("mean_dose", 0).alias("mean_dose"), F.round(F.col("mean_cost") / 1e6, 0).alias("mean_cost_m"))
+    return m.select(*KEYS, F.round("mean_dose", 6).alias("mean_dose"), F.round("mean_cost", 3).alias("mean_cost"))
 
 
 RUN_MEAN_TOTALS = f"""
 WITH {_PATHS}, {_DOSES}, r AS (SELECT regime, stage, run_id, sum(dose) AS d, sum(cost) AS c FROM doses GROUP BY ALL)
-SELECT regime, stage, round(avg(d), 0) AS mean_dose, round(avg(c) / 1e6, 0) AS mean_cost_m FROM r GROUP BY ALL
+SELECT regime, stage, round(avg(d), 6) AS mean_dose, round(avg(c), 3) AS mean_cost FROM r GROUP BY ALL
 """
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.functions import text
-from cohortry.operators import filters, pyramid, sales
+from cohortry.operators import filters, flows, pyramid, sales
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -49,17 +49,21 @@ WHERE contains(lower(p_name), 'widget') AND NOT contains(lower(p_name), 'cold')
 """
 
 
-def recombinant_split(spark: SparkSession, d: str) -> DataFrame:
-    """Factor rows by recombinant or not, with part names standing in for the ingredient's and the generic's."""
-    part = _t(spark, d, "part").select(
+def _factors(spark: SparkSession, d: str) -> DataFrame:
+    """Parts with names that stand in for the ingredient's and the generic's."""
+    return _t(spark, d, "part").select(
         "p_partkey",
         F.when(F.col("p_size") % 5 == 0, F.lit("Factor VIII + von Willebrand"))
         .when(F.col("p_size") % 7 != 0, F.concat(F.lit("Factor VIII "), F.col("p_type"))).alias("active_ingredient"),
         F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("RECOMBINANT "), F.col("p_name")))
         .when(F.col("p_size") % 3 == 1, F.col("p_name")).alias("generic_name"),
     )
+
+
+def recombinant_split(spark: SparkSession, d: str) -> DataFrame:
+    """Factor rows by recombinant or not."""
     both = [
-        filters.factor_viii(part, kind).select(F.lit(name).alias("kind"), "p_partkey", "active_ingredient", "generic_name")
+        filters.factor_viii(_factors(spark, d), kind).select(F.lit(name).alias("kind"), "p_partkey", "active_ingredient", "generic_name")
         for kind, name in ((True, "recombinant"), (False, "other"))
     ]
     return both[0].unionByName(both[1])
@@ -75,6 +79,28 @@ FROM p WHERE coalesce(contains(lower(active_ingredient), 'factor viii'), false)
 """
 
 
+def merged_sales(spark: SparkSession, d: str) -> DataFrame:
+    """The yearly flow's dataset: human totals and recombinant rows on their common columns."""
+    per_part = _sold(spark, d).groupBy(F.col("l_partkey").alias("p")).agg(
+        F.count("*").alias("count_of_package_sold"), F.sum("sale_count").alias("sale_count"), F.sum("sale_amount").alias("sale_amount")
+    )
+    rows = _factors(spark, d).join(per_part, F.col("p_partkey") == F.col("p")).drop("p", "p_partkey")
+    return _doubles(flows.sales_tables(rows, rows)["dataset"], "sale_amount", "price_per_package")
+
+
+MERGED_SALES = """
+WITH s AS (SELECT l_partkey, sum(l_quantity::BIGINT)::BIGINT AS sale_count, sum(l_extendedprice::DECIMAL(18,2)) AS sale_amount FROM lineitem GROUP BY 1),
+p AS (SELECT sale_count, sale_amount,
+    CASE WHEN p_size % 5 = 0 THEN 'Factor VIII + von Willebrand' WHEN p_size % 7 <> 0 THEN 'Factor VIII ' || p_type END AS active_ingredient,
+    CASE WHEN p_size % 3 = 0 THEN 'RECOMBINANT ' || p_name WHEN p_size % 3 = 1 THEN p_name END AS generic_name FROM part JOIN s ON p_partkey = l_partkey),
+f AS (SELECT * FROM p WHERE contains(lower(active_ingredient), 'factor viii') AND NOT contains(lower(active_ingredient), 'von willebrand')),
+h AS (SELECT generic_name, sum(sale_count)::BIGINT AS sale_count, sum(sale_amount) AS sale_amount FROM f
+      WHERE NOT contains(lower(generic_name), 'recombinant') GROUP BY 1),
+u AS (SELECT * FROM h UNION ALL SELECT generic_name, sale_count, sale_amount FROM f WHERE contains(lower(generic_name), 'recombinant'))
+SELECT generic_name, sale_count, sale_amount::DOUBLE AS sale_amount, round_even((sale_amount / nullif(sale_count, 0))::DOUBLE, 0)::DOUBLE AS price_per_package FROM u
+"""
+
+
 def other_factor_names(spark: SparkSession, d: str) -> DataFrame:
     part = _t(spark, d, "part")
     kinds = F.array(*[F.lit(k) for k in ("Factor VIIa ", "Factor IX ", "factor xiii ", "FACTOR VIII ", "Mix ", "factor ")])
@@ -267,7 +293,7 @@ WITH {_PYRAMID} SELECT year, max("Age") AS max_age, max(m) AS max_m, round(sum(m
 QUERIES = {
     f.__name__: (f, sql)
     for f, sql in (
-        (widget_sales, WIDGET_SALES), (recombinant_split, RECOMBINANT_SPLIT), (other_factor_names, OTHER_FACTOR_NAMES),
+        (widget_sales, WIDGET_SALES), (recombinant_split, RECOMBINANT_SPLIT), (merged_sales, MERGED_SALES), (other_factor_names, OTHER_FACTOR_NAMES),
         (common_rows, COMMON_ROWS), (brand_sales, BRAND_SALES), (part_profile, PART_PROFILE),
         (unit_consumption, UNIT_CONSUMPTION), (unit_consumption_whole_part, UNIT_CONSUMPTION_WHOLE_PART),
         (first_per_brand, FIRST_PER_BRAND), (distinct_names, DISTINCT_NAMES), (parsed_texts, PARSED_TEXTS),

@@ -1 +1 @@
-
+"""Readers, fixed dimensions and writers."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.operators.sales import merge_common_columns, total_sales
+from cohortry.operators.flows import sales_tables
 
 
 def save(df: DataFrame, path: str, form: str = "parquet", override: bool = True, **options: str) -> None:
@@ -13,11 +13,9 @@ def save(df: DataFrame, path: str, form: str = "parquet", override: bool = True,
     df.write.format(form).options(**options).mode("overwrite" if override else "ignore").save(path)
 
 
-def save_sales(sales_1400: DataFrame, sales_1399: DataFrame, recombinant: DataFrame, path: str, override: bool = True) -> None:
-    """Four tables under one folder: the merged dataset, both years' totals and the recombinant rows."""
-    totals = total_sales(sales_1400), total_sales(sales_1399, count="count_of_package_sold")
-    named = {"dataset": merge_common_columns(totals[0], recombinant), "1400": totals[0], "1399": totals[1], "recombinant_1400": recombinant}
-    for name, df in named.items():
+def save_sales(sales_1400: DataFrame, sales_1399: DataFrame, path: str, override: bool = True) -> None:
+    """The four result tables of the yearly sales flow under one folder."""
+    for name, df in sales_tables(sales_1400, sales_1399).items():
         save(df, f"{path}/{name}", override=override)
 
 

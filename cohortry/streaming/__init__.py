@@ -1 +1 @@
-
+"""Kept for streaming work; the tables here arrive as whole files."""

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cohortry.operators import filters, pyramid, sales
+from cohortry.operators import filters, flows, pyramid, sales
 from cohortry.sources import html_fields, sinks, tables
 
 
@@ -124,15 +124,27 @@ def test_guarded_write(spark, tmp_path):
 
 def test_save_sales(spark, tmp_path):
     df = spark.createDataFrame(
-        [("g", 2, 3, 5.0)], "generic_name string, count_of_package_sold long, sale_count long, sale_amount double"
+        [("Factor VIII", "human", 2, 3, 5.0, "x"), ("Factor VIII", "Recombinant", 1, 2, 9.0, "x"), ("other", "human", 1, 1, 1.0, "x")],
+        "active_ingredient string, generic_name string, count_of_package_sold long, sale_count long, sale_amount double, otc string",
     )
-    sinks.save_sales(df, df, df, str(tmp_path / "o"))
+    sinks.save_sales(df, df, str(tmp_path / "o"))
     assert {p.name for p in (tmp_path / "o").iterdir()} == {"dataset", "1400", "1399", "recombinant_1400"}
-    assert spark.read.parquet(str(tmp_path / "o" / "dataset")).columns == ["generic_name", "sale_count", "sale_amount"]
+    dataset = spark.read.parquet(str(tmp_path / "o" / "dataset"))
+    assert dataset.columns == ["generic_name", "sale_count", "sale_amount", "price_per_package"]
+    assert rows(dataset) == [("Recombinant", 2, 9.0, 4.0), ("human", 3, 5.0, 2.0)]
+    assert rows(spark.read.parquet(str(tmp_path / "o" / "1399")), "generic_name", "count_of_package_sold") == [("Recombinant", 1), ("human", 2)]
     sinks.save_records(df, ["generic_name"], str(tmp_path / "r"))
     assert spark.read.csv(str(tmp_path / "r"), header=True).columns == ["generic_name"]
 
 
+def test_no_recombinant_rows(spark):
+    df = spark.createDataFrame(
+        [("Factor VIII", None, 2, 3, 5.0)], "active_ingredient string, generic_name string, count_of_package_sold long, sale_count long, sale_amount double"
+    )
+    found = flows.sales_tables(df, df)
+    assert found["recombinant_1400"].isEmpty() and found["dataset"].isEmpty()
+
+
 LISTING = """<div class="searchRow"><span class="titleSearch-Link-RtlAlter"><a>پ</a></span><span class="titleSearch-Link-ltrAlter"><a> Factor </a></span>
 <div class="row"><div><label>صاحب برند</label><span>one</span></div><div><label>صاحب برند</label><bdo>two</bdo></div>
 <div><label>کد ژنریک</label><span>77</span></div><div><label>no rule</label><span>x</span></div><div><span>no label</span></div></div></div>
