@@ -17,8 +17,9 @@ def run_line(keys: list[str]) -> Window:
     return Window.partitionBy(*keys, "run_id").orderBy("step")
 
 
-def with_doses(paths: DataFrame, treatments: DataFrame) -> DataFrame:
-    """Adds the week's dose and cost by state, regime and weight at age ``step``; cost comes from the unrounded dose."""
+def with_doses(paths: DataFrame, treatments: DataFrame, digits: int = 2) -> DataFrame:
+    """Adds the week's dose and cost by state, regime and weight at age ``step``, both rounded; cost comes from the
+    unrounded dose."""
     t = treatments.select(
         "regime", "price_per_unit", *[f"{k}_{c}" for k in ("major", "minor", "lt") for c in ("per_kg", "injections")]
     )
@@ -31,7 +32,7 @@ def with_doses(paths: DataFrame, treatments: DataFrame) -> DataFrame:
     df = paths.withColumn("_kind", kinds).join(F.broadcast(t), "regime", "left").withColumn("_dose", per_week)
     return df.select(
         *[F.col(c) for c in paths.columns if c not in ("dose", "cost")],
-        F.bround("_dose", 2).alias("dose"), F.bround(F.col("_dose") * F.col("price_per_unit"), 2).alias("cost"),
+        F.bround("_dose", digits).alias("dose"), F.bround(F.col("_dose") * F.col("price_per_unit"), digits).alias("cost"),
     )
 
 

@@ -49,21 +49,21 @@ w AS (SELECT *, {_WEIGHT} AS kg FROM paths),
 q AS (SELECT *, CASE state WHEN 'articular_bleeding' THEN 25.0 * kg * 1 WHEN 'minor_bleeding' THEN (0.05 * 31.5 + 0.1 * 25.0) / 0.15 * kg * 1
       WHEN 'inhibitor' THEN (0.05 * 31.5 + 0.1 * 25.0) / 0.15 * kg * 1
       WHEN 'life_treating_bleeding' THEN (0.015 * 32.0 + 0.01 * 35.0 + 0.02 * 45.0) / 0.045 * kg * 3 ELSE 0.0 END::DOUBLE AS raw FROM w),
-doses AS (SELECT regime, stage, run_id, step, state, round_even(raw, 2) AS dose, round_even(raw * 58000, 2) AS cost FROM q)
+doses AS (SELECT regime, stage, run_id, step, state, round_even(raw, 6) AS dose, round_even(raw * 58000, 6) AS cost FROM q)
 """
 
 
 def _dosed(spark: SparkSession, d: str) -> DataFrame:
-    return paths.with_doses(_paths(spark, d), dim.treatments(spark))
+    return paths.with_doses(_paths(spark, d), dim.treatments(spark), digits=6)  # two digits would often be ties
 
 
 def path_doses(spark: SparkSession, d: str) -> DataFrame:
     """Total dose and cost by state and step."""
     g = _dosed(spark, d).groupBy("regime", "state", "step")
-    return g.agg(F.round(F.sum("dose"), 2).alias("dose"), F.round(F.sum("cost"), 2).alias("cost"), F.count("*").alias("n"))
+    return g.agg(F.round(F.sum("dose"), 6).alias("dose"), F.round(F.sum("cost"), 2).alias("cost"), F.count("*").alias("n"))
 
 
-PATH_DOSES = f"WITH {_PATHS}, {_DOSES} SELECT regime, state, step, round(sum(dose), 2) AS dose, round(sum(cost), 2) AS cost, count(*) AS n FROM doses GROUP BY ALL"
+PATH_DOSES = f"WITH {_PATHS}, {_DOSES} SELECT regime, state, step, round(sum(dose), 6) AS dose, round(sum(cost), 2) AS cost, count(*) AS n FROM doses GROUP BY ALL"
 
 
 def run_mean_totals(spark: SparkSession, d: str) -> DataFrame:
@@ -100,14 +100,14 @@ def reward_totals(spark: SparkSession, d: str) -> DataFrame:
     )
     mine = p.withColumn("reward", F.when(F.col("regime") == "on_demand", F.col("demand")).otherwise(F.col("prophylaxis")))
     t = paths.reward_totals(mine, ["regime"], "reward")
-    return t.select("regime", "run_id", "n_steps", *[F.round(c, 4).alias(c) for c in ("total", "per_step", "per_year")])
+    return t.select("regime", "run_id", "n_steps", *[F.round(c, 8).alias(c) for c in ("total", "per_step", "per_year")])
 
 
 REWARD_TOTALS = f"""
 WITH {_PATHS}, g AS (SELECT *, round_even((80.5 * exp(-3.08 * exp(-0.00255 * greatest(step - 1, 0))))::DOUBLE, 2) AS kg FROM paths),
 r AS (SELECT regime, run_id, kg * (CASE state WHEN 'minor_bleeding' THEN 25 WHEN 'articular_bleeding' THEN 90 WHEN 'life_treating_bleeding' THEN 250 ELSE 0 END
       + CASE WHEN regime = 'prophylaxis' THEN 50 ELSE 0 END) AS reward FROM g)
-SELECT regime, run_id, count(*) AS n_steps, round(sum(reward), 4) AS total, round(sum(reward) / count(*), 4) AS per_step, round(sum(reward) / (count(*) / 52), 4) AS per_year
+SELECT regime, run_id, count(*) AS n_steps, round(sum(reward), 8) AS total, round(sum(reward) / count(*), 8) AS per_step, round(sum(reward) / (count(*) / 52), 8) AS per_year
 FROM r GROUP BY ALL
 """
 
