@@ -38,6 +38,10 @@ COORDINATES = 256
 BANDS, ROWS = 32, 4
 #: Bits of two sets of Jaccard 0.75 differ in 32 of 256 places on average, with a deviation of 5.3.
 MOST_BITS = 62
+#: Tokens at the start of a prefix that later ones carry, so that a pair is met at its first common token only.
+HEAD = 48
+#: Documents whose shingles are held at a time.
+SOME = 256
 #: Members of a key that one task links to their neighbours.
 CHUNK = 512
 #: Ids of documents with candidates that are broadcast at most (8 bytes each).
@@ -156,14 +160,16 @@ def _left_over(rest: DataFrame, docs: DataFrame) -> DataFrame:
 
     def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
-        for batch in batches:
-            sets = [shingle_hashes(w, hashes) if (w := words_of(t.as_py() or "")) else np.zeros(0, np.uint64) for t in batch.column("text")]
-            n = np.array([len(h) for h in sets], np.int64)
-            columns = [pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), n)) for c in ("doc", "own", "apart")]
-            token = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(np.repeat(n, n)), pa.array(token)], names=["doc", "own", "apart", "n", "token"]
-            )
+        for whole in batches:
+            for lo in range(0, whole.num_rows, SOME):
+                batch = whole.slice(lo, SOME)
+                words = [words_of(t.as_py() or "") for t in batch.column("text")]
+                sets = [shingle_hashes(w, hashes) if w else np.zeros(0, np.uint64) for w in words]
+                n = np.array([len(h) for h in sets], np.int64)
+                held = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "own", "apart")]
+                columns = [pa.array(np.repeat(c, n)) for c in (*held, n)]
+                token = pa.array(np.concatenate(sets).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*columns, token], names=["doc", "own", "apart", "n", "token"])
 
     tokens = texts.mapInArrow(tokens_of, "doc long, own long, apart int, n long, token long")
     tokens = written(tokens.distinct(), "near-tokens")
@@ -171,14 +177,18 @@ def _left_over(rest: DataFrame, docs: DataFrame) -> DataFrame:
     rare = Window.partitionBy("doc").orderBy("f", "token")
     prefix = tokens.join(counts, "token").withColumn("i", F.row_number().over(rare))
     prefix = prefix.filter(100 * (F.col("n") - F.col("i") + 1) >= PERCENT * F.col("n"))
-    prefix = written(prefix.select("token", F.struct("doc", "own", "apart", "n", "i").alias("t")), "near-prefix")
+    head = F.collect_list(F.when(F.col("i") <= HEAD, F.struct("i", "token"))).over(Window.partitionBy("doc"))
+    prefix = prefix.withColumn("head", F.array_sort(head)["token"])
+    before = F.slice("head", 1, F.least(F.col("i") - 1, F.lit(HEAD))).alias("before")
+    prefix = written(prefix.select("token", F.struct("doc", "own", "apart", "n", "i", before).alias("t")), "near-prefix")
     a = prefix.filter("t.apart = 1").select(F.col("token").alias("ta"), F.col("t").alias("a"))
     b = prefix.select(F.col("token").alias("tb"), F.col("t").alias("b"))
     left = 1 + F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i"))
     enough = (100 + PERCENT) * left >= PERCENT * (F.col("a.n") + F.col("b.n"))
     sizes = 100 * F.least("a.n", "b.n") >= PERCENT * F.greatest("a.n", "b.n")
     once = (F.col("b.apart") == 0) | (F.col("a.doc") < F.col("b.doc"))
-    pairs = a.join(b, (F.col("ta") == F.col("tb")) & (F.col("a.own") != F.col("b.own")) & once & sizes & enough)
+    met = ~F.arrays_overlap("a.before", "b.before")
+    pairs = a.join(b, (F.col("ta") == F.col("tb")) & (F.col("a.own") != F.col("b.own")) & once & sizes & enough & met)
     return pairs.select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")).distinct()
 
 
@@ -221,7 +231,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, n_links (confirmed links of its class)."""
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = written(signatures(docs), "near-signed")
     own = [F.first(c).alias(c) for c in (*_LONGS, *_KEYS)]  # equal in all rows of a class
@@ -270,7 +280,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = written(known.join(mixed, "key").select("key", "own", "main", mine.alias("m")), "near-rest")
     second = written(_left_over(rest, docs), "near-second")
     if second.isEmpty():
-        more, final = links, labels
+        final = labels
     else:
         found = written(confirmed(second, docs), "near-more")
         la, lb = (labels.select(F.col("node").alias(n), F.col("component").alias(c)) for n, c in (("na", "ca"), ("nb", "cb")))
@@ -285,24 +295,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         final = every.join(merged, F.col("component") == F.col("old"), "left").select(
             "node", F.coalesce("new", "component").alias("component")
         )
-        more = links.union(found)
-    degree = more.select(F.explode(F.array("a", "b")).alias("n")).groupBy("n").agg(F.count("*").alias("n_links"))
     moved = (
         classes.select("print1", "print2", F.col("n_shingles").alias("ns"), "doc", "copies")
         .join(final, F.col("doc") == F.col("node"), "left")
         .filter("copies > 1 or node is not null")
-        .join(degree, F.col("doc") == F.col("n"), "left")
-        .select(F.col("print1").alias("p1"), F.col("print2").alias("p2"), "ns", F.coalesce("component", "doc").alias("to"), "n_links")
+        .select(F.col("print1").alias("p1"), F.col("print2").alias("p2"), "ns", F.coalesce("component", "doc").alias("to"))
     )
     out = signed.select("doc_id", "n_shingles", "print1", "print2").join(
         moved, (F.col("print1") == F.col("p1")) & (F.col("print2") == F.col("p2")) & (F.col("n_shingles") == F.col("ns")), "left"
     )
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("to", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), "n_links").select(
-        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-    )
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
+    )
 
 
 def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 75 * (x.n + y.n - c)),
+r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""

@@ -23,4 +23,5 @@ ORACLE_SQL = {
     "op1_preference_pairs": chat.ORACLE_SQL,
     "op6_prefix_join": decontamination.ORACLE_SQL,
     "op8_host_rules": quality.ORACLE_SQL,
+    "op9_circulant_minhash": minhash.ORACLE_SQL,
 }
