@@ -7,7 +7,8 @@ hypergeometric draw says how many of the node's draws go left from each source.
 source, shards take disjoint ranges of a source's draws, and rows are ordered by a hash inside their shard.
 
 Edge cases: a null or blank text has size 0 and is drawn with its block; a null source is a source of its own, the
-last; an empty table gives an empty mix; rows with the same doc_id and source are drawn together; if all sizes are 0
+last; an empty table gives an empty mix; rows with the same doc_id and source
+are drawn together; if all sizes are 0
 then nothing is taken; other columns are kept by ``mixed_documents``.
 """
 
@@ -84,25 +85,20 @@ def _block(source_key: str, n_blocks: Column, seed: int) -> Column:
 
 
 def mix_plan(docs: DataFrame, shards: int = 16, seed: int = 11) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(units, blocks, partial): units has a row for each doc_id and source with its block; blocks has each block's
-    draws [(pass, shard)]; partial has those units of boundary blocks that one more draw takes.
+    """(sizes, blocks, partial): sizes has each row's size, target and block; blocks has each block's draws
+    [(pass, shard)]; partial has those documents of boundary blocks that one more draw takes.
 
     blocks has at most ``MAX_BLOCKS`` rows for a source. A boundary block holds about 1/``MAX_BLOCKS`` of its source, or
-    ``BLOCK_WORDS`` words; its units are filled in permuted order while they fit.
+    ``BLOCK_WORDS`` words; its documents are filled in permuted order while they fit, rows of one doc_id together.
     """
-    sizes = written(
-        docs.select("doc_id", "source", n_spaced_words(F.col("text")).alias("size"))
-        .groupBy("doc_id", "source")
-        .agg(F.sum("size").alias("size"), F.count("*").alias("n_rows")),
-        "mix-sizes",
-    )
-    targets = source_targets(sizes)
-    units = sizes.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    units = units.withColumn("block", _block("doc_id", F.col("n_blocks"), seed))
+    sizes = written(docs.select("doc_id", "source", n_spaced_words(F.col("text")).alias("size")), "mix-sizes")
+    targets = written(source_targets(sizes), "mix-targets").withColumnRenamed("source", "_s")
+    sizes = sizes.join(targets, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    sizes = sizes.withColumn("block", _block("doc_id", F.col("n_blocks"), seed))
     by_source = Window.partitionBy("source")
     mixed = F.xxhash64(F.lit(seed + 1), F.col("source"), F.col("block"))
     blocks = (
-        units.groupBy("source", "block")
+        sizes.groupBy("source", "block")
         .agg(
             F.sum("size").alias("words"),
             F.first("source_size").alias("source_size"),
@@ -184,14 +180,15 @@ def mix_plan(docs: DataFrame, shards: int = 16, seed: int = 11) -> tuple[DataFra
         return rows[np.array(takes, dtype=bool)][["source", "doc_id"]]
 
     b = blocks.filter("left is not null").select(F.col("source").alias("_s"), F.col("block").alias("_b"), "left")
-    boundary = units.join(b, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
+    boundary = sizes.join(b, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
     partial = written(
-        boundary.select("source", "block", "doc_id", "size", "left", F.xxhash64(F.lit(seed + 2), F.col("doc_id")).alias("_o"))
+        boundary.groupBy("source", "block", "doc_id", "left")
+        .agg(F.sum("size").alias("size"), F.first(F.xxhash64(F.lit(seed + 2), F.col("doc_id"))).alias("_o"))
         .groupBy("source", "block")
         .applyInPandas(fill, "source string, doc_id long"),
         "mix-part",
     )
-    return units, blocks, partial
+    return sizes, blocks, partial
 
 
 def _with_draws(rows: DataFrame, blocks: DataFrame, partial: DataFrame, block: str = "block") -> DataFrame:
@@ -206,25 +203,17 @@ def _with_draws(rows: DataFrame, blocks: DataFrame, partial: DataFrame, block: s
 
 def mix_counts(docs: DataFrame, shards: int = 16, seed: int = 11) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, taken (words, repeats counted), draws."""
-    units, blocks, partial = mix_plan(docs, shards, seed)
-    out = _with_draws(units, blocks, partial)
-    each = (F.col("size") / F.col("n_rows")).cast("long")
-    rest = F.col("size") - each * F.col("n_rows")
-    rows = out.select(
-        "doc_id", "source_size", "target", "_draws", F.explode(F.sequence(F.lit(1), F.col("n_rows").cast("int"))).alias("_k"),
-        each.alias("_each"), rest.alias("_rest"),
-    )
-    size = F.col("_each") + (F.col("_k") <= F.col("_rest")).cast("long")
-    return rows.select(
-        "doc_id", size.alias("size"), "source_size", "target", (size * F.size("_draws")).cast("long").alias("taken"),
-        F.to_json("_draws").alias("draws"),
+    sizes, blocks, partial = mix_plan(docs, shards, seed)
+    return _with_draws(sizes, blocks, partial).select(
+        F.col("doc_id").cast("long").alias("doc_id"), "size", "source_size", "target",
+        (F.col("size") * F.size("_draws")).cast("long").alias("taken"), F.to_json("_draws").alias("draws"),
     )
 
 
 def mixed_documents(docs: DataFrame, shards: int = 16, seed: int = 11) -> DataFrame:
     """The mix itself: the columns of ``docs``, a row for each draw of a row, with ``mix_shard`` and ``mix_order``."""
-    units, blocks, partial = mix_plan(docs, shards, seed)
-    of = units.select(F.col("source").alias("_us"), F.col("n_blocks").alias("_nb")).distinct()
+    sizes, blocks, partial = mix_plan(docs, shards, seed)
+    of = sizes.select(F.col("source").alias("_us"), F.col("n_blocks").alias("_nb")).distinct()
     rows = docs.join(of, F.col("source").eqNullSafe(F.col("_us")), "left")
     rows = rows.withColumn("_block", _block("doc_id", F.col("_nb"), seed))
     rows = _with_draws(rows, blocks, partial, "_block")
