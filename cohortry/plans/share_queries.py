@@ -277,7 +277,7 @@ FROM w
 def input_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     """Indices of three columns of lineitem for a fixed polynomial; block B is the row of equal rank in a second order."""
     l = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 50).alias("x1"), (F.col("l_discount") * 10).alias("x2"), (F.col("l_tax") * 12).alias("x3"))
-    group = F.col("l_orderkey") % 64
+    group = F.col("l_orderkey") % 4096
     order_a = Window.partitionBy("g").orderBy("l_orderkey", "l_linenumber", "x1", "x2", "x3")
     mixed = (F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729) % 1000003
     order_b = Window.partitionBy("g").orderBy("mixed", "l_orderkey", "l_linenumber", "x1", "x2", "x3")
@@ -292,7 +292,7 @@ def input_sensitivity(spark: SparkSession, d: str) -> DataFrame:
 
 
 INPUT_SENSITIVITY = """
-WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n, l_quantity / 50 AS x1, l_discount * 10 AS x2, l_tax * 12 AS x3, l_orderkey % 64 AS g,
+WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n, l_quantity / 50 AS x1, l_discount * 10 AS x2, l_tax * 12 AS x3, l_orderkey % 4096 AS g,
                   (l_orderkey * 7919 + l_linenumber * 104729) % 1000003 AS m FROM lineitem),
 a AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY o, n, x1, x2, x3) AS k, x1 AS a1, x2 AS a2, x3 AS a3 FROM l),
 b AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY m, o, n, x1, x2, x3) AS k, x1 AS b1, x2 AS b2, x3 AS b3 FROM l),
