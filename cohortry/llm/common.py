@@ -40,6 +40,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(df: DataFrame, key: str, n: int, limit: int, seed: int) -> DataFrame:
+    """At most ``limit`` rows of about ``n``: those whose hash of ``key`` is smallest, with that hash as ``_hash``.
+
+    Hashes beyond the expected bound are dropped first, so that no more than about ``limit`` rows are sorted or sent,
+    from however many partitions.
+    """
+    share = min(1.0, (limit + 6 * limit**0.5) / max(n, 1))
+    most = (1 << 63) - 1
+    hashed = df.withColumn("_hash", F.xxhash64(F.lit(seed), F.col(key)).bitwiseAND(F.lit(most)))
+    return hashed.filter(F.col("_hash") <= F.lit(int(share * most) if share < 1 else most)).orderBy("_hash", key).limit(limit)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row, also where ``body`` uses it inside lambdas."""
     return F.transform(F.array(value), body)[0]

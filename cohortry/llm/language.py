@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortry.llm.common import table
+from cohortry.llm.common import hash_sample, table
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -48,16 +48,13 @@ def windows_of(text: bytes) -> np.ndarray:
 
 def training_sample(docs: DataFrame, limit: int = SAMPLE, seed: int = 3) -> tuple[np.ndarray, list[str]]:
     """At most ``limit`` windows of labelled rows outside the held-out fold, chosen and placed by a hash."""
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    start = F.pmod(order, F.greatest(F.lit(1), F.length("text") - WINDOW + 1)) + 1
-    rows = (
-        docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-        .filter(~held_out(F.col("doc_id")))
-        .select(F.substring("text", start.cast("int"), F.lit(WINDOW)).alias("piece"), "lang", order.alias("o"), "doc_id")
-        .orderBy("o", "doc_id", "piece")
-        .limit(limit)
-        .collect()
+    known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    start = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.greatest(F.lit(1), F.length("text") - WINDOW + 1)) + 1
+    pieces = known.filter("text is not null").select(
+        F.substring("text", start.cast("int"), F.lit(WINDOW)).alias("piece"), "lang", "doc_id"
     )
+    rows = hash_sample(pieces, "doc_id", known.count(), limit, seed).collect()
+    rows.sort(key=lambda r: (r["_hash"], r.doc_id, r.lang, r.piece))
     rows = [r for r in rows if LETTER.search(r.piece)]
     pieces = [windows_of(r.piece.lower().encode()[:WINDOW]) for r in rows]
     return (np.concatenate(pieces) if pieces else np.zeros((0, WINDOW), np.uint8)), [r.lang for r in rows]

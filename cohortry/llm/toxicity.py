@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import table, written
+from cohortry.llm.common import hash_sample, table, written
 from cohortry.llm.language import held_out
 
 #: Insults, phrases that are no insult, look-alikes of Latin letters, digits for letters.
@@ -117,14 +117,14 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[dict[str, float], tuple]:
     """(terms, curve) from labelled rows outside the held-out fold."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_y"), F.xxhash64(F.lit(29), "doc_id").alias("_o"))
+    known = known.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_y"))
     shares = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     if len(shares) < 2:
         return base_terms(), CURVE
-    pick = [known.filter(F.col("_y") == y).orderBy("_o", "_id").limit(per_class) for y in (0, 1)]
+    pick = [hash_sample(known.filter(F.col("_y") == y), "_id", shares[y], per_class, 29) for y in (0, 1)]
     picked = written(pick[0].union(pick[1]), "toxic-sample")
     rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
-    rows = written(rows.select("text", "_y", (F.pmod("_o", F.lit(2)) == 0).alias("_words")), "toxic-rows")
+    rows = written(rows.select("text", "_y", (F.col("_hash") % 2 == 0).alias("_words")), "toxic-rows")
 
     def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
