@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohortry.llm import chat, decontamination, graph, language, licenses, minhash, mixing, quality, secrets, sharding, toxicity
+from cohortry.llm import chat, common, decontamination, graph, language, licenses, minhash, mixing, quality, secrets, sharding, toxicity
 from tests.llm.cases import BASE, documents, lowered, plain, spaced
 
 
@@ -330,3 +330,11 @@ def test_pipeline_stages(spark, tmp_path):
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter(map(tuple, whole)) == Counter(map(tuple, docs.collect()))
     assert all(lowered(t) is not None for _, t, *_ in rows)
+
+
+@pytest.mark.parametrize("limit", [1, 50, 5000])
+def test_hash_sample_is_bounded_and_stable(spark, limit):
+    df = spark.range(2000).withColumnRenamed("id", "k")
+    got = sorted(r.k for r in common.hash_sample(df, "k", 2000, limit, 3).collect())
+    assert len(got) == min(limit, 2000)
+    assert got == sorted(r.k for r in common.hash_sample(df.repartition(7), "k", 2000, limit, 3).collect())
