@@ -5,7 +5,7 @@ places, and coordinate k is the smallest value k places further on. So all coord
 the value table. ``BANDS`` bands of ``ROWS`` coordinates make candidate keys; the low bits of all coordinates and the
 set sizes screen candidates; what passes is confirmed on the full sets of word shingles.
 
-Work per group of copies stays near linear: equal sets are one class; each class first asks for one link, to the
+Work per group of copies stays near linear: equal sets are one class; each class first asks for a few links, to the
 nearest by bits among its keys' leads and its neighbours in them; links make components; then only classes outside a
 key's largest component are compared with the key's others, by a prefix join on their rarest shingles. Where a key
 holds many classes that all stay apart, bits are still compared inside a semi-join.
@@ -42,6 +42,8 @@ MOST_BITS = 62
 HEAD = 48
 #: Documents whose shingles are held at a time.
 SOME = 256
+#: Links that a class asks for before components are made.
+ASKS = 3
 #: Members of a key that one task links to their neighbours.
 CHUNK = 512
 #: Ids of documents with candidates that are broadcast at most (8 bytes each).
@@ -57,7 +59,7 @@ def words_of(text: str) -> list[bytes]:
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -266,8 +268,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     asked = to_lead.select("x", "y").union(to_next.select("x", "y")).union(to_head.select("x", "y"))
     asked = asked.filter(F.col("y").isNotNull()).filter(_screen("x", "y"))
-    best = F.min(F.struct(_differ("x", "y").alias("d"), F.col("y.doc").alias("a"))).alias("best")
-    first = asked.groupBy(F.col("x.doc").alias("b")).agg(best).select(F.col("best.a").alias("a"), "b")
+    asked = asked.select(F.col("x.doc").alias("b"), F.col("y.doc").alias("a"), _differ("x", "y").alias("d")).distinct()
+    nearest = Window.partitionBy("b").orderBy("d", "a")  # a class has a few candidates for each of its keys
+    first = asked.withColumn("k", F.row_number().over(nearest)).filter(F.col("k") <= ASKS).select("a", "b")
     links = written(confirmed(written(first, "near-asked"), docs), "near-links")
     labels = written(components(links), "near-labels")
 
