@@ -1,17 +1,32 @@
 """Every registered query with SQL against DuckDB on the smallest tables."""
 
 import math
+from collections import Counter
 from pathlib import Path
 
 import duckdb
 import pytest
 
+import bench
 from cohortry.plans import registry
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+def test_headline_join_takes_every_order(spark, tmp_path):
+    orders = [(k, k % 7, "OFP"[k % 3], float(k), None) for k in range(200)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp").write.parquet(
+        str(tmp_path / "orders.parquet")
+    )
+    segment = {k: ["BUILDING", "MACHINERY"][k % 2] for k in range(7)}
+    spark.createDataFrame(list(segment.items()), "c_custkey long, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    (name,) = {n for n in bench.HEADLINE if n.startswith("common_")}
+    held = Counter((c, None if segment[c] == "BUILDING" else segment[c], None if s == "O" else s) for _, c, s, *_ in orders)
+    got = Counter(map(tuple, registry.QUERIES[name](spark, str(tmp_path)).collect()))
+    assert got == {k: n * n for k, n in held.items()}
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
