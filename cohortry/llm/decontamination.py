@@ -79,7 +79,12 @@ def shingle_hits(docs: DataFrame, shingles: DataFrame, sizes: list[int]) -> Data
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items for each row of ``docs``."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of ``docs``."""
+    return row_contamination(docs, benchmark, window, shingle).drop("print")
+
+
+def row_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """``contamination`` with ``print``, the hash of a row's text: rows of one doc_id, or of none, are told apart."""
     windows, owners = benchmark_windows(benchmark, window, shingle)
     windows, owners = written(windows, "bench-windows"), written(owners, "bench-owners")
     pieces = windows.select("size", F.explode("pieces").alias("piece")).distinct()
@@ -140,7 +145,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     items = F.coalesce("items", F.array().cast("array<string>"))
     return rows.join(found, same[0] & same[1], "left").select(
-        rows["doc_id"], "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        rows["doc_id"], rows["print"], "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
     )

@@ -2,31 +2,78 @@
 
 Each stage is one operator over all that its predecessor kept. Every stage but the last returns the columns of
 ``documents``.
+
+A document is a row, known by its doc_id and its text, not by its doc_id alone. A null doc_id is no id: rows without one
+are documents of their own, judged and dropped by their texts, as are rows of one doc_id with different texts. Rows
+equal in doc_id and text (nulls equal nulls) are one document, of which the near-duplicate stage keeps one row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.llm.common import table, written
-from cohortry.llm.decontamination import contamination
+from cohortry.llm.decontamination import row_contamination
 from cohortry.llm.language import UNKNOWN, fit_network, identify_languages
 from cohortry.llm.minhash import near_duplicates
 from cohortry.llm.mixing import mixed_documents
-from cohortry.llm.sharding import document_shards
+from cohortry.llm.sharding import document_shards, row_numbers
 
 #: A document is rejected if no language can be told or the best one is less likely than this.
 LEAST_SCORE = 0.3
-#: Ids of dropped documents that are broadcast at most (8 bytes each).
+#: Keys of dropped documents that are broadcast at most (8 or 16 bytes each).
 MOST_IDS = 1_000_000
 
 
-def without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
-    """``docs`` less the rows whose doc_id is in ``dropped``; texts are shuffled only if the ids are too many."""
-    ids = written(dropped.select(F.col("doc_id").alias("_id")).distinct(), name)
-    few = F.broadcast(ids) if ids.count() <= MOST_IDS else ids
-    return docs.join(few, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+def _few(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= MOST_IDS else keys
+
+
+def without(docs: DataFrame, dropped: DataFrame, keys: dict[str, Column], name: str) -> DataFrame:
+    """``docs`` less the rows whose keys equal those of a row of ``dropped``, null-safe; texts are shuffled only if the
+    dropped rows are too many. ``keys`` says, by the column's name in ``dropped``, what a row of ``docs`` has for it."""
+    gone = written(dropped.select(*[F.col(k).alias(f"_gone_{k}") for k in keys]).distinct(), name)
+    same = reduce(lambda a, b: a & b, [of.eqNullSafe(F.col(f"_gone_{k}")) for k, of in keys.items()])
+    return docs.join(_few(gone), same, "left_anti")
+
+
+def numbered_documents(docs: DataFrame) -> DataFrame:
+    """One row of each doc_id and text (the smallest in the other columns), with ``_row``, a number of its own.
+
+    That is the doc_id, except where a row has none or shares it with another text: then the text of the smallest hash
+    has the doc_id, and all others get numbers beyond the largest doc_id (below the smallest where none are left), so
+    in a group of near copies a row with its doc_id as number stays before the others (after them where none are left).
+    Only rows that have no id or a repeated one are shuffled with their texts.
+    """
+    print_ = F.xxhash64("text")
+    repeated = (
+        docs.filter("doc_id is not null").select(F.col("doc_id").alias("_id"), print_.alias("_print"))
+        .groupBy("_id").agg(F.count("*").alias("n"), F.min("_print").alias("_least"))
+        .filter("n > 1").select("_id", "_least")
+    )
+    repeated = written(repeated, "repeated-ids")
+    few = _few(repeated)
+    known, unknown = docs.filter("doc_id is not null"), docs.filter("doc_id is null")
+    odd = known.join(few, F.col("doc_id") == F.col("_id")).drop("_id")
+    odd = odd.unionByName(unknown.withColumn("_least", F.lit(None).cast("long")))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    odd = odd.groupBy("doc_id", "text", "_least").agg(F.min(F.struct(*others)).alias("_rest"))
+    odd = written(odd.select("doc_id", "text", "_rest.*", print_.eqNullSafe(F.col("_least")).alias("_own")), "odd-documents")
+    alone = known.join(few, F.col("doc_id") == F.col("_id"), "left_anti")
+    alone = alone.withColumn("_row", F.col("doc_id").cast("long"))
+    if odd.isEmpty():
+        return alone
+    others = odd.filter("not _own")
+    n, (least, most) = others.count(), docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    start = 0 if most is None else most + 1 if most < (1 << 63) - 1 - n else least - n
+    own = odd.filter("_own").withColumn("_row", F.col("doc_id").cast("long"))
+    dealt = row_numbers(others.withColumn("_print", print_), ["_print", "doc_id", "text"])
+    new = written(dealt.withColumn("_row", F.col("_row") + F.lit(start).cast("long")).drop("_n", "_print"), "odd-numbered")
+    every = [*docs.columns, "_row"]
+    return alone.select(*every).union(own.select(*every)).union(new.select(*every))
 
 
 def told_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,12 +82,14 @@ def told_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, near_duplicates(docs).filter("not kept"), "dropped-near")
+    rows = numbered_documents(docs)
+    copies = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).filter("not kept")
+    return without(rows, copies, {"doc_id": F.col("_row")}, "dropped-near").select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated")
-    return without(docs, found, "dropped-benchmark")
+    found = row_contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated")
+    return without(docs, found, {"doc_id": F.col("doc_id"), "print": F.xxhash64("text")}, "dropped-benchmark")
 
 
 def mixed_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -332,6 +332,40 @@ def test_pipeline_stages(spark, tmp_path):
     assert all(lowered(t) is not None for _, t, *_ in rows)
 
 
+def kept_rows(df):
+    return Counter((r.doc_id, r.text) for r in df.collect())
+
+
+def test_pipeline_drops_rows_not_ids(spark, tmp_path):
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho"
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    clean = [(None, "a clean row that has no id", "en", "a"), (6, "a clean row of a repeated id", "en", "a"), (7, None, "en", "a"), (None, None, "en", "a")]
+    dirty = [(None, f"one {passage}", "en", "a"), (6, f"two {passage}", "en", "b")]
+    docs = documents(spark, clean + dirty)
+    assert kept_rows(corpus_pipeline.without_benchmark(spark, docs, str(tmp_path))) == Counter((d, t) for d, t, *_ in clean)
+
+
+@pytest.mark.parametrize("most", [50, (1 << 63) - 1])
+def test_pipeline_keeps_one_of_each_group_of_rows(spark, most):
+    text = " ".join(f"word{k}" for k in range(60))
+    near, other, third = text + " end", " ".join(f"else{k}" for k in range(60)), " ".join(f"more{k}" for k in range(60))
+    rows = [
+        (2, text, "en", "a"), (6, near, "en", "a"), (6, other, "en", "a"), (6, other, "de", "b"), (6, other, "en", "a"), (6, third, "en", "a"),
+        (None, text, "en", "a"), (None, third, "en", "c"), (None, "only here", "en", "a"), (None, "only here", "en", "b"), (None, None, "en", "a"),
+        (None, None, "en", "a"), (most, "the last id", "en", "a"), (9, "", "en", "a"), (9, "", "en", "a"),
+    ]
+    got = corpus_pipeline.without_near_copies(spark, documents(spark, rows), "")
+    kept = kept_rows(got)
+    groups = [
+        [(2, text), (6, near), (None, text)], [(6, third), (None, third)], [(6, other)], [(None, "only here")], [(None, None)],
+        [(most, "the last id")], [(9, "")],
+    ]
+    assert [sum(kept[k] for k in g) for g in groups] == [1] * len(groups) and sum(kept.values()) == len(groups)
+    assert most > 50 or kept[(2, text)] == 1
+    again = corpus_pipeline.without_near_copies(spark, documents(spark, rows[::-1]).repartition(3), "")
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, again.collect()))
+
+
 @pytest.mark.parametrize("limit", [1, 50, 5000])
 def test_hash_sample_is_bounded_and_stable(spark, limit):
     df = spark.range(2000).withColumnRenamed("id", "k")
