@@ -93,7 +93,9 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixed_documents(docs).select(*docs.columns)
+    """Rows of a mix shard lie in one partition, together and in the mix's order, and are written so."""
+    mixed = mixed_documents(docs).repartition("mix_shard")
+    return mixed.sortWithinPartitions("mix_shard", "mix_order", "doc_id", F.xxhash64("text")).select(*docs.columns)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

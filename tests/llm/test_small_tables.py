@@ -366,6 +366,21 @@ def test_pipeline_keeps_one_of_each_group_of_rows(spark, most):
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, again.collect()))
 
 
+def test_pipeline_writes_the_mix_in_shards_and_order(spark):
+    docs = documents(spark, [(k, "x " * (1 + k * 7 % 50), "en", "abc"[k % 3]) for k in range(900)])
+    shards = {}
+    for r in mixing.mixed_documents(docs).orderBy("mix_order").collect():
+        shards.setdefault(r.mix_shard, []).append(r.doc_id)
+    parts = {}
+    for r in corpus_pipeline.mixed_to_weights(spark, docs, "").withColumn("part", F.spark_partition_id()).collect():
+        parts.setdefault(r.part, []).append(r.doc_id)
+    for held in parts.values():
+        while held:
+            (shard,) = [k for k, ids in shards.items() if held[: len(ids)] == ids]
+            held = held[len(shards.pop(shard)) :]
+    assert not shards
+
+
 @pytest.mark.parametrize("limit", [1, 50, 5000])
 def test_hash_sample_is_bounded_and_stable(spark, limit):
     df = spark.range(2000).withColumnRenamed("id", "k")
