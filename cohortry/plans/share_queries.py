@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortry.functions import blend, body, rates
@@ -274,6 +274,37 @@ FROM w
 """
 
 
+def _numbered(rows: DataFrame, mixed: Column, modulus: int, name: str) -> DataFrame:
+    """``rows`` with ``k`` (0, 1, ...), their place in the whole table ordered by ``mixed`` (0 .. modulus - 1) and keys.
+
+    Ranges of ``mixed`` are ordered each by itself; their offsets are one row per range.
+    """
+    rows = rows.withColumn("m", mixed).withColumn("r", F.floor(F.col("m") * 4096 / modulus))
+    counts = rows.groupBy("r").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("r")) - F.col("n")
+    place = F.row_number().over(Window.partitionBy("r").orderBy("m", "l_orderkey", "l_linenumber", "x1", "x2", "x3"))
+    numbered = rows.withColumn("at", place).join(F.broadcast(counts.select("r", before.alias("offset"))), "r")
+    values = [F.col(c).alias(f"{name}{c[1:]}") for c in rows.columns if c.startswith("x")]
+    return numbered.select((F.col("offset") + F.col("at") - 1).alias("k"), *values)
+
+
+def paired_rows(rows: DataFrame) -> DataFrame:
+    """Each row with the row of equal rank in a second order of the whole table, whatever the table's size."""
+    o, n = F.col("l_orderkey"), F.col("l_linenumber")
+    a = _numbered(rows, (o * 15_485_863 + n.cast("long") * 32_452_843) % 1_000_033, 1_000_033, "a")
+    return a.join(_numbered(rows, (o * 7919 + n * 104_729) % 1_000_003, 1_000_003, "b"), "k")
+
+
+def input_sensitivity_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``input_sensitivity`` with rows paired over the whole table, not inside groups of l_orderkey % 4096."""
+    l = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 50).alias("x1"), (F.col("l_discount") * 10).alias("x2"), (F.col("l_tax") * 12).alias("x3"))
+    y = lambda *x: F.col(x[0]) + 2 * F.col(x[1]) * F.col(x[1]) + 3 * F.col(x[2]) * F.col(x[0])
+    blocks = {"A": ("a1", "a2", "a3"), "B": ("b1", "b2", "b3"), "AB_1": ("b1", "a2", "a3"), "AB_2": ("a1", "b2", "a3"), "AB_3": ("a1", "a2", "b3")}
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("block"), y(*x).alias("y")) for n, x in blocks.items()])).alias("c")
+    joined = paired_rows(l).select(F.col("k").alias("base_id"), cells).select("base_id", "c.*")
+    return sensitivity.sobol_indices(joined, 3).select("input", F.round("s1", 6).alias("s1"), F.round("st", 6).alias("st"))
+
+
 def input_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     """Indices of three columns of lineitem for a fixed polynomial; block B is the row of equal rank in a second order."""
     l = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 50).alias("x1"), (F.col("l_discount") * 10).alias("x2"), (F.col("l_tax") * 12).alias("x3"))
@@ -306,6 +337,22 @@ r AS (SELECT unnest([1, 2, 3]) AS input, unnest([avg(b*(c1-a)), avg(b*(c2-a)), a
 SELECT input, round(s1 / v, 6) AS s1, round(st / v, 6) AS st FROM r, v
 """
 
+
+INPUT_SENSITIVITY_WHOLE = """
+WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n, l_quantity / 50 AS x1, l_discount * 10 AS x2, l_tax * 12 AS x3,
+                  (l_orderkey * 15485863 + l_linenumber::BIGINT * 32452843) % 1000033 AS ma, (l_orderkey * 7919 + l_linenumber * 104729) % 1000003 AS mb FROM lineitem),
+a AS (SELECT row_number() OVER (ORDER BY ma, o, n, x1, x2, x3) AS k, x1 AS a1, x2 AS a2, x3 AS a3 FROM l),
+b AS (SELECT row_number() OVER (ORDER BY mb, o, n, x1, x2, x3) AS k, x1 AS b1, x2 AS b2, x3 AS b3 FROM l),
+y AS (SELECT a1 + 2*a2*a2 + 3*a3*a1 AS a, b1 + 2*b2*b2 + 3*b3*b1 AS b, b1 + 2*a2*a2 + 3*a3*b1 AS c1, a1 + 2*b2*b2 + 3*a3*a1 AS c2, a1 + 2*a2*a2 + 3*b3*a1 AS c3
+      FROM a JOIN b USING (k)),
+s AS (SELECT avg(v) AS m, stddev_pop(v) AS s FROM (SELECT unnest([a, b, c1, c2, c3]) AS v FROM y)),
+z AS (SELECT (a - m) / s AS a, (b - m) / s AS b, (c1 - m) / s AS c1, (c2 - m) / s AS c2, (c3 - m) / s AS c3 FROM y, s),
+v AS (SELECT var_pop(w) AS v FROM (SELECT unnest([a, b]) AS w FROM z)),
+r AS (SELECT unnest([1, 2, 3]) AS input, unnest([avg(b*(c1-a)), avg(b*(c2-a)), avg(b*(c3-a))]) AS s1,
+             unnest([avg((a-c1)*(a-c1))/2, avg((a-c2)*(a-c2))/2, avg((a-c3)*(a-c3))/2]) AS st FROM z)
+SELECT input, round(s1 / v, 6) AS s1, round(st / v, 6) AS st FROM r, v
+"""
+
 QUERIES = {
     f.__name__: (f, sql)
     for f, sql in (
@@ -315,5 +362,6 @@ QUERIES = {
         (quantity_bin_labels, QUANTITY_BIN_LABELS), (quantity_density, QUANTITY_DENSITY), (size_counts, SIZE_COUNTS),
         (single_age_shares, SINGLE_AGE_SHARES), (blended_shares, BLENDED_SHARES), (quantity_kernel, QUANTITY_KERNEL),
         (weekly_probabilities, WEEKLY_PROBABILITIES), (body_weights, BODY_WEIGHTS), (input_sensitivity, INPUT_SENSITIVITY),
+        (input_sensitivity_whole, INPUT_SENSITIVITY_WHOLE),
     )
 }

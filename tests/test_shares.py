@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from cohortry.operators import distribution as dist
 from cohortry.operators import matrix, paths, sensitivity
+from cohortry.plans import share_queries
 from cohortry.sources import dimensions as dim
 from cohortry.sources import sinks, tables
 
@@ -192,3 +193,13 @@ def test_sensitivity_of_a_sum(spark):
     rows = [(k, n, float(v)) for n, x in blocks.items() for k, v in enumerate(y(x))]
     got = {r.input: (r.s1, r.st) for r in sensitivity.sobol_indices(spark.createDataFrame(rows, "base_id long, block string, y double"), 2).collect()}
     assert got[1] == pytest.approx((0.8, 0.8), abs=0.08) and got[2] == pytest.approx((0.2, 0.2), abs=0.08)
+
+
+def test_sensitivity_pairs_rows_over_the_whole_table(spark):
+    cells = [(o, n, float(o), float(n), float(o)) for o in range(400) for n in range(1, 5)]
+    rows = spark.createDataFrame(cells, "l_orderkey long, l_linenumber int, x1 double, x2 double, x3 double")
+    got = share_queries.paired_rows(rows).collect()
+    every = sorted((o, n) for o, n, *_ in cells)
+    assert sorted(r.k for r in got) == list(range(len(cells)))
+    assert sorted((r.a1, r.a2) for r in got) == sorted((r.b1, r.b2) for r in got) == every
+    assert sum(r.a1 == r.b1 for r in got) < 0.05 * len(got)
