@@ -1,10 +1,15 @@
 """Host-level quality rules (built-in functions only).
 
-Each document is measured inside its own row; rule failures are summed by host, a host's failure rate is shrunk by a
-beta prior fitted to all hosts by moments, and the hosts' verdicts are joined back to the documents.
-
-Edge cases: a null or blank text has no words and fails; a null host is a host of its own; an empty table gives an
-empty table; repeated rows count each; only doc_id, text and the host column are read.
+Each document is measured inside its own row and held against each rule of ``RULES``; the failures of each rule are
+summed by host. A rule's rates over all hosts give it a beta prior of its own, fitted by moments, and a host's posterior
+is that prior plus its own counts. A host breaks a rule if the lower credible bound of its rate lies above both
+``LEAST_RATE`` and ``RATIO`` times the mean host's rate; a host that breaks any rule loses all its documents. So a host
+is rejected for what it does much more often than others, once it has enough documents to be sure of it; a rule that
+most hosts fail alike rejects none.
+
+Edge cases: a null or blank text has no words and fails ``few_words``; a null host is a host of its own; an empty table
+gives an empty table; a single host equals the mean and is never rejected; repeated rows count each; only doc_id, text
+and the host column are read.
 """
 
 from __future__ import annotations
@@ -16,9 +21,20 @@ from cohortry.llm.common import SPACED_WORD, let, table, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A host whose shrunk failure rate is above this loses all its documents.
-MAX_HOST_RATE = 0.5
+#: Other rules: symbols for each 100 words, repeated lines of 100, and the least and largest mean of a word's characters.
+MAX_SYMBOL_PERCENT, MAX_LINE_PERCENT, WORD_CHARS = 10, 30, (3, 12)
+#: A host breaks a rule if the lower bound of its rate, so many standard deviations below its mean, is above both of these.
+LEAST_RATE, RATIO, DEVIATIONS = 0.2, 2.0, 3.0
 PRIOR_WEIGHTS = (1.0, 1e6)
+#: Rule -> whether a document with these counts fails it.
+RULES = {
+    "few_words": f"n_words < {MIN_WORDS}",
+    "repeats": f"100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words",
+    "symbols": f"100 * n_symbols > {MAX_SYMBOL_PERCENT} * n_words",
+    "lines": f"100 * n_dup_lines > {MAX_LINE_PERCENT} * n_lines",
+    "word_length": f"word_chars < {WORD_CHARS[0]} * n_words OR word_chars > {WORD_CHARS[1]} * n_words",
+}
+BASE_RULES = ("few_words", "repeats")
 
 
 def repeated_words(words: Column) -> Column:
@@ -53,7 +69,7 @@ def repeated_words(words: Column) -> Column:
 
 
 def document_rules(docs: DataFrame, host: str = "source") -> DataFrame:
-    """doc_id, the host, the counts and the base verdict of each row."""
+    """doc_id, the host, the counts, a 0/1 column for each rule and the base verdict of each row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(SPACED_WORD))
     counted = docs.select(
@@ -62,49 +78,55 @@ def document_rules(docs: DataFrame, host: str = "source") -> DataFrame:
         F.regexp_extract_all(text, F.lit(SPACED_WORD), 0).alias("words"),
         F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        let(lines, lambda x: F.struct(F.size(x).alias("all"), F.size(F.array_distinct(x)).alias("own"))).alias("lines"),
     )
     rules = counted.select(
-        "doc_id", "host", F.size("words").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
+        "doc_id", "host", F.size("words").cast("long").alias("n_words"), "word_chars", "n_symbols",
+        (F.col("lines.all") - F.col("lines.own")).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).cast("long").alias("n_repeat_words"),
+        F.col("lines.all").cast("long").alias("n_lines"),
     )
-    failed = (F.col("n_words") < MIN_WORDS) | (
-        100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
-    )
-    return rules.withColumn("base_failed", failed)
+    rules = rules.select("*", *[F.expr(fails).cast("long").alias(rule) for rule, fails in RULES.items()])
+    return rules.withColumn("base_failed", sum(F.col(r) for r in BASE_RULES) > 0)
 
 
 def host_rates(rules: DataFrame) -> DataFrame:
-    """host, n_docs, n_failed, rate: failures of each host, shrunk towards the mean of all.
+    """host, n_docs, broken (the rules that it breaks, comma-joined), and for each rule ``<rule>_mean`` and
+    ``<rule>_low``: mean and lower bound of the host's shrunk rate.
 
-    The prior has the mean m and the variance v of the hosts' own rates, so its weight is m(1-m)/v - 1, held inside
-    ``PRIOR_WEIGHTS``. It is one row.
+    A rule's prior has the mean m and the variance v of the hosts' own rates, so its weight is m(1-m)/v - 1, held inside
+    ``PRIOR_WEIGHTS``. All priors are one row.
     """
-    hosts = rules.groupBy("host").agg(
-        F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed")
-    )
-    own = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(F.avg(own).alias("m"), F.coalesce(F.var_pop(own), F.lit(0.0)).alias("v"))
-    weight = F.when(F.col("v") > 0, F.col("m") * (1 - F.col("m")) / F.col("v") - 1).otherwise(PRIOR_WEIGHTS[1])
-    prior = prior.withColumn("k", F.greatest(F.lit(PRIOR_WEIGHTS[0]), F.least(F.lit(PRIOR_WEIGHTS[1]), weight)))
-    rate = (F.col("n_failed") + F.col("m") * F.col("k")) / (F.col("n_docs") + F.col("k"))
-    return hosts.crossJoin(F.broadcast(prior)).select("host", "n_docs", "n_failed", rate.alias("rate"))
+    hosts = rules.groupBy("host").agg(F.count("*").alias("n_docs"), *[F.sum(r).alias(r) for r in RULES])
+    own = {r: F.col(r) / F.col("n_docs") for r in RULES}
+    spread = [c for r in RULES for c in (F.avg(own[r]).alias(f"{r}_m"), F.coalesce(F.var_pop(own[r]), F.lit(0.0)).alias(f"{r}_v"))]
+    low, high = (F.lit(w) for w in PRIOR_WEIGHTS)
+    found = hosts.crossJoin(F.broadcast(hosts.agg(*spread)))
+    for r in RULES:
+        m, v = F.col(f"{r}_m"), F.col(f"{r}_v")
+        weight = F.greatest(low, F.least(high, F.when(v > 0, m * (1 - m) / v - 1).otherwise(high)))
+        found = found.withColumn(f"{r}_k", weight)
+        found = found.withColumn(f"{r}_mean", (F.col(r) + m * F.col(f"{r}_k")) / (F.col("n_docs") + F.col(f"{r}_k")))
+        deviation = F.sqrt(F.col(f"{r}_mean") * (1 - F.col(f"{r}_mean")) / (F.col("n_docs") + F.col(f"{r}_k") + 1))
+        found = found.withColumn(f"{r}_low", F.col(f"{r}_mean") - DEVIATIONS * deviation)
+    broken = [F.when(F.col(f"{r}_low") > F.greatest(F.lit(LEAST_RATE), RATIO * F.col(f"{r}_m")), F.lit(r)) for r in RULES]
+    rates = [c for r in RULES for c in (f"{r}_mean", f"{r}_low")]
+    return found.select("host", "n_docs", F.concat_ws(",", *broken).alias("broken"), *rates)
 
 
 def quality_verdicts(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The counts, base_failed, host_failed and kept of each row.
+    """The counts, base_failed, host_broken (the rules that the row's host breaks), host_failed and kept of each row.
 
     Measures are written once and read twice. Only small columns reach the join with the hosts; Spark broadcasts the
     hosts where they are few, else a skewed host is split at run time.
     """
     rules = written(document_rules(docs, host), "quality-rules")
-    hosts = host_rates(rules).select(
-        F.col("host").alias("_host"), (F.col("rate") > MAX_HOST_RATE).alias("host_failed")
-    )
+    hosts = host_rates(rules).select(F.col("host").alias("_host"), F.col("broken").alias("host_broken"))
     joined = rules.join(hosts, F.col("host").eqNullSafe(F.col("_host")), "left")
+    failed = F.col("host_broken") != ""
     return joined.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        F.col("host_failed"), (~F.col("base_failed") & ~F.col("host_failed")).alias("kept"),
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_broken",
+        failed.alias("host_failed"), (~F.col("base_failed") & ~failed).alias("kept"),
     )
 
 
@@ -112,7 +134,15 @@ def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"))
 
 
-ORACLE_SQL = """
+_LOW = "({r}_s - {d} * sqrt({r}_s * (1 - {r}_s) / (c + {r}_k + 1))) > greatest({least}, {ratio} * {r}_m)"
+
+
+def _each(part: str) -> str:
+    values = {"d": DEVIATIONS, "least": LEAST_RATE, "ratio": RATIO, "lo": PRIOR_WEIGHTS[0], "hi": PRIOR_WEIGHTS[1]}
+    return ", ".join(part.format(r=r, fails=fails, **values) for r, fails in RULES.items())
+
+
+ORACLE_SQL = f"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, source, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws,
              string_split(text, chr(10)) AS ls FROM d),
@@ -125,13 +155,14 @@ m AS (SELECT l.doc_id, source, len(ws)::BIGINT AS n_words,
              length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g'))::BIGINT AS word_chars,
              length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
              (len(kept_lines) - len(list_distinct(kept_lines)))::BIGINT AS n_dup_lines,
-             coalesce(n, 0)::BIGINT AS n_repeat_words FROM l LEFT JOIN n USING (doc_id)),
-b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
-h AS (SELECT source, count(*) AS c, sum(base_failed::INT) AS f FROM b GROUP BY source),
-p AS (SELECT avg(f / c) AS m, var_pop(f / c) AS v FROM h),
-k AS (SELECT m, greatest(1, least(1e6, CASE WHEN v > 0 THEN m * (1 - m) / v - 1 ELSE 1e6 END)) AS k FROM p),
-t AS (SELECT source, (f + m * k) / (c + k) > 0.5 AS host_failed FROM h, k)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_failed,
-       NOT base_failed AND NOT host_failed AS kept
+             coalesce(n, 0)::BIGINT AS n_repeat_words, len(kept_lines)::BIGINT AS n_lines FROM l LEFT JOIN n USING (doc_id)),
+b AS (SELECT *, {_each("({fails})::INT AS {r}")} FROM m),
+h AS (SELECT source, count(*) AS c, {_each("sum({r}) AS {r}")} FROM b GROUP BY source),
+p AS (SELECT {_each("avg({r} / c) AS {r}_m, var_pop({r} / c) AS {r}_v")} FROM h),
+k AS (SELECT *, {_each("greatest({lo}, least({hi}, CASE WHEN {r}_v > 0 THEN {r}_m * (1 - {r}_m) / {r}_v - 1 ELSE {hi} END)) AS {r}_k")} FROM p),
+s AS (SELECT *, {_each("({r} + {r}_m * {r}_k) / (c + {r}_k) AS {r}_s")} FROM h, k),
+t AS (SELECT source, concat_ws(',', {_each("CASE WHEN " + _LOW + " THEN '{r}' END")}) AS host_broken FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, few_words + repeats > 0 AS base_failed, host_broken,
+       host_broken <> '' AS host_failed, few_words + repeats = 0 AND host_broken = '' AS kept
 FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source
 """
