@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 PLAIN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+NO_WORD = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 #: The same two rules on UTF-8 bytes: every byte of a non-ASCII code point is 0x80 or above.
 PLAIN_BYTES = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -62,5 +63,11 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def plain_words(text: Column) -> Column:
+    """The text's words of ``PLAIN_WORD``, A-Z in lower case: other ASCII characters become blanks, then blanks split."""
+    blank = F.translate(F.coalesce(text, F.lit("")), UPPER + NO_WORD, LOWER + " " * len(NO_WORD))
+    return F.array_remove(F.split(blank, " "), "")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,11 +1,14 @@
 """Benchmark decontamination by a prefix-filtered join (built-in functions only).
 
-Benchmark windows are sequences of 13 words (or a whole shorter item), seen as sets of placed shingles of five words. A
-text is read once: each of its places is hashed with its next words and looked up among the benchmark's shingles. The
-found places are counted, so windows can order their shingles by rarity over the whole corpus. Containment is
-complete, so the prefix that every match must share is the window's rarest shingle alone; windows and documents are
-joined on it, its place gives the window's start, bounds on start and length are applied, and the shingles around that
-place are compared with all of the window's.
+Benchmark windows are sequences of 13 words (or a whole shorter item), seen as sets of placed shingles of five words.
+Shingles are ordered by rarity: by how many places of the benchmark they have, then by hash. Containment is complete, so
+the prefix that every match must share is a window's rarest shingle alone, and only these prefixes are looked up: a text
+is read once and each of its places is hashed with its next words. Where a place has a window's prefix, the prefix's
+place in the window gives the window's start, bounds on start and length are applied, and the words there are compared
+by hash; what is left carries its words and is compared with the window word by word.
+
+Windows are looked up in parts of ``PART`` prefixes, each broadcast for one pass over the texts; a benchmark of more
+windows costs more passes, in the same way. No text or array of words is shuffled.
 
 Edge cases: a null text or one without words has no hits; a null or wordless item has no windows; an empty benchmark
 leaves every document clean; an item that occurs twice with the same id counts once; each row of a repeated document is
@@ -14,68 +17,90 @@ reported; a null item_id isn't listed. Only doc_id and text, item_id and text ar
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import PLAIN_WORD, lower_ascii, table, written
+from cohortry.llm.common import plain_words, table, written
 
 WINDOW = 13
 SHINGLE = 5
-#: Benchmark shingles that are broadcast at most; more are joined by shuffle.
-MOST_SHINGLES = 2_000_000
-#: Key of the one entry that every document finds, so that it is reported without hits too.
+#: Windows that are broadcast for one pass over the texts; five numbers each.
+PART = 1_000_000
+#: Key of the one entry that every document finds in the first pass, so that it is reported without hits too.
 PRESENT = 0
 
 
-def plain_words(text: Column) -> Column:
-    return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(PLAIN_WORD), 0)
-
-
 def _key(words: Column, at: Column, size: int) -> Column:
     """Hash of ``size`` words from place ``at`` (from 0)."""
     return F.xxhash64(F.lit(size), *[F.get(words, at + j) for j in range(size)])
 
 
-def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """(windows, owners): windows has win, length, size and its shingles in order; owners has win and item_id."""
+def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """win, its words w, their number, the size of its shingles and the ids of its items, one row per different window."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), plain_words(F.col("text")).alias("words"))
-    items = items.filter(F.size("words") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)))
-    cut = items.select("item_id", "words", F.explode(starts).alias("s")).select(
-        "item_id", F.slice("words", F.col("s") + 1, window).alias("w")
-    )
-    cut = cut.withColumn("win", F.concat_ws(" ", "w"))
-    owners = cut.select("win", "item_id").distinct()
-    size = F.least(F.lit(shingle), F.size("w"))
-    pieces = F.transform(
-        F.sequence(F.lit(0), F.size("w") - size), lambda j: F.concat_ws(" ", F.slice("w", j + 1, size))
+    cut = items.filter(F.size("words") > 0).select("item_id", "words", F.explode(starts).alias("s")).select(
+        "item_id", F.concat_ws(" ", F.slice("words", F.col("s") + 1, window)).alias("win")
     )
-    windows = cut.select("win", F.size("w").alias("length"), size.alias("size"), pieces.alias("pieces")).distinct()
-    return windows, owners
+    w = F.split("win", " ")
+    return cut.groupBy("win").agg(F.collect_set("item_id").alias("items")).select(
+        "win", w.alias("w"), F.size(w).alias("length"), F.least(F.lit(shingle), F.size(w)).alias("size"), "items"
+    )
+
+
+def _covered(spans: Column) -> Column:
+    """Places inside any of the spans (start, stop)."""
+    none = F.struct(F.lit(0).alias("stop"), F.lit(0).alias("n"))
+
+    def add(done: Column, x: Column) -> Column:
+        new = F.greatest(F.lit(0), x["stop"] - F.greatest(x["start"], done["stop"]))
+        return F.struct(F.greatest(done["stop"], x["stop"]).alias("stop"), (done["n"] + new).alias("n"))
+
+    return F.aggregate(F.sort_array(spans), none, add, lambda done: done["n"]).cast("long")
 
 
-def shingle_hits(docs: DataFrame, shingles: DataFrame, sizes: list[int]) -> DataFrame:
-    """Places of benchmark shingles: doc_id, print (of the text), n_words, pos, size, piece; and a row with pos -1 for
-    each row of ``docs``."""
+def window_prefixes(windows: DataFrame) -> DataFrame:
+    """key, at, size, length, whole for each window: hash and place of its rarest shingle, and the hash of its words."""
+    places = F.explode(F.sequence(F.lit(0), F.col("length") - F.col("size")))
+    pieces = windows.select("win", "w", "length", "size", places.alias("at"))
+    pieces = pieces.withColumn("piece", F.concat_ws(" ", F.slice("w", F.col("at") + 1, F.col("size"))))
+    counts = pieces.groupBy("piece").agg(F.count("*").alias("n"))
+    order = F.struct("n", F.xxhash64("piece").alias("h"), "piece", "at")
+    rarest = pieces.join(counts, "piece").groupBy("win", "length", "size").agg(F.min(order).alias("rarest"))
+    words = F.split("rarest.piece", " ")
+    return rarest.select(
+        F.xxhash64("size", *[F.get(words, F.lit(j)) for j in range(SHINGLE)]).alias("key"), F.col("rarest.at").alias("at"),
+        "size", "length", F.xxhash64("win").alias("whole"),
+    )
+
+
+def prefix_hits(docs: DataFrame, prefixes: DataFrame, sizes: list[int]) -> DataFrame:
+    """Windows that stand in a text by their hashes: doc_id, print (of the text), n_words, start, stop and the words
+    there; and a row without start for each entry of length 0 (``PRESENT``). ``prefixes`` is broadcast."""
     text = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64("text").alias("print"),
         plain_words(F.col("text")).alias("words"),
     )
     places = text.select("doc_id", "print", "words", F.explode(F.sequence(F.lit(-1), F.size("words") - 1)).alias("pos"))
-    if len(sizes) > 1:
-        places = places.withColumn("size", F.explode(F.array(*[F.lit(k) for k in sizes])))
-    else:
-        places = places.withColumn("size", F.lit(sizes[0] if sizes else SHINGLE))
-    key = F.lit(None).cast("long")
+    sizes = sizes or [SHINGLE]
+    own = F.lit(sizes[0]) if len(sizes) == 1 else F.explode(F.array(*[F.lit(k) for k in sizes]))
+    places = places.withColumn("own", own)
+    key = F.when((F.col("pos") < 0) & (F.col("own") == sizes[0]), F.lit(PRESENT).cast("long"))
     for k in sizes:
-        key = F.when(F.col("size") == k, _key(F.col("words"), F.col("pos"), k)).otherwise(key)
-    first = F.col("size") == F.lit(sizes[0] if sizes else SHINGLE)
-    key = F.when(F.col("pos") >= 0, key).when(first, F.lit(PRESENT).cast("long"))
-    found = places.withColumn("key", key).join(
-        shingles, (F.col("key") == F.col("k")) & ((F.col("pos") < 0) | (F.concat_ws(" ", F.slice("words", F.col("pos") + 1, F.col("size"))) == F.col("piece")))
-    )
-    return found.select("doc_id", "print", F.size("words").cast("long").alias("n_words"), "pos", "size", "piece")
+        key = key.when((F.col("pos") >= 0) & (F.col("own") == k), _key(F.col("words"), F.col("pos"), k))
+    n, start, length = F.size("words"), F.col("pos") - F.col("at"), F.col("length")
+    stands = (F.col("size") == F.col("own")) & (start >= 0) & (start + length <= n)
+    there = F.concat_ws(" ", F.slice("words", start + 1, length))
+    fits = F.when(F.col("pos") < 0, length == 0).otherwise((length > 0) & stands & (F.xxhash64(there) == F.col("whole")))
+    found = places.withColumn("own_key", key).join(F.broadcast(prefixes), (F.col("own_key") == F.col("key")) & fits)
+    real = F.col("pos") >= 0
+    return found.select(
+        "doc_id", "print", n.cast("long").alias("n_words"), F.when(real, start).alias("start"),
+        F.when(real, start + length).alias("stop"), F.when(real, there).alias("win"),
+    )
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
@@ -83,64 +108,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     return row_contamination(docs, benchmark, window, shingle).drop("print")
 
 
-def row_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+def row_contamination(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, part: int = PART
+) -> DataFrame:
     """``contamination`` with ``print``, the hash of a row's text: rows of one doc_id, or of none, are told apart."""
-    windows, owners = benchmark_windows(benchmark, window, shingle)
-    windows, owners = written(windows, "bench-windows"), written(owners, "bench-owners")
-    pieces = windows.select("size", F.explode("pieces").alias("piece")).distinct()
-    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # five at most
-    split = F.split("piece", " ")
-    key = F.lit(None).cast("long")
-    for k in sizes:
-        key = F.when(F.col("size") == k, _key(split, F.lit(0), k)).otherwise(key)
-    shingles = pieces.select(key.alias("k"), "piece")
-    shingles = shingles.unionByName(
-        docs.sparkSession.range(1).select(F.lit(PRESENT).cast("long").alias("k"), F.lit(None).cast("string").alias("piece"))
-    )
-    shingles = written(shingles, "bench-shingles")
-    small = F.broadcast(shingles) if shingles.count() <= MOST_SHINGLES else shingles
-    hits = written(shingle_hits(docs, small, sizes), "bench-hits")
-
-    rows = hits.filter("pos < 0").select("doc_id", "print", "n_words")
-    places = hits.filter("pos >= 0").distinct()
-    around = shingle - 1 if window < shingle else window - shingle
-    line = Window.partitionBy("doc_id", "print", "size").orderBy("pos")
-    near = [
-        F.when(F.lag("pos", -o).over(line) == F.col("pos") + o, F.lag("piece", -o).over(line))
-        for o in range(-around, around + 1)
-    ]
-    seen = places.withColumn("near", F.array(*near))
-
-    counts = places.groupBy("piece").agg(F.count("*").alias("n"))
-    ranked = windows.select("win", "length", "size", "pieces", F.posexplode("pieces").alias("at", "piece")).join(
-        counts, "piece"
-    )
-    prefix = ranked.groupBy("win").agg(
-        F.min(F.struct("n", "piece", "at")).alias("rarest"), F.count("*").alias("present"),
-        F.first("length").alias("length"), F.first("pieces").alias("pieces"),
+    windows = written(benchmark_windows(benchmark, window, shingle), "bench-windows")
+    prefixes = written(window_prefixes(windows), "bench-prefixes")
+    by_size = {r["size"]: r["n"] for r in prefixes.groupBy("size").agg(F.count("*").alias("n")).collect()}  # five at most
+    sizes, parts = sorted(by_size), max(1, -(-sum(by_size.values()) // part))
+    present = docs.sparkSession.range(1).select(
+        F.lit(PRESENT).cast("long").alias("key"), *[F.lit(0).alias(c) for c in ("at", "size", "length")],
+        F.lit(None).cast("long").alias("whole"),
     )
-    prefix = prefix.filter(F.col("present") == F.size("pieces")).select(
-        "win", "length", "pieces", F.col("rarest.piece").alias("rare"), F.col("rarest.at").alias("at")
-    )
-    prefix = written(prefix, "bench-prefix")
-    start = F.col("pos") - F.col("at")
-    whole = F.slice("near", F.lit(around + 1) - F.col("at"), F.size("pieces")) == F.col("pieces")
-    matched = seen.join(
-        prefix,
-        (F.col("piece") == F.col("rare")) & (start >= 0) & (start + F.col("length") <= F.col("n_words")) & whole,
-    ).select("doc_id", "print", start.alias("start"), (start + F.col("length")).alias("stop"), "win")
-    matched = written(matched, "bench-matched")
-
-    in_doc = Window.partitionBy("doc_id", "print").orderBy("start", "stop")
-    before = F.max("stop").over(in_doc.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.greatest(F.lit(0), F.col("stop") - F.greatest(F.col("start"), F.coalesce(before, F.lit(0))))
-    covered = matched.withColumn("new", new).groupBy("doc_id", "print").agg(F.sum("new").cast("long").alias("n_hit"))
-    listed = (
-        matched.select("doc_id", "print", "win").distinct().join(owners.filter("item_id is not null"), "win")
-        .groupBy("doc_id", "print").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    # keys are hashes, so parts are of about equal size
+    cuts = [prefixes.filter(F.pmod("key", F.lit(parts)) == k) for k in range(parts)]
+    passes = [prefix_hits(docs, present.union(cuts[0]), sizes), *[prefix_hits(docs, c, sizes) for c in cuts[1:]]]
+    hits = written(reduce(DataFrame.union, passes), "bench-hits")
+
+    rows = hits.filter("start is null").select("doc_id", "print", "n_words")
+    hit = hits.filter("start is not null").select("doc_id", "print", "start", "stop", "win").distinct()
+    found = (
+        hit.join(windows.select("win", "items"), "win").groupBy("doc_id", "print")
+        .agg(F.collect_set(F.struct("start", "stop")).alias("spans"), F.flatten(F.collect_set("items")).alias("items"))
+        .select("doc_id", "print", _covered(F.col("spans")).alias("n_hit"), F.sort_array(F.array_distinct("items")).alias("items"))
     )
-    listed = listed.select(F.col("doc_id").alias("d"), F.col("print").alias("p"), "items")
-    found = covered.join(listed, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("print").eqNullSafe(F.col("p")), "left")
     same = [rows[c].eqNullSafe(found[c]) for c in ("doc_id", "print")]
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     items = F.coalesce("items", F.array().cast("array<string>"))

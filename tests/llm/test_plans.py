@@ -32,7 +32,14 @@ def test_quality_and_decontamination_are_built_in(spark, docs):
         plan(quality.document_rules(docs)),
         plan(quality.quality_verdicts(docs)),
         plan(decontamination.contamination(docs, bench)),
-        plan(decontamination.shingle_hits(docs, spark.createDataFrame([(0, None)], "k long, piece string"), [5])),
+        plan(decontamination.prefix_hits(docs, decontamination.window_prefixes(decontamination.benchmark_windows(bench)), [5])),
     ]
     assert not any(re.search("Python|Pandas|Arrow|Cartesian", text) for text in found)
     assert all("source" not in r for r in re.findall(r"ReadSchema: struct<([^>]*)>", found[3]))
+
+
+def test_decontamination_shuffles_no_texts(spark, docs):
+    """The texts' side of the prefix join has no Exchange at all, and its join is a broadcast."""
+    prefixes = spark.createDataFrame([(0, 0, 5, 13, 1)], "key long, at int, size int, length int, whole long")
+    text = plan(decontamination.prefix_hits(docs, prefixes, [5]))
+    assert "BroadcastHashJoin" in text and not re.search("(?<!Broadcast)Exchange", text)

@@ -123,6 +123,34 @@ def test_bad_host_loses_its_good_document(spark):
     assert not got[900] and got[1000]
 
 
+def test_host_is_rejected_for_one_rule(spark):
+    """A host of many symbols goes as a whole; one with as high a rate in a few documents stays; so does what all hosts do."""
+    good, marks = " ".join(f"unit{k}" for k in range(80)), " ".join(f"unit{k} $$" for k in range(80))
+    lines = "\n".join([f"only{k} line of words" for k in range(30)] + ["the same line"] * 30)
+    rows = [(k, marks if k % 2 else good, "en", "bad") for k in range(200)]
+    rows += [(1000 + k, good if k % 4 else lines, "en", f"h{k % 10}") for k in range(1000)]
+    rows += [(5000 + k, marks, "en", "few") for k in range(2)]
+    got = quality.quality_verdicts(documents(spark, rows)).collect()
+    assert not any(r.base_failed for r in got)
+    assert {r.doc_id for r in got if r.host_failed} == {r.doc_id for r in got if not r.kept} == set(range(200))
+    assert {r.host_broken for r in got} == {"", "symbols"}
+
+
+def test_host_rates_are_shrunk(spark):
+    rows = [(k, "short" if k < 30 else " ".join(f"unit{j}" for j in range(60)), "en", f"h{k % 7 % 3}") for k in range(90)]
+    got = {r.host: r for r in quality.host_rates(quality.document_rules(documents(spark, rows))).collect()}
+    held = {h: [k < 30 for k, *_ in rows if f"h{k % 7 % 3}" == h] for h in got}
+    own = {h: sum(v) / len(v) for h, v in held.items()}
+    m = sum(own.values()) / len(own)
+    v = sum((x - m) ** 2 for x in own.values()) / len(own)
+    weight = max(1.0, min(1e6, m * (1 - m) / v - 1))
+    for h, r in got.items():
+        mean = (sum(held[h]) + m * weight) / (len(held[h]) + weight)
+        assert r.few_words_mean == pytest.approx(mean) and r.n_docs == len(held[h])
+        assert r.few_words_low == pytest.approx(mean - 3 * (mean * (1 - mean) / (len(held[h]) + weight + 1)) ** 0.5)
+        assert min(own[h], m) <= r.few_words_mean <= max(own[h], m) and r.broken == ""
+
+
 def contaminated(docs, bench):
     windows = {}
     for item, t in bench:
@@ -153,6 +181,22 @@ def test_decontamination(spark):
     assert sorted(map(tuple, got), key=str) == sorted(contaminated(docs, bench), key=str)
 
 
+@pytest.mark.parametrize("part", [1, 7, 10**6])
+def test_decontamination_in_parts(spark, part):
+    """Windows looked up in many passes, items that share windows and shingles, and a text of 20,000 words."""
+    item = [" ".join(f"v{(k * k + j) % 41}" for k in range(40)) for j in range(3)]
+    bench = [(1, item[0]), (2, item[1] + " " + item[0]), (None, item[2]), (3, "a b c a b c a b c a b c a b c a b c"), (4, "v1 v2 v3")]
+    long = [f"f{k % 997}" for k in range(20_000)]
+    long[5000:5040], long[19_970:] = item[1].split(), item[2].split()[:30]
+    docs = [
+        (1, " ".join(long), "en", "a"), (2, item[0] + " x", "en", "a"), (3, "a b c " * 50, "en", "a"), (4, item[2], "en", "b"),
+        (5, " ".join(item[1].split()[5:17]), "en", "a"), (6, "v1 v2 v3 v1 v2 v3", "en", "a"), (7, None, None, None), (2, item[0] + " x", "en", "a"),
+    ]
+    df = spark.createDataFrame(bench, "item_id long, text string")
+    got = decontamination.row_contamination(documents(spark, docs), df, part=part).drop("print").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(contaminated(docs, bench), key=str)
+
+
 def linked(docs):
     sets = {}
     for d, t, *_ in docs:
