@@ -126,7 +126,7 @@ def test_bad_host_loses_its_good_document(spark):
 def test_host_is_rejected_for_one_rule(spark):
     """A host of many symbols goes as a whole; one with as high a rate in a few documents stays; so does what all hosts do."""
     good, marks = " ".join(f"unit{k}" for k in range(80)), " ".join(f"unit{k} $$" for k in range(80))
-    lines = "\n".join([f"only{k} line of words" for k in range(30)] + ["the same line"] * 30)
+    lines = "\n".join([f"only{k} line{k} of{k} words{k}" for k in range(30)] + ["the same line"] * 30)
     rows = [(k, marks if k % 2 else good, "en", "bad") for k in range(200)]
     rows += [(1000 + k, good if k % 4 else lines, "en", f"h{k % 10}") for k in range(1000)]
     rows += [(5000 + k, marks, "en", "few") for k in range(2)]
