@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +45,28 @@ def test_shards(spark, shards):
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
 
 
+def test_many_equal_rows_are_dealt_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 7)
+    rows = [(5, "the same", "en", "a")] * 100 + [(None, None, None, None)] * 50 + [(k, f"text {k}", "en", "a") for k in range(40)]
+    keyed = documents(spark, rows).select("doc_id", F.octet_length("text").alias("size"))
+    numbered = sharding.numbered_copies(keyed, ["doc_id", "size"]).collect()
+    assert sorted(r._row for r in numbered) == list(range(190)) and {r._n for r in numbered} == {190}
+    assert Counter((r.doc_id, r.size) for r in numbered) == Counter((d, len(t) if t else None) for d, t, *_ in rows)
+    same = sorted(r._row for r in numbered if r.doc_id == 5 and r.size == 8)
+    assert sum(b - a > 1 for a, b in zip(same, same[1:])) >= 5  # pieces lie in different buckets
+    got = sharding.document_shards(documents(spark, rows), 9).collect()
+    assert Counter(r.doc_id for r in got) == Counter(d for d, *_ in rows)
+    assert sorted(r.slot * 9 + r.shard for r in got) == list(range(190))
+
+
+def test_row_numbers_keep_columns_of_any_name(spark):
+    df = spark.createDataFrame([(k % 5, k, "x", k, k, k) for k in range(100)], "k int, _bucket int, `a.b` string, _at int, _offset int, _row int")
+    got = sharding.row_numbers(df, ["k", "_bucket"])
+    assert set(got.columns) == {"k", "_bucket", "a.b", "_at", "_offset", "_row", "_n"}
+    rows = got.collect()
+    assert sorted(r._row for r in rows) == list(range(100)) and all(r._at == r._bucket == r._offset for r in rows)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 1000, 4099])
 def test_feistel_is_a_permutation(spark, n):
     df = spark.range(n).select(sharding.feistel(F.col("id"), F.lit(n).cast("long"), 7).alias("p"))
@@ -69,6 +92,25 @@ def targets(sizes):
     return out
 
 
+def near_targets(drawn, want):
+    words = Counter()
+    for text, source in drawn:
+        words[source] += len(spaced(text))
+    assert all(abs(words[s] - want[s]) <= 2 for s in want), (words, want)
+
+
+@pytest.mark.parametrize("left", [0.0, 0.4, 7.5, 100.0, 1e9])
+def test_what_is_left_is_filled(left):
+    sizes = np.array([5, 0, 30, 2, 2, 60, 1, 40])
+    takes = mixing.filled(sizes, left)
+    simple, free = 0, left
+    for size in sizes:
+        if 0 < size <= free:
+            simple, free = simple + size, free - size
+    assert not takes[1] and abs(sizes[takes].sum() - left) <= abs(simple - left)
+    assert takes.sum() == 7 or left < 1e9
+
+
 def test_mixing(spark):
     rows = [(k, "x " * (1 + k * 7 % 50), "en", ["a", "b", "c", None, "e"][min(4, k % 9)]) for k in range(900)]
     rows += [r for r in BASE if r[0] not in (7, 8)]
@@ -84,12 +126,46 @@ def test_mixing(spark):
     assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix_counts(docs.repartition(5)).collect()))
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == [*docs.columns, "mix_shard", "mix_order"]
-    taken = Counter()
-    for r in mixed.collect():
-        taken[r.source] += len(spaced(r.text))
-    assert sum(taken.values()) == sum(r.taken for r in got)
-    for s in ("a", "b", None, "e"):
-        assert abs(taken[s] - want[s]) <= 0.05 * want[s] + 30
+    out = mixed.collect()
+    assert sum(len(spaced(r.text)) for r in out) == sum(r.taken for r in got)
+    near_targets([(r.text, r.source) for r in out], {s: want[s] for s in ("a", "b", "c", None, "e")})
+
+
+def test_mixing_without_ids_and_with_repeated_ids(spark, monkeypatch):
+    """Rows without an id, or of one id, are drawn each by themselves; a long document leaves no gap at the boundary;
+    the caller's column names don't matter."""
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 400)
+    big = (1 << 62) + 1
+    rows = [(None if k % 2 else big, " ".join(f"w{k}x{j}" for j in range(1 + k * 11 % 90)), "en", "ab"[k % 3 == 0]) for k in range(600)]
+    rows += [(7, "y " * 3000, "en", "a"), (8, "z " * 3000, "en", "b")]
+    docs = documents(spark, rows)
+    names = ["_s", "_b", "_d", "_us", "_block", "row", "unit", "draw", "mix_shard", "a.b"]
+    wide = docs.withColumns({n: F.lit(n) for n in names})
+    sizes = Counter()
+    for _, t, _, s in rows:
+        sizes[s] += len(spaced(t))
+    want = targets(dict(sizes))
+    mixed = mixing.mixed_documents(wide)
+    assert mixed.columns == [c for c in wide.columns if c != "mix_shard"] + ["mix_shard", "mix_order"]
+    out, times = mixed.collect(), Counter()
+    for r in out:
+        times[(r.doc_id, r.text)] += 1
+        assert all(r[n] == n for n in names if n != "mix_shard")
+    near_targets([(r.text, r.source) for r in out], want)
+    assert {d for d, _ in times} <= {None, big, 7, 8} and max(times.values()) <= 3
+    assert len({times[(d, t)] for d, t, _, s in rows if s == "a" and d is None}) > 1
+    assert sum(r.taken for r in mixing.mix_counts(docs).collect()) == sum(len(spaced(r.text)) for r in out)
+    assert max(Counter(r.mix_shard for r in out).values()) < len(out) / 4
+
+
+def test_every_draw_lies_in_a_leaf_of_the_tree(spark, monkeypatch):
+    """Without draws in the tree's leaves nothing is taken, so the leaves decide."""
+    rows = [(k, "x " * (1 + k % 9), "en", "abc"[k % 3]) for k in range(300)]
+    docs = documents(spark, rows)
+    real = mixing.split_tree
+    assert sum(r.taken for r in mixing.mix_counts(docs).collect()) > 0
+    monkeypatch.setattr(mixing, "split_tree", lambda quotas, shards, seed: 0 * real(quotas, shards, seed))
+    assert sum(r.taken for r in mixing.mix_counts(docs).collect()) == 0
 
 
 def test_split_tree_is_exact():
