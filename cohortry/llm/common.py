@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words between white space, and words of ASCII letters, digits and every non-ASCII code point.
@@ -53,6 +53,17 @@ def hash_sample(df: DataFrame, key: str, n: int, limit: int, seed: int) -> DataF
     return hashed.filter(F.col("_hash") <= F.lit(int(share * most) if share < 1 else most)).orderBy("_hash", key).limit(limit)
 
 
+def group_sample(df: DataFrame, key: str, group: str, counts: dict, limit: int, seed: int) -> DataFrame:
+    """``hash_sample`` inside each group: at most ``limit`` rows of each, given how many rows each group has."""
+    most = (1 << 63) - 1
+    share = {g: min(1.0, (limit + 6 * limit**0.5) / n) for g, n in counts.items()}
+    bounds = [x for g, p in share.items() for x in (F.lit(g), F.lit(int(p * most) if p < 1 else most).cast("long"))]
+    hashed = df.withColumn("_hash", F.xxhash64(F.lit(seed), F.col(key)).bitwiseAND(F.lit(most)))
+    hashed = hashed.filter(F.col("_hash") <= F.element_at(F.create_map(*bounds), F.col(group)))
+    place = F.row_number().over(Window.partitionBy(group).orderBy("_hash", key))
+    return hashed.withColumn("_place", place).filter(F.col("_place") <= limit).drop("_place")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row, also where ``body`` uses it inside lambdas."""
     return F.transform(F.array(value), body)[0]

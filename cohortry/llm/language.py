@@ -1,17 +1,18 @@
 """Language identification by a byte convolutional network, trained in numpy and applied to fixed-length windows.
 
-Network: one-hot bytes of the lower-case text, filters of several widths, max pooling over the window, ReLU, linear layer, softmax. It learns
-from a bounded sample of labelled rows (``SAMPLE`` windows, one of each sampled row) and reads every window of every
-text. A document's logits are the mean over its windows, each weighing as many bytes as it holds.
-
-Edge cases: a null text or one without a letter is ``und`` with score 0; without any labelled training row every text
-is ``und``; rows with a null doc_id aren't learned from and aren't held out; repeated rows get equal predictions; the
-new columns replace columns of the same name.
+Network: one-hot bytes of the lower-case text, filters of several widths, max pooling over the window, ReLU, linear
+layer, softmax. It learns from a bounded sample of labelled rows (``SAMPLE`` windows, one of each sampled row, the same
+share for each language, so that a rare one is learned however large the table is) and reads every window of every text.
+A document's logits are the mean over its windows, each weighing as many bytes as it holds.
+
+Edge cases: a null text or one without a letter (Unicode category L) is ``und`` with score 0; without any labelled
+training row every text is ``und``; with more than ``SAMPLE`` languages the sample has one row of each; rows with a null
+doc_id aren't learned from and aren't held out; repeated rows get equal predictions; the new columns replace columns of
+the same name.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortry.llm.common import hash_sample, table
+from cohortry.llm.common import group_sample, table
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -31,13 +32,17 @@ STEPS, BATCH, RATE = 600, 64, 0.01
 #: Windows in one numpy step.
 STEP = 1024
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is of category L; other numerals are none."""
+    return any(map(str.isalpha, text))
+
+
 def windows_of(text: bytes) -> np.ndarray:
     """The text's bytes as rows of ``WINDOW``, the last filled up with zeros."""
     n = max(1, -(-len(text) // WINDOW))
@@ -47,15 +52,18 @@ def windows_of(text: bytes) -> np.ndarray:
 
 
 def training_sample(docs: DataFrame, limit: int = SAMPLE, seed: int = 3) -> tuple[np.ndarray, list[str]]:
-    """At most ``limit`` windows of labelled rows outside the held-out fold, chosen and placed by a hash."""
+    """About ``limit`` windows at most of labelled rows outside the held-out fold, as many of each language, chosen and
+    placed by a hash."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.filter("text is not null")
     start = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.greatest(F.lit(1), F.length("text") - WINDOW + 1)) + 1
-    pieces = known.filter("text is not null").select(
-        F.substring("text", start.cast("int"), F.lit(WINDOW)).alias("piece"), "lang", "doc_id"
-    )
-    rows = hash_sample(pieces, "doc_id", known.count(), limit, seed).collect()
+    pieces = known.select(F.substring("text", start.cast("int"), F.lit(WINDOW)).alias("piece"), "lang", "doc_id")
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
+    if not counts:
+        return np.zeros((0, WINDOW), np.uint8), []
+    rows = group_sample(pieces, "doc_id", "lang", counts, max(1, limit // len(counts)), seed).collect()
     rows.sort(key=lambda r: (r["_hash"], r.doc_id, r.lang, r.piece))
-    rows = [r for r in rows if LETTER.search(r.piece)]
+    rows = [r for r in rows if has_letter(r.piece)]
     pieces = [windows_of(r.piece.lower().encode()[:WINDOW]) for r in rows]
     return (np.concatenate(pieces) if pieces else np.zeros((0, WINDOW), np.uint8)), [r.lang for r in rows]
 
@@ -189,7 +197,7 @@ def identify_languages(
                 t = text.as_py()
                 langs.append(UNKNOWN)
                 scores.append(0.0)
-                if reader and t and LETTER.search(t):
+                if reader and t and has_letter(t):
                     group.append(t.lower().encode())
                     held.append(k)
                     size += len(group[-1])
