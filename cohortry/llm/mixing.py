@@ -14,7 +14,7 @@ exchange of documents comes nearest to what is left.
 Edge cases: a null or blank text has size 0 and is drawn with its block; a null source is a source of its own, the
 last; an empty table gives an empty mix; rows without a doc_id, or that share one with another text, are drawn each by
 themselves, rows of one source with equal doc_id and text together; if all sizes are 0 then nothing is taken; other
-columns are kept by ``mixed_documents``, whatever their names, but for ``mix_shard`` and ``mix_order``.
+columns are kept by ``mixed_documents``, whatever their names, but for ``mix_shard``, ``mix_piece`` and ``mix_order``.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ WEIGHTS = (5, 2, 1)
 LIMIT = 3
 BLOCK_WORDS = 50_000
 MAX_BLOCKS = 4096
+#: Words of a mix shard's piece: rows of a shard are in order, and cut into so many pieces that one can be sorted at a time.
+PIECE_WORDS = 20_000_000
 #: Blocks after the boundary block that may fill what is left of a source's quota.
 SPREAD = 3
 
@@ -227,16 +229,20 @@ def mix_counts(docs: DataFrame, shards: int = 16, seed: int = 11) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, shards: int = 16, seed: int = 11) -> DataFrame:
-    """The mix itself: the columns of ``docs``, a row for each draw of a row, with ``mix_shard`` and ``mix_order``."""
+    """The mix itself: the columns of ``docs``, a row for each draw of a row, with ``mix_shard``, ``mix_piece`` (ranges of
+    the order) and ``mix_order``."""
     _, targets, blocks, partial = mix_plan(docs, shards, seed)
+    words = targets.agg(F.sum("source_size")).first()[0] or 0
+    pieces = max(1, -(-words // (shards * PIECE_WORDS)))
     of = targets.select(F.col("source").alias("_us"), "n_blocks")
-    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("mix_shard", "mix_order")])
+    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("mix_shard", "mix_piece", "mix_order")])
     rows = docs.select(kept.alias("row"), "source", _unit().alias("unit"))
     rows = rows.join(of, F.col("source").eqNullSafe(F.col("_us")), "left")
     rows = _with_draws(rows.withColumn("block", _block(F.col("unit"), F.col("n_blocks"), seed)), blocks, partial)
-    order = F.xxhash64(F.lit(seed + 3), F.col("unit"), F.col("draw.pass"))
-    rows = rows.select("row", "unit", F.explode("draws").alias("draw"))
-    return rows.select("row.*", F.col("draw.shard").alias("mix_shard"), order.alias("mix_order"))
+    order = F.xxhash64(F.lit(seed + 3), F.col("unit"), F.col("draw.pass")).alias("mix_order")
+    rows = rows.select("row", F.explode("draws").alias("draw"), "unit").select("row", "draw", order)
+    piece = F.least(F.lit(pieces - 1), F.floor((F.col("mix_order") / float(1 << 64) + 0.5) * pieces)).cast("int")
+    return rows.select("row.*", F.col("draw.shard").alias("mix_shard"), piece.alias("mix_piece"), "mix_order")
 
 
 def op7_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,7 +125,7 @@ def test_mixing(spark):
     assert sorted({round(r.target, 6) for r in got}) == sorted({round(v, 6) for v in want.values()})
     assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix_counts(docs.repartition(5)).collect()))
     mixed = mixing.mixed_documents(docs)
-    assert mixed.columns == [*docs.columns, "mix_shard", "mix_order"]
+    assert mixed.columns == [*docs.columns, "mix_shard", "mix_piece", "mix_order"]
     out = mixed.collect()
     assert sum(len(spaced(r.text)) for r in out) == sum(r.taken for r in got)
     near_targets([(r.text, r.source) for r in out], {s: want[s] for s in ("a", "b", "c", None, "e")})
@@ -146,7 +146,7 @@ def test_mixing_without_ids_and_with_repeated_ids(spark, monkeypatch):
         sizes[s] += len(spaced(t))
     want = targets(dict(sizes))
     mixed = mixing.mixed_documents(wide)
-    assert mixed.columns == [c for c in wide.columns if c != "mix_shard"] + ["mix_shard", "mix_order"]
+    assert mixed.columns == [c for c in wide.columns if c != "mix_shard"] + ["mix_shard", "mix_piece", "mix_order"]
     out, times = mixed.collect(), Counter()
     for r in out:
         times[(r.doc_id, r.text)] += 1
@@ -158,6 +158,15 @@ def test_mixing_without_ids_and_with_repeated_ids(spark, monkeypatch):
     assert max(Counter(r.mix_shard for r in out).values()) < len(out) / 4
 
 
+def test_a_large_shard_is_cut_into_pieces_of_its_order(spark, monkeypatch):
+    docs = documents(spark, [(k, "x " * (1 + k * 7 % 50), "en", "abc"[k % 3]) for k in range(900)])
+    (whole,) = {r.mix_piece for r in mixing.mixed_documents(docs).collect()}
+    monkeypatch.setattr(mixing, "PIECE_WORDS", 300)
+    rows = sorted((r.mix_shard, r.mix_order, r.mix_piece) for r in mixing.mixed_documents(docs).collect())
+    assert whole == 0 and {p for *_, p in rows} == set(range(5))
+    assert all(a[2] <= b[2] for a, b in zip(rows, rows[1:]) if a[0] == b[0])
+
+
 def test_every_draw_lies_in_a_leaf_of_the_tree(spark, monkeypatch):
     """Without draws in the tree's leaves nothing is taken, so the leaves decide."""
     rows = [(k, "x " * (1 + k % 9), "en", "abc"[k % 3]) for k in range(300)]
@@ -465,6 +474,25 @@ def test_pipeline_drops_rows_not_ids(spark, tmp_path):
     assert kept_rows(corpus_pipeline.without_benchmark(spark, docs, str(tmp_path))) == Counter((d, t) for d, t, *_ in clean)
 
 
+def test_pipeline_keeps_columns_of_any_name(spark, tmp_path):
+    names = ["_id", "_s", "_block", "row", "id", "print", "least", "own", "number", "gone_print", "lang_pred", "score", "_hash", "_row", "_n", "a.b"]
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho"
+    text = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, text, "en", "a"), (2, text + " end", "en", "a"), (2, "other words here", "en", "b"), (None, f"x {passage}", "en", "a"), (None, "no id", "de", "b")]
+    docs = documents(spark, rows).withColumns({n: F.lit(f"value of {n}") for n in names})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert all(r[n] == f"value of {n}" for r in docs.collect() for n in names)
+    assert {(r.doc_id, r.text) for r in docs.collect()} <= {(1, text), (2, "other words here"), (None, "no id")}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
+
+
 @pytest.mark.parametrize("most", [50, (1 << 63) - 1])
 def test_pipeline_keeps_one_of_each_group_of_rows(spark, most):
     text = " ".join(f"word{k}" for k in range(60))
