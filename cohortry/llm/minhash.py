@@ -5,10 +5,12 @@ places, and coordinate k is the smallest value k places further on. So all coord
 the value table. ``BANDS`` bands of ``ROWS`` coordinates make candidate keys; the low bits of all coordinates and the
 set sizes screen candidates; what passes is confirmed on the full sets of word shingles.
 
-Work per group of copies stays near linear: equal sets are one class; each class first asks for a few links, to the
-nearest by bits among its keys' leads and its neighbours in them; links make components; then only classes outside a
-key's largest component are compared with the key's others, by a prefix join on their rarest shingles. Where a key
-holds many classes that all stay apart, bits are still compared inside a semi-join.
+Work per group of copies stays near linear: texts of one word sequence (by SHA-256, cut to 128 bits) are one class;
+each class first asks for a few links, to the nearest by bits among its keys' leads and its neighbours in them; links
+make components; then only classes outside a key's largest component are compared with the key's others, by a prefix
+join on their rarest shingles. A screen on bits leaves out classes that nothing in their key comes near; where a key
+would need more than ``MOST_SCREENED`` comparisons for it, all its classes go to the prefix join instead. Every link is
+confirmed on full sets; different sequences with equal sets are linked that way as well.
 
 Chance: a pair of Jaccard 0.75 shares no band with probability (1 - 0.75^4)^32 = 5e-6, and fails the screen on bits
 with about 1e-6.
@@ -20,6 +22,7 @@ repeated rows are copies of each other. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +47,8 @@ HEAD = 48
 SOME = 256
 #: Links that a class asks for before components are made.
 ASKS = 3
+#: Bit comparisons inside one key at most.
+MOST_SCREENED = 10_000_000
 #: Members of a key that one task links to their neighbours.
 CHUNK = 512
 #: Ids of documents with candidates that are broadcast at most (8 bytes each).
@@ -97,7 +102,7 @@ class Circulant:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, two fingerprints of the set, bits of the coordinates, and a key for each band."""
+    """doc_id, n_shingles, 128 bits of the word sequence's SHA-256, bits of the coordinates, and a key for each band."""
     fields = ["doc_id", "n_shingles", "print1", "print2", *_LONGS, *_KEYS]
     schema = ", ".join(f"{f} long" for f in fields)
 
@@ -117,11 +122,9 @@ def signatures(docs: DataFrame) -> DataFrame:
                 keys = (s[: BANDS * ROWS].astype(np.uint64).reshape(BANDS, ROWS) + np.uint64(1)) * salt
                 keys = np.bitwise_xor.reduce(keys ^ (keys >> np.uint64(29)), axis=1) * np.uint64(0x94D049BB133111EB)
                 keys ^= keys >> np.uint64(31)
-                mixed = h * np.uint64(0xD6E8FEB86659FD93)
                 row = out[k]
                 row[0] = len(h)
-                row[1] = np.add.reduce(h).view(np.int64)
-                row[2] = np.add.reduce(mixed ^ (mixed >> np.uint64(32))).view(np.int64)
+                row[1:3] = np.frombuffer(hashlib.sha256(b" ".join(words)).digest()[:16], np.int64)
                 row[3 : 3 + len(_LONGS)] = np.packbits((s & 1).astype(np.uint8)).view(np.int64)
                 row[3 + len(_LONGS) :] = keys.view(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -145,20 +148,24 @@ def _screen(a: str, b: str) -> Column:
 def _left_over(rest: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes in different components that may still be linked.
 
-    ``rest`` has the members (key, own, main, m) of keys that hold more than one component. Classes outside the largest
-    component that have a screened partner, and those partners, are compared by a prefix join: with a class's shingles
+    ``rest`` has the members (key, own, main, many, m) of keys that hold more than one component. Classes outside the
+    largest component that have a screened partner, and those partners, are compared by a prefix join (of keys that are
+    too large to be screened, all classes are): with a class's shingles
     in order of rarity, linked sets share one among the first n - ceil(0.75 n) + 1 of both, at places that leave
     enough others. So a near copy whose own edits fill its prefix meets only what shares these edits.
     """
-    x = rest.filter("own <> main").select(F.col("key").alias("kx"), F.col("own").alias("xo"), F.col("m").alias("x"))
-    y = rest.select(F.col("key").alias("ky"), F.col("own").alias("yo"), F.col("m").alias("y"))
+    few, many = rest.filter("not many"), rest.filter("many")
+    x = few.filter("own <> main").select(F.col("key").alias("kx"), F.col("own").alias("xo"), F.col("m").alias("x"))
+    y = few.select(F.col("key").alias("ky"), F.col("own").alias("yo"), F.col("m").alias("y"))
     fits = (F.col("kx") == F.col("ky")) & (F.col("xo") != F.col("yo")) & _screen("x", "y")
     x = written(x.join(y, fits, "left_semi"), "near-apart")
     others = x.select(F.col("x.doc").alias("doc"), F.col("xo").alias("own"), F.lit(1).alias("apart"))
     near = y.join(x, fits, "left_semi").select(F.col("y.doc").alias("doc"), F.col("yo").alias("own"), F.lit(0).alias("apart"))
-    some = written(others.union(near).groupBy("doc", "own").agg(F.max("apart").alias("apart")), "near-some")
-    few = F.broadcast(some) if some.count() <= MOST_IDS else some
-    texts = docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("doc")).select("doc", "own", "apart", "text")
+    unscreened = many.select(F.col("m.doc").alias("doc"), "own", (F.col("own") != F.col("main")).cast("int").alias("apart"))
+    every = others.union(near).union(unscreened)
+    some = written(every.groupBy("doc", "own").agg(F.max("apart").alias("apart")), "near-some")
+    ids = F.broadcast(some) if some.count() <= MOST_IDS else some
+    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("doc")).select("doc", "own", "apart", "text")
 
     def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -278,9 +285,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "own", F.coalesce("component", "doc")
     )
     sizes = known.groupBy("key", "own").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "own")).alias("top"), F.count("*").alias("c")).filter("c > 1")
-    mixed = mixed.select("key", F.col("top.own").alias("main"))
-    rest = written(known.join(mixed, "key").select("key", "own", "main", mine.alias("m")), "near-rest")
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "own")).alias("top"), F.count("*").alias("c"), F.sum("n").alias("all"))
+    many = (F.col("all") - F.col("top.n")) * F.col("all") > MOST_SCREENED
+    mixed = mixed.filter("c > 1").select("key", F.col("top.own").alias("main"), many.alias("many"))
+    rest = written(known.join(mixed, "key").select("key", "own", "main", "many", mine.alias("m")), "near-rest")
     second = written(_left_over(rest, docs), "near-second")
     if second.isEmpty():
         final = labels

@@ -1,6 +1,7 @@
 """Each operator on awkward rows and on the empty table, against brute force."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -302,9 +303,9 @@ def linked(docs):
     return {d: (len(sets[d]), top(d)) for d in sets}
 
 
-def test_near_duplicates(spark):
-    import random
-
+@pytest.mark.parametrize("screened", [minhash.MOST_SCREENED, 0])
+def test_near_duplicates(spark, monkeypatch, screened):
+    monkeypatch.setattr(minhash, "MOST_SCREENED", screened)
     rng = random.Random(3)
     base = [f"b{k}" for k in range(120)]
     docs = list(BASE)
@@ -314,6 +315,8 @@ def test_near_duplicates(spark):
             w[rng.randrange(120)] = f"e{rng.random()}"
         docs.append((100 + k, " ".join(w), "en", "a"))
     docs += [(400 + k, " ".join(f"r{rng.randrange(50)}" for _ in range(rng.randrange(1, 60))), "en", "b") for k in range(60)]
+    docs += [(500 + k, "one line that repeats again and " * (2 + k), "en", "b") for k in range(5)]  # equal sets, not texts
+    docs += [(520 + k, " ".join(base[:75] + [f"own{k}x{j}" for j in range(45)]), "en", "b") for k in range(40)]  # a shared part
     got = minhash.near_duplicates(documents(spark, docs)).collect()
     want = linked([d for d in docs if d[0] is not None])
     assert len(got) == len(docs)
