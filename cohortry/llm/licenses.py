@@ -1,10 +1,15 @@
 """License scan by a positional rare-token index.
 
-Templates are short fixed texts of licence notices, each with key phrases that must stand in the file. Every phrase is
-indexed under its rarest words by inverse document frequency over the whole corpus. A file's licence words are taken
-from the highest IDF down; a word's postings say where each phrase would start, and the postings of the phrase's
-second-rarest word must agree on that start (relative position) before the whole phrase is compared. A template's
-label needs all its key phrases, and its score is the part of its words, by IDF, that stand where its phrases put them.
+Templates are the public texts or notices of common licences, each with key phrases that must stand in the file. A
+template is indexed under the places of its ``RARE`` rarest words alone, those of its key phrases that have the highest
+inverse document frequency over the whole corpus; more common words have no postings. A file's words that have postings
+are looked up from the highest IDF down, and each posting says where the template would start. A template is a
+candidate where two of its rare words put its start within ``SHIFT`` words of each other (relative position); then its
+key phrases are looked for, word by word. Its score is the part of its words, by IDF, that stand where one of the
+agreeing starts puts them, so a template with words put in between is still met in pieces.
+
+Base phrases are indexed under their rarest word in the same way and compared at each of its places, so all of their
+places are found.
 
 Edge cases: a null or empty text has no words and no labels; overlapping places all count; repeated rows each get
 their result; an empty table gives an empty table; only doc_id and text are read.
@@ -21,48 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.llm.common import PLAIN_BYTES, table
+from cohortry.llm.license_texts import BASE, TEMPLATES
 
-#: Fixed values. Base phrases and their labels.
-BASE = {
-    "gnu general public license": "gpl",
-    "apache license": "apache",
-    "cc by": "cc-by",
-    "mit license": "mit",
-}
-#: Label -> (notice, key phrases that must all stand in the file).
-TEMPLATES = {
-    "apache-2.0": ("licensed under the apache license version 2.0", ["apache license version 2 0"]),
-    "bsd": (
-        "redistribution and use in source and binary forms with or without modification are permitted",
-        ["redistribution and use in source and binary forms"],
-    ),
-    "cc-by-4.0": ("licensed under cc by 4.0", ["cc by 4 0"]),
-    "cc-by-nc-4.0": ("licensed under cc by-nc 4.0", ["cc by nc 4 0"]),
-    "cc-by-sa-4.0": ("licensed under cc by-sa 4.0", ["cc by sa 4 0"]),
-    "gpl-2.0": (
-        "this work is licensed under the gnu general public license version 2",
-        ["gnu general public license version 2"],
-    ),
-    "gpl-3.0": (
-        "this work is licensed under the gnu general public license version 3",
-        ["gnu general public license version 3"],
-    ),
-    "isc": (
-        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
-        ["permission to use copy modify and or distribute this software"],
-    ),
-    "lgpl": ("the gnu lesser general public license", ["gnu lesser general public license"]),
-    "mit-notice": ("released under the mit license", ["released under the mit license"]),
-    "mit-text": (
-        "permission is hereby granted free of charge to any person obtaining a copy of this software",
-        ["permission is hereby granted free of charge", "obtaining a copy of this software"],
-    ),
-    "mpl-2.0": ("mozilla public license version 2.0", ["mozilla public license version 2 0"]),
-    "unlicense": (
-        "this is free and unencumbered software released into the public domain",
-        ["free and unencumbered software released into the public domain"],
-    ),
-}
+#: Words that a template is indexed under, starts that count as agreeing, and the score of a base label alone.
+RARE, SHIFT, BASE_SCORE = 4, 8, 0.5
 
 
 def plain_words(text: str) -> list[bytes]:
@@ -70,20 +37,9 @@ def plain_words(text: str) -> list[bytes]:
     return text.encode().translate(PLAIN_BYTES).split()
 
 
-def all_phrases() -> dict[tuple[bytes, ...], list[str]]:
-    """Each phrase's words -> the labels that need it; base phrases need nothing else."""
-    out = defaultdict(list)
-    for phrase, label in BASE.items():
-        out[tuple(plain_words(phrase))].append(label)
-    for label, (_, phrases) in TEMPLATES.items():
-        for p in phrases:
-            out[tuple(plain_words(p))].append(label)
-    return dict(out)
-
-
 def licence_words() -> list[bytes]:
-    words = {w for p in all_phrases() for w in p}
-    return sorted(words | {w for notice, _ in TEMPLATES.values() for w in plain_words(notice)})
+    texts = [*BASE, *(t for text, keys in TEMPLATES.values() for t in (text, *keys))]
+    return sorted({w for t in texts for w in plain_words(t)})
 
 
 def document_frequencies(docs: DataFrame) -> tuple[dict[bytes, int], int]:
@@ -107,65 +63,75 @@ def document_frequencies(docs: DataFrame) -> tuple[dict[bytes, int], int]:
 
 
 class RareTokenIndex:
-    """Postings (phrase, place in it) of the phrases' rarest words, and the words' IDF."""
+    """Postings of the rarest words of phrases and templates, and the words' IDF."""
 
     def __init__(self, frequencies: dict[bytes, int], n_docs: int):
         self.idf = {w: math.log((1 + n_docs) / (1 + frequencies.get(w, 0))) + 1 for w in licence_words()}
-        self.phrases = list(all_phrases())
-        self.labels = [all_phrases()[p] for p in self.phrases]
+        self.base = [(tuple(plain_words(p)), label) for p, label in BASE.items()]
+        self.by_base: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        for k, (p, _) in enumerate(self.base):
+            j = self._rarest(p)
+            self.by_base[p[j]].append((k, j))
+        self.templates: list[tuple[str, list[bytes], list[tuple[bytes, ...]]]] = []
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        self.second: list[int] = []
-        for k, p in enumerate(self.phrases):
-            order = sorted(range(len(p)), key=lambda j: (-self.idf[p[j]], j))
-            self.postings[p[order[0]]].append((k, order[0]))
-            self.second.append(order[1])
-        self.rare = sorted(self.postings, key=lambda w: (-self.idf[w], w))
+        for k, (label, (text, keys)) in enumerate(TEMPLATES.items()):
+            words, phrases = plain_words(text), [tuple(plain_words(p)) for p in keys]
+            self.templates.append((label, words, phrases))
+            rare = sorted({w for p in phrases for w in p}, key=lambda w: (-self.idf[w], w))[:RARE]
+            for w in rare:
+                self.postings[w] += [(k, j) for j, x in enumerate(words) if x == w]
+        self.order = sorted(self.postings, key=lambda w: (-self.idf[w], w))
         self.vocabulary = frozenset(self.idf)
-        self.needs: dict[str, list[int]] = defaultdict(list)
-        for k, labels in enumerate(self.labels):
-            for label in labels:
-                self.needs[label].append(k)
+
+    def _rarest(self, phrase: tuple[bytes, ...]) -> int:
+        return max(range(len(phrase)), key=lambda j: (self.idf[phrase[j]], -j))
+
+    def _places(self, phrase: tuple[bytes, ...], words: list[bytes], at: dict[bytes, list[int]]) -> list[int]:
+        """Starts of the phrase, by its rarest word."""
+        j, n = self._rarest(phrase), len(phrase)
+        return [i - j for i in at.get(phrase[j], ()) if i >= j and tuple(words[i - j : i - j + n]) == phrase]
 
     def scan(self, words: list[bytes]) -> dict:
-        """Starts of every phrase's places, base counts and labels of a file."""
+        """Starts and labels of base phrases, labels of all kinds and the best score of a file."""
         present = self.vocabulary.intersection(words)
         at: dict[bytes, list[int]] = defaultdict(list)
-        if any(w in present for w in self.rare):
+        if any(w in present for w in self.by_base) or any(w in present for w in self.postings):
             for i, w in enumerate(words):
                 if w in present:
                     at[w].append(i)
-        starts: dict[int, list[int]] = {}
-        for w in (w for w in self.rare if w in present):
+        base = []
+        for w in (w for w in self.by_base if w in at):
+            for k, _ in self.by_base[w]:
+                phrase, label = self.base[k]
+                base += [(s, label) for s in self._places(phrase, words, at)]
+        labels = {label for _, label in base}
+        score = BASE_SCORE if base else 0.0
+        starts: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
+        for w in (w for w in self.order if w in at):
             for k, j in self.postings[w]:
-                phrase = self.phrases[k]
-                if not present.issuperset(phrase):
-                    continue
-                other = self.second[k]
-                agreed = {i - j for i in at[w]}.intersection(i - other for i in at[phrase[other]])
-                good = sorted(s for s in agreed if s >= 0 and tuple(words[s : s + len(phrase)]) == phrase)
-                if good:
-                    starts[k] = good
-        base = [(s, label) for k, found in starts.items() for label in self.labels[k] if label in BASE.values() for s in found]
-        labels = {label for label, need in self.needs.items() if all(k in starts for k in need)}
-        score = max((self._score(label, words, starts, present) for label in labels), default=0.0)
+                starts[k] += [(i - j, w) for i in at[w]]
+        for k, found in starts.items():
+            label, template, phrases = self.templates[k]
+            agreed = agreeing(found)
+            if agreed and all(self._places(p, words, at) for p in phrases):
+                labels.add(label)
+                score = max(score, self._score(template, words, agreed))
         return {"base": base, "labels": labels, "score": score}
 
-    def _score(self, label: str, words: list[bytes], starts: dict[int, list[int]], present: frozenset) -> float:
-        """The best part of the notice's words, by IDF, in the places that its first key phrase puts them."""
-        if label not in TEMPLATES:
-            return 0.5
-        notice = plain_words(TEMPLATES[label][0])
-        k = self.needs[label][0]
-        phrase = self.phrases[k]
-        lead = next(i for i in range(len(notice)) if tuple(notice[i : i + len(phrase)]) == phrase)
-        whole = sum(self.idf[w] for w in notice)
-        best = 0.0
-        for s in starts[k]:
-            held = sum(
-                self.idf[w] for i, w in enumerate(notice) if 0 <= s - lead + i < len(words) and words[s - lead + i] == w
-            )
-            best = max(best, held / whole)
-        return min(1.0, best)
+    def _score(self, template: list[bytes], words: list[bytes], starts: list[int]) -> float:
+        stands = [any(0 <= s + j < len(words) and words[s + j] == w for s in starts) for j, w in enumerate(template)]
+        held = sum(self.idf[w] for w, x in zip(template, stands, strict=True) if x)
+        return min(1.0, held / sum(self.idf[w] for w in template))
+
+
+def agreeing(found: list[tuple[int, bytes]]) -> list[int]:
+    """Starts that another word's start is near to (within ``SHIFT``)."""
+    found = sorted(found)
+    agreed = set()
+    for a, b in zip(found, found[1:], strict=False):  # of a run of starts, neighbours of different words are enough
+        if a[1] != b[1] and b[0] - a[0] <= SHIFT:
+            agreed.update((a[0], b[0]))
+    return sorted(agreed)
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
