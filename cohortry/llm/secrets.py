@@ -1,19 +1,28 @@
 """Secret scan: Aho-Corasick keyword prefilter, anchored expressions near hits, embedded checksums.
 
 A text is scanned once for keywords in any case; an expression is tried only at the place of its keyword. Long hex
-strings have no keyword: a run of 24 characters covers every 24th place, so only these places are probed. Tokens that
-carry a CRC-32 of themselves are reported only if it holds.
+strings have no keyword: a run of 24 characters covers every 24th place, so only these places are probed. What carries a
+check of itself is reported only if that holds:
 
-Offsets are code points, ends exclusive. Edge cases: a null or empty text has no span; repeated rows each get theirs;
-an empty table gives an empty table; only doc_id and text are read.
+``signed``  tokens of code hosts, whose last six characters are the CRC-32 of the others in base 62
+``card``    payment card numbers of a known issuer and length, by Luhn's sum; issuers' first digits are the keywords
+``iban``    account numbers after the word IBAN, of their country's length, by the remainder of 97
+``jwt``     web tokens whose first two parts are JSON objects, the first with ``alg``
+``key``     private keys in PEM whose bytes are as long as their own outer length says, or start as OpenSSH keys do
+
+Offsets are code points, ends exclusive; spans of one kind don't overlap. Edge cases: a null or empty text has no span;
+repeated rows each get theirs; an empty table gives an empty table; only doc_id and text are read.
 """
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
+import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -23,24 +32,41 @@ from pyspark.sql import functions as F
 
 from cohortry.llm.common import table
 
-#: Keywords, expressions and least lengths.
+#: Base kinds first; spans that start together come in this order.
+BASE_KINDS = ("assign", "access", "hex")
+KINDS = (*BASE_KINDS, "card", "iban", "jwt", "key", "signed")
+#: Keywords, expressions, least lengths, issuers' first digits with lengths, lengths by country.
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 SIGNED_WORDS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_")
 SIGNED = re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
+ISSUERS = {
+    "4": (13, 16, 19), "51": (16,), "52": (16,), "53": (16,), "54": (16,), "55": (16,), "22": (16,), "23": (16,), "24": (16,),
+    "25": (16,), "26": (16,), "27": (16,), "34": (15,), "37": (15,), "6011": (16, 19), "64": (16, 19), "65": (16, 19),
+    "35": (16, 19), "36": (14,), "38": (14,),
+}
+CARD = re.compile(r"(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5}|[0-9]{13,19})(?![0-9A-Za-z])")
+COUNTRIES = {
+    "AD": 24, "AE": 23, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24,
+    "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IS": 26, "IT": 27, "LI": 21, "LT": 20,
+    "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "RS": 22, "SA": 24, "SE": 24,
+    "SI": 19, "SK": 24, "SM": 27, "TR": 26, "UA": 29,
+}
+_NUMBERS = "|".join(rf"{c}[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for c, n in COUNTRIES.items())
+IBAN = re.compile(rf"iban(?:\x20{{0,4}}(?:no|nr|number))?\.?\x20{{0,4}}[:=]?\x20{{0,4}}({_NUMBERS})(?![A-Z0-9])", re.IGNORECASE | re.ASCII)
+JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
+KEY = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]*)-----END \1-----", re.ASCII)
 HEX_RUN = re.compile(r"[0-9a-f]*")
 HEX_BYTE = np.array([chr(c) in "0123456789abcdef" for c in range(256)])
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
-#: Base kinds first; spans that start together come in this order.
-KINDS = ("assign", "access", "hex", "signed")
 
 
-def checksum_holds(body: str, check: str) -> bool:
-    """The last six characters are the CRC-32 of the others in base 62."""
+def crc_holds(body: str, check: str) -> bool:
+    """The check is the CRC-32 of the body in base 62, six digits long."""
     crc, digits = zlib.crc32(body.encode()), ""
     while crc:
         crc, d = divmod(crc, 62)
@@ -48,9 +74,60 @@ def checksum_holds(body: str, check: str) -> bool:
     return digits.rjust(6, "0") == check
 
 
+def card_holds(number: str) -> bool:
+    """Luhn's sum of an issuer's number: every second digit from the right counts twice, the digits of it summed."""
+    digits = [int(c) for c in number if c.isdigit()]
+    lengths = next((n for k in (4, 2, 1) if (n := ISSUERS.get("".join(map(str, digits[:k]))))), ())
+    doubled = sum(sum(divmod(2 * d, 10)) for d in digits[-2::-2])
+    return len(digits) in lengths and (sum(digits[-1::-2]) + doubled) % 10 == 0
+
+
+def iban_holds(number: str) -> bool:
+    """The number with its first four characters last, letters as 10 to 35, leaves 1 when divided by 97."""
+    bare = number.replace(" ", "").upper()
+    return int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+
+
+def jwt_holds(head: str, body: str) -> bool:
+    try:
+        parts = [json.loads(base64.urlsafe_b64decode(p + "=" * (-len(p) % 4))) for p in (head, body)]
+    except (ValueError, RecursionError):
+        return False
+    return all(isinstance(p, dict) for p in parts) and "alg" in parts[0]
+
+
+def key_holds(body: str) -> bool:
+    try:
+        raw = base64.b64decode("".join(body.split()), validate=True)
+    except binascii.Error:
+        return False
+    if raw.startswith(b"openssh-key-v1\0"):
+        return True
+    if len(raw) < 2 or raw[0] != 0x30:
+        return False
+    n = raw[1] & 0x7F if raw[1] & 0x80 else 0  # bytes that hold the length, else it is the byte itself
+    length = int.from_bytes(raw[2 : 2 + n]) if n else raw[1]
+    return len(raw) == 2 + n + length
+
+
+#: Kind -> its keywords in lower case, its expression, the group that is the span, and the check.
+SCANS: dict[str, tuple[tuple[str, ...], re.Pattern, int, Callable[[re.Match], bool]]] = {
+    "assign": (ASSIGN_WORDS, ASSIGN, 0, lambda m: len(m[2]) >= LEAST_VALUE),
+    "access": (("akia",), ACCESS, 0, lambda m: len(m[0]) >= LEAST_ACCESS),
+    "card": (tuple(ISSUERS), CARD, 0, lambda m: card_holds(m[0])),
+    "iban": (("iban",), IBAN, 1, lambda m: iban_holds(m[1])),
+    "jwt": (("eyj",), JWT, 0, lambda m: jwt_holds(m[1], m[2])),
+    "key": (("-----begin ",), KEY, 0, lambda m: key_holds(m[2])),
+    "signed": (SIGNED_WORDS, SIGNED, 0, lambda m: crc_holds(m[1], m[2])),
+}
+#: Kinds that start only where none of these characters stands before, so that parts of longer runs aren't tried.
+WORD = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+ALONE = {"card": WORD, "jwt": WORD | {"-", "_"}}
+
+
 def keyword_automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for kind, words in (("assign", ASSIGN_WORDS), ("access", ("akia",)), ("signed", SIGNED_WORDS)):
+    for kind, (words, *_) in SCANS.items():
         for w in words:
             found.add_word(w, (kind, len(w)))
     found.make_automaton()
@@ -63,20 +140,15 @@ def byte_spans(raw: bytes, keywords: ahocorasick.Automaton) -> list[tuple[int, i
     after = dict.fromkeys(KINDS, 0)
     hits = sorted((end + 1 - n, kind) for end, (kind, n) in keywords.iter(raw.lower().decode("latin-1")))
     for at, kind in hits:
-        if at < after[kind]:
+        if at < after[kind] or (at and kind in ALONE and text[at - 1] in ALONE[kind]):
             continue
-        m = (ASSIGN if kind == "assign" else ACCESS if kind == "access" else SIGNED).match(text, at)
+        _, pattern, group, holds = SCANS[kind]
+        m = pattern.match(text, at)
         if not m:
             continue
         after[kind] = m.end()
-        if kind == "assign":
-            good = len(m[2]) >= LEAST_VALUE
-        elif kind == "access":
-            good = m.end() - at >= LEAST_ACCESS
-        else:
-            good = checksum_holds(m[1], m[2])
-        if good:
-            spans.append((at, KINDS.index(kind), m.end()))
+        if holds(m):
+            spans.append((m.start(group), KINDS.index(kind), m.end(group)))
     end = 0
     probes = np.flatnonzero(HEX_BYTE[np.frombuffer(raw, np.uint8)[LEAST_HEX - 1 :: LEAST_HEX]])
     for at in (probes * LEAST_HEX + LEAST_HEX - 1).tolist():
@@ -119,19 +191,19 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def secret_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_signed for each row of ``docs``."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, and the number of checked spans for each row of ``docs``."""
     found = find_secrets(docs)
 
-    def count(kind: str) -> Column:
-        return F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    def count(*kinds: str) -> Column:
+        return F.size(F.filter("found", lambda x: x["kind"].isin(*kinds))).cast("long")
 
     def joined(spans: Column) -> Column:
         return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])))
 
-    base = F.filter("found", lambda x: x["kind"].isin(*KINDS[:3]))
+    base = F.filter("found", lambda x: x["kind"].isin(*BASE_KINDS))
     return found.select(
-        "doc_id", *[count(k) for k in KINDS[:3]], F.sha2(joined(base), 256).alias("base_sha256"),
-        joined(F.col("found")).alias("spans"), count("signed"),
+        "doc_id", *[count(k).alias(f"n_{k}") for k in BASE_KINDS], F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("found")).alias("spans"), count(*KINDS[len(BASE_KINDS) :]).alias("n_checked"),
     )
 
 

@@ -1,11 +1,13 @@
 """Queries with SQL against DuckDB, and held-out quality of what is learned, on the driver's tables."""
 
+import hashlib
 import zlib
 from pathlib import Path
 
 import pytest
 
-from cohortry.llm import language, queries, toxicity
+from cohortry.llm import language, licenses, queries, secrets, toxicity
+from tests.llm.test_small_tables import base_spans, license_base
 from tests.test_queries import DATA, TABLES, cells  # noqa: F401
 from tests.test_queries import duck  # noqa: F401
 
@@ -22,6 +24,19 @@ def test_query(spark, duck, name):  # noqa: F811
     assert cells(df.collect(), df.columns) == cells(want.fetchall(), names)
 
 
+def test_base_licenses_and_secrets_of_every_row(spark):
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "text", "source")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    found = licenses.scan_licenses(docs).collect()
+    assert len(found) == len(text) and any(r.labels != r.base_labels for r in found)
+    for r in found:
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == license_base(text[r.doc_id])
+    spans = secrets.secret_digests(docs).collect()
+    assert len(spans) == len(text)
+    for r in spans:
+        assert r.base_sha256 == hashlib.sha256(base_spans(text[r.doc_id]).encode()).hexdigest()
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet(f"{LARGER}/documents.parquet")
     lang = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}

@@ -1,6 +1,9 @@
 """Each operator on awkward rows and on the empty table, against brute force."""
 
+import base64
 import hashlib
+import json
+import math
 import random
 import re
 import zlib
@@ -363,7 +366,52 @@ def test_secrets(spark):
     want = sorted(((d, hashlib.sha256(base_spans(t).encode()).hexdigest()) for d, t, *_ in docs), key=str)
     assert sorted(((r.doc_id, r.base_sha256) for r in got), key=str) == want
     five = next(r for r in got if r.doc_id == 5)
-    assert five.n_signed == 2 and f"signed:{len(good) + 43}:{2 * len(good) + 43}" in five.spans
+    assert five.n_checked == 2 and f"signed:{len(good) + 43}:{2 * len(good) + 43}" in five.spans
+
+
+def part(value):
+    return base64.urlsafe_b64encode(json.dumps(value).encode()).decode().rstrip("=")
+
+
+def pem(raw, name="PRIVATE KEY"):
+    body = base64.b64encode(raw).decode()
+    return f"-----BEGIN {name}-----\n" + "\n".join(body[k : k + 64] for k in range(0, len(body), 64)) + f"\n-----END {name}-----"
+
+
+DER = b"\x30\x82\x01\x00" + bytes(range(256))
+GOOD = {
+    "card": ["4111111111111111", "4111 1111 1111 1111", "5555-5555-5555-4444", "378282246310005", "3782 822463 10005", "6011111111111117", "36227206271667"],
+    "iban": ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "FR14 2004 1010 0505 0001 3M02 606", "nl91abna0417164300"],
+    "jwt": [f"{part({'alg': 'HS256'})}.{part({'sub': 'é', 'n': 1})}.c2lnbmF0dXJl"],
+    "key": [pem(DER), pem(DER, "RSA PRIVATE KEY"), pem(b"\x30\x03abc", "EC PRIVATE KEY"), pem(b"openssh-key-v1\0rest", "OPENSSH PRIVATE KEY")],
+}
+NEAR = {
+    "card": ["4111111111111112", "4111 1111-1111 1111", "41111111111111111", "x4111111111111111", "4111111111111111y", "9111111111111111", "411111111111111"],
+    "iban": ["DE88370400440532013000", "DE8937040044053201300", "DE893704004405320130001", "XX89370400440532013000", "GB82 WEST  1234 5698 7654 32"],
+    "jwt": [f"{part({'typ': 'x'})}.{part({'a': 1})}.x", f"{part([1])}.{part({'a': 1})}.x", f"{part({'alg': 'x'})}.eyJub3Q.x", f"x{part({'alg': 'x'})}.{part({})}.x"],
+    "key": [pem(DER[:-1]), pem(DER + b"x"), pem(b"text"), pem(DER, "CERTIFICATE"), pem(DER).replace("\n", "\n!", 2), "-----BEGIN PRIVATE KEY-----"],
+}
+
+
+def test_checked_secrets(spark):
+    """Planted secrets of each kind are found at their places, near misses of them aren't."""
+    docs, want = [], {}
+    for good, cases in ((True, GOOD), (False, NEAR)):
+        for kind, values in cases.items():
+            for v in values:
+                before = "é straße IBAN no: " if kind == "iban" else "é straße: "
+                want[len(docs)] = [(kind, len(before), len(before) + len(v))] if good else []
+                docs.append((len(docs), f"{before}{v} –", "en", "a"))
+    docs.append((len(docs), "x".join(["é 4111111111111111"] * 3000) + " " * 9, "en", "a"))
+    docs.append((len(docs), "iban" + " " * 50_000 + "-eyJ" * 20_000 + "-----BEGIN PRIVATE KEY-----" * 2000 + "4" * 50_000, "en", "a"))
+    got = {r.doc_id: r for r in secrets.secret_digests(documents(spark, docs)).collect()}
+    for d, spans in want.items():
+        found = [x.rsplit(":", 2) for x in got[d].spans.split(",") if x]
+        assert [(k, int(a), int(b)) for k, a, b in found if k not in secrets.BASE_KINDS] == spans, docs[d]
+        assert got[d].n_checked == len(spans)
+    assert got[len(docs) - 2].n_checked == 1 and got[len(docs) - 1].n_checked == 0
+    for r in got.values():
+        assert r.base_sha256 == hashlib.sha256(base_spans(docs[r.doc_id][1]).encode()).hexdigest()
 
 
 def license_base(t):
@@ -390,6 +438,60 @@ def test_licenses(spark):
     assert all(0 <= r.score <= 1 and (r.score > 0) == bool(r.labels) for r in got)
 
 
+def license_labels(texts):
+    """Labels and scores by plain search: every word of a key phrase, every pair of starts."""
+    docs = [plain(t) for t in texts]
+    n = Counter(w for d in docs for w in set(d))
+    for words in docs:
+        labels, score = {x for p, x in licenses.BASE.items() if holds(words, p.split())}, 0.0
+        score = 0.5 if labels else 0.0
+        for label, (text, keys) in licenses.TEMPLATES.items():
+            template, phrases = plain(text), [plain(k) for k in keys]
+            idf = {w: math.log((1 + len(docs)) / (1 + n[w])) + 1 for w in [*template, *(w for p in phrases for w in p)]}
+            rare = sorted({w for p in phrases for w in p}, key=lambda w: (-idf[w], w.encode()))[: licenses.RARE]
+            starts = [(i - j, w) for i, w in enumerate(words) if w in rare for j, x in enumerate(template) if x == w]
+            if any(a[1] != b[1] and abs(a[0] - b[0]) <= licenses.SHIFT for a in starts for b in starts) and all(holds(words, p) for p in phrases):
+                labels.add(label)
+                near = agreed(starts)
+                stands = sum(idf[w] for j, w in enumerate(template) if any(0 <= s + j < len(words) and words[s + j] == w for s in near))
+                score = max(score, stands / sum(idf[w] for w in template))
+        yield ",".join(sorted(labels)), score
+
+
+def agreed(starts):
+    starts, near = sorted((s, w.encode()) for s, w in starts), set()
+    for (a, x), (b, y) in zip(starts, starts[1:]):
+        if x != y and b - a <= licenses.SHIFT:
+            near |= {a, b}
+    return near
+
+
+def holds(words, phrase):
+    return any(words[i : i + len(phrase)] == phrase for i in range(len(words) - len(phrase) + 1))
+
+
+def test_license_templates(spark):
+    """Whole texts, texts with words put in, texts that lack a key phrase, and mixtures of pieces, against plain search."""
+    rng = random.Random(5)
+    filler = " ".join(f"w{k}" for k in range(300))
+    texts, full = [], {}
+    for label, (text, keys) in licenses.TEMPLATES.items():
+        full[len(texts)] = label
+        texts.append(f"{filler} Copyright 2020 Someone. {text} {filler}")
+        words = text.split()
+        half = len(words) // 2
+        texts.append(" ".join([*words[:half], *["put in"] * 6, *words[half:]]))
+        texts.append(re.sub(keys[0].split()[0], "changed", text, flags=re.I))
+    pieces = [" ".join(t.split()[k : k + 15]) for t, _ in licenses.TEMPLATES.values() for k in range(0, len(t.split()), 10)]
+    texts += [" ".join(rng.choice([*pieces, filler[:40]]) for _ in range(rng.randrange(1, 60))) for _ in range(60)]
+    got = {r.doc_id: r for r in licenses.scan_licenses(documents(spark, [(k, t, "en", "a") for k, t in enumerate(texts)])).collect()}
+    for k, (labels, score) in enumerate(license_labels(texts)):
+        assert got[k].labels == labels and got[k].score == pytest.approx(score)
+    for k, label in full.items():
+        assert label in got[k].labels.split(",") and got[k].score == pytest.approx(1.0)
+        assert label not in got[k + 2].labels.split(",")
+
+
 def test_languages_without_labels(spark):
     docs = documents(spark).withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in language.document_languages(docs).collect()} == {"und"}
