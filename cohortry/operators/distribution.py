@@ -63,13 +63,14 @@ def intervals(df: DataFrame, group: Sequence[str], order: str, prob: str) -> Dat
 def draw(rows: DataFrame, outcomes: DataFrame, u: str, keys: Sequence[str] = ()) -> DataFrame:
     """Gives each row the outcome whose interval holds its ``u``; ``outcomes`` has lo, hi and the keys.
 
-    Outcomes are a small dimension: without keys they are broadcast for a nested-loop join, with keys for a hash join.
+    Without keys the outcomes are one distribution, which is broadcast for a nested-loop join; with keys they grow with
+    the groups, so Spark chooses the join by their size.
     """
     o = outcomes.select(*[F.col(c).alias(f"_o_{c}") if c in keys else F.col(c) for c in outcomes.columns])
     fits = (F.col(u) >= F.col("lo")) & (F.col(u) < F.col("hi"))
     for k in keys:
         fits = fits & (F.col(k) == F.col(f"_o_{k}"))
-    return rows.join(F.broadcast(o), fits).drop("lo", "hi", *[f"_o_{k}" for k in keys])
+    return rows.join(o if keys else F.broadcast(o), fits).drop("lo", "hi", *[f"_o_{k}" for k in keys])
 
 
 def single_ages(bins: DataFrame, lo: str = "lo", hi: str = "hi", prob: str = "prob") -> DataFrame:
@@ -106,14 +107,22 @@ def value_counts(df: DataFrame, value: str) -> DataFrame:
     return df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n")).orderBy(value)
 
 
-def kernel_density(df: DataFrame, value: str, lo: int, hi: int, factor: float) -> DataFrame:
+def kernel_density(df: DataFrame, value: str, lo: int, hi: int, factor: float, step: float | None = None) -> DataFrame:
     """Gaussian kernel density at the integers lo..hi-1, normalised to 1; bandwidth is factor times the sample's
     standard deviation.
 
-    Equal values are counted first, so the join with the grid has as many rows as different values times grid points.
+    Equal values are counted first, and all else comes from these counts; the join with the grid has as many rows as
+    different values times grid points. A continuous column needs ``step``: values are then rounded to its multiples,
+    which bounds the different values by the column's range.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("x")).agg(F.count("*").alias("n"))
-    spread = df.agg((F.stddev_samp(value) * factor).alias("h"))
+    x = F.col(value).cast("double")
+    x = F.round(x / step) * step if step else x
+    counts = df.filter(F.col(value).isNotNull()).groupBy(x.alias("x")).agg(F.count("*").alias("n"))
+    moments = counts.agg(F.sum("n").alias("_n"), (F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("_m"))
+    off = F.col("x") - F.col("_m")
+    spread = counts.crossJoin(F.broadcast(moments)).agg(
+        (F.sqrt(F.try_divide(F.sum(F.col("n") * off * off), F.max("_n") - 1)) * factor).alias("h")
+    )
     grid = df.sparkSession.range(lo, hi).select(F.col("id").cast("int").alias("at"))
     kernel = F.col("n") * F.exp(-0.5 * F.pow((F.col("at") - F.col("x")) / F.col("h"), 2))
     raw = (

@@ -94,11 +94,34 @@ def matrix_violations(long: DataFrame, states: DataFrame, keys: list[str], toler
     )
 
 
-def assert_valid(long: DataFrame, states: DataFrame, keys: list[str]) -> None:
-    """Raises if anything is wrong; a few problems are named."""
-    found = matrix_violations(long, states, keys).limit(5).collect()
-    if found:
-        raise ValueError(f"transition table: {[tuple(r) for r in found]}")
+def start_violations(starts: DataFrame, states: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, state, ``start``: start states that aren't states of their scenario."""
+    known = states.select(*keys, "state")
+    return starts.select(*keys, "state").distinct().join(known, [*keys, "state"], "left_anti").select(*keys, "state", F.lit("start").alias("problem"))
+
+
+def initial_violations(initial: DataFrame, states: DataFrame, keys: list[str], tolerance: float = 1e-5) -> DataFrame:
+    """Problems of initial probabilities (keys, state, prob): ``initial`` (a scenario's don't sum to 1; no state is named)
+    and ``start`` (a state that isn't one of the scenario's)."""
+    total = initial.groupBy(*keys).agg(F.sum("prob").alias("_total"))
+    bad = total.filter(F.abs(F.col("_total") - 1) > tolerance)
+    bad = bad.select(*keys, F.lit(None).cast("string").alias("state"), F.lit("initial").alias("problem"))
+    return bad.union(start_violations(initial, states, keys))
+
+
+def assert_valid(
+    long: DataFrame, states: DataFrame, keys: list[str], starts: DataFrame | None = None, initial: DataFrame | None = None
+) -> None:
+    """Raises if anything is wrong with the table, the start states or the initial probabilities; a few problems are
+    named."""
+    found = matrix_violations(long, states, keys)
+    if starts is not None:
+        found = found.union(start_violations(starts, states, keys))
+    if initial is not None:
+        found = found.union(initial_violations(initial, states, keys))
+    rows = found.limit(5).collect()
+    if rows:
+        raise ValueError(f"transition table: {[tuple(r) for r in rows]}")
 
 
 def stored_or_new(stored: DataFrame | None, new: DataFrame, states: DataFrame, override: bool = False) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,17 @@ def run_line(keys: list[str]) -> Window:
     return Window.partitionBy(*keys, "run_id").orderBy("step")
 
 
+def moves(paths: DataFrame, keys: list[str]) -> DataFrame:
+    """Each step that has a next one, as from_state and to_state."""
+    after = F.lead("state").over(run_line(keys))
+    return paths.withColumn("to_state", after).filter("to_state is not null").withColumnRenamed("state", "from_state")
+
+
+def first_states(paths: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys, run and state of each run's smallest step."""
+    return paths.groupBy(*keys, "run_id").agg(F.min_by("state", "step").alias("state"))
+
+
 def with_doses(paths: DataFrame, treatments: DataFrame, digits: int = 2) -> DataFrame:
     """Adds the week's dose and cost by state, regime and weight at age ``step``, both rounded; cost comes from the
     unrounded dose."""
@@ -47,6 +59,19 @@ def prophylaxis_consumption(step: Column, state: Column) -> Column:
     return on_demand_consumption(step, state) + growth_weight(step) * 50
 
 
+def plain_reward(score: Callable[[int, str], float]) -> Reward:
+    """A reward from a plain function of step and state, for what built-in functions can't say; it runs in Arrow batches,
+    once for each different pair of a batch."""
+
+    @F.pandas_udf("double")
+    def scored(step: pd.Series, state: pd.Series) -> pd.Series:
+        pairs = list(zip(step, state, strict=True))
+        known = {p: float(score(*p)) for p in set(pairs)}
+        return pd.Series([known[p] for p in pairs], dtype="float64")
+
+    return scored
+
+
 def add_rewards(paths: DataFrame, rewards: dict[str, Reward], step_offset: str = "natural") -> DataFrame:
     """A column for each reward of (step, state). ``step_offset``: ``natural`` scores a row with its own step,
     ``reference`` with the step before, so steps 0 and 1 both count as 0."""

@@ -2,31 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def sobol_indices(evaluations: DataFrame, inputs: int) -> DataFrame:
-    """(input, s1, st) from (base_id, block, y), blocks A, B, AB_1 ... AB_k.
+def sobol_of_rows(df: DataFrame, a: str, b: str, mixed: Sequence[str]) -> DataFrame:
+    """(input, s1, st) from one row per base: evaluations of both blocks, and of A with one column of B each.
 
-    y is standardised over all evaluations, the variance is that of A and B together:
-    s1 = mean(B (AB_i - A)) / var, st = mean((A - AB_i)^2) / 2 / var. Bases that lack a block are left out.
+    With y standardised over all evaluations and var the variance of A and B together, s1 = mean(B (AB_i - A)) / var and
+    st = mean((A - AB_i)^2) / 2 / var. The deviation cancels, so one aggregate of plain sums gives all of it. Rows that
+    lack an evaluation count for the mean only.
     """
+    names = [a, b, *mixed]
+    cells: list[Column] = [F.col(c) for c in names]
+    whole = reduce(lambda x, y: x & y, [c.isNotNull() for c in cells])
+
+    def total(x: Column) -> Column:
+        return F.sum(F.when(whole, x))
+
+    x, y = F.col(a), F.col(b)
+    parts = [
+        F.try_divide(
+            reduce(lambda p, q: p + q, [F.coalesce(F.sum(c), F.lit(0.0)) for c in cells]), reduce(lambda p, q: p + q, [F.count(c) for c in cells])
+        ).alias("_m"),
+        F.count(F.when(whole, 1)).alias("_n"), total(x + y).alias("_s"), total(x * x + y * y).alias("_q"),
+    ]
+    for i, c in enumerate(mixed):
+        d = F.col(c) - x
+        parts += [total(y * d).alias(f"_p{i}"), total(d).alias(f"_d{i}"), total(d * d).alias(f"_e{i}")]
+    sums = df.agg(*parts)
+    mean = F.col("_s") / (2 * F.col("_n"))
+    var = F.col("_q") / (2 * F.col("_n")) - mean * mean
+    rows = [
+        F.struct(
+            F.lit(i + 1).alias("input"), F.try_divide((F.col(f"_p{i}") - F.col("_m") * F.col(f"_d{i}")) / F.col("_n"), var).alias("s1"),
+            F.try_divide(F.col(f"_e{i}") / (2 * F.col("_n")), var).alias("st"),
+        )
+        for i in range(len(mixed))
+    ]
+    return sums.filter("_n > 0").select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def sobol_indices(evaluations: DataFrame, inputs: int) -> DataFrame:
+    """``sobol_of_rows`` from the long form (base_id, block, y), blocks A, B, AB_1 ... AB_k."""
     blocks = ["A", "B", *[f"AB_{i}" for i in range(1, inputs + 1)]]
-    scale = evaluations.agg(F.avg("y").alias("_m"), F.stddev_pop("y").alias("_s"))
-    y = evaluations.crossJoin(F.broadcast(scale)).withColumn("y", F.try_divide(F.col("y") - F.col("_m"), F.col("_s")))
-    wide = y.groupBy("base_id").pivot("block", blocks).agg(F.first("y")).na.drop(subset=blocks)
-    a, b = F.col("A"), F.col("B")
-    mean = (F.sum(a) + F.sum(b)) / (2 * F.count("*"))
-    var = (F.sum(a * a) + F.sum(b * b)) / (2 * F.count("*")) - mean * mean
-    parts = []
-    for i in range(1, inputs + 1):
-        ab = F.col(f"AB_{i}")
-        parts += [F.avg(b * (ab - a)).alias(f"s{i}"), (F.avg((a - ab) * (a - ab)) / 2).alias(f"t{i}")]
-    sums = wide.agg(var.alias("v"), *parts)
-    rows = F.explode(
-        F.array(*[F.struct(F.lit(i).alias("input"), F.col(f"s{i}").alias("s"), F.col(f"t{i}").alias("t")) for i in range(1, inputs + 1)])
-    ).alias("r")
-    return sums.select("v", rows).select(
-        "r.input", F.try_divide("r.s", "v").alias("s1"), F.try_divide("r.t", "v").alias("st")
-    )
+    wide = evaluations.groupBy("base_id").pivot("block", blocks).agg(F.first("y"))
+    return sobol_of_rows(wide, "A", "B", blocks[2:])

@@ -199,9 +199,8 @@ BLEEDING_STEPS = f"WITH {_PATHS} SELECT regime, state, count(*) AS n FROM paths
 
 def _observed(spark: SparkSession, d: str) -> DataFrame:
     """Observed transitions of each regime as probabilities of the from-state, some rows weighted up or down."""
-    p = _paths(spark, d)
-    moves = p.withColumn("to_state", F.lead("state").over(paths.run_line(["regime"]))).filter("to_state is not null")
-    n = moves.groupBy("regime", "stage", F.col("state").alias("from_state"), "to_state").agg(F.count("*").alias("n"))
+    moves = paths.moves(_paths(spark, d), ["regime"])
+    n = moves.groupBy("regime", "stage", "from_state", "to_state").agg(F.count("*").alias("n"))
     total = Window.partitionBy("regime", "stage", "from_state")
     weight = F.when(F.col("from_state") == dim.MINOR, 0.8).when(F.col("from_state") == dim.LIFE_THREATENING, 1.3).when(F.col("from_state") == dim.INHIBITOR, 0.6).otherwise(1.0)
     return n.withColumn("prob", F.col("n") / F.sum("n").over(total) * weight)
@@ -279,16 +278,117 @@ WITH {_REPAIRED} SELECT regime AS scenario, ord, from_state, to_state, round(pro
 """
 
 
+def start_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Problems of the runs' first states as initial probabilities; some are given a name that no stage has, and those of
+    one regime are weighted down."""
+    p = paths.first_states(_paths(spark, d), KEYS)
+    state = F.when(F.col("run_id") % 7 == 0, "unheard_of").otherwise(F.col("state"))
+    n = p.groupBy(*KEYS, state.alias("state")).agg(F.count("*").alias("n"))
+    weight = F.when(F.col("regime") == "prophylaxis", 0.9).otherwise(1.0)
+    initial = n.withColumn("prob", F.col("n") / F.sum("n").over(Window.partitionBy(*KEYS)) * weight)
+    two = F.broadcast(spark.createDataFrame([("on_demand",), ("prophylaxis",)], "regime string"))
+    states = dim.stage_states(spark).filter("stage = 'early'").crossJoin(two)
+    return matrix.initial_violations(initial, states, KEYS)
+
+
+START_PROBLEMS = f"""
+WITH {_PATHS}, f AS (SELECT DISTINCT regime, stage, CASE WHEN run_id % 7 = 0 THEN 'unheard_of' END AS state FROM paths WHERE step = 0)
+SELECT DISTINCT regime, stage, NULL::VARCHAR AS state, 'initial' AS problem FROM f WHERE regime = 'prophylaxis'
+UNION ALL SELECT regime, stage, state, 'start' FROM f WHERE state IS NOT NULL
+"""
+
+
+def kept_transitions(spark: SparkSession, d: str) -> DataFrame:
+    """A stored table that has all states is kept as it is; one that lacks a state is built anew."""
+    states = dim.stage_states(spark).filter("stage = 'early'")
+    stored, new = _grid(spark, d), matrix.normalise_rows(_grid(spark, d), KEYS, matrix.repair_policy(spark))
+    whole = matrix.stored_or_new(stored.filter("regime = 'on_demand'"), new.filter("regime = 'on_demand'"), states)
+    lacking = stored.filter("regime = 'prophylaxis'").filter(F.col("to_state") != dim.SURGERY)
+    anew = matrix.stored_or_new(lacking, new.filter("regime = 'prophylaxis'"), states)
+    cells = ["regime", "from_state", "to_state"]
+    return whole.select(*cells, "prob").union(anew.select(*cells, "prob")).select(*cells, F.round("prob", 8).alias("prob"))
+
+
+KEPT_TRANSITIONS = f"""
+WITH {_REPAIRED} SELECT regime, from_state, to_state, round(prob, 8) AS prob FROM dn WHERE regime = 'on_demand'
+UNION ALL SELECT regime, from_state, to_state, round(prob, 8) FROM fixed WHERE regime = 'prophylaxis'
+"""
+
+
+def rule_moves(spark: SparkSession, d: str) -> DataFrame:
+    """How many of the observed moves the weekly rules expect in each cell, beside those that were seen."""
+    moves = paths.moves(_paths(spark, d), ["regime"])
+    seen = moves.groupBy("regime", "stage", "from_state", "to_state").agg(F.count("*").alias("seen"))
+    total = moves.groupBy("regime", "stage", "from_state").agg(F.count("*").alias("n"))
+    rules = dim.transition_rules(spark).select("regime", "stage", "from_state", "to_state", "prob")
+    both = total.join(rules, ["regime", "stage", "from_state"]).join(seen, ["regime", "stage", "from_state", "to_state"], "left")
+    return both.select(
+        "regime", "from_state", "to_state", F.round("prob", 9).alias("prob"), F.round(F.col("prob") * F.col("n"), 6).alias("expected"),
+        F.coalesce("seen", F.lit(0)).alias("seen"),
+    )
+
+
+_RATES = """
+tr(regime, abr, ajbr, albr, eabr, progress, inhibit) AS (VALUES
+    ('on_demand', 44.0::DOUBLE, 34.0::DOUBLE, round_even(44 * 0.045::DOUBLE, 0), round_even(44 * 0.15::DOUBLE, 0) + 1, 0.000435::DOUBLE, 0.00414::DOUBLE),
+    ('prophylaxis', 3.76, 3.66, 3.76::DOUBLE * 0.045, 3.76::DOUBLE * 0.15, 0.0000939, 0.00215))
+"""
+RULE_MOVES = f"""
+WITH {_PATHS}, {_RATES}, mv AS (SELECT regime, state AS f, lead(state) OVER (PARTITION BY regime, run_id ORDER BY step) AS t FROM paths),
+n AS (SELECT regime, f, count(*) AS n FROM mv WHERE t IS NOT NULL GROUP BY ALL), seen AS (SELECT regime, f, t, count(*) AS seen FROM mv WHERE t IS NOT NULL GROUP BY ALL),
+w AS (SELECT regime, 1 - exp(-greatest(52 - abr, 0) / 52) AS stay, 1 - exp(-eabr / 52) AS mi, 1 - exp(-ajbr / 52) AS ma, 1 - exp(-albr / 52) AS lt, progress, inhibit FROM tr),
+bleed AS (SELECT regime, unnest(['alive_wo_arthropathy', 'minor_bleeding', 'articular_bleeding', 'life_treating_bleeding', 'chronic_arthropathy', 'inhibitor']) AS t,
+                 unnest([stay, mi, ma, lt, progress, inhibit]) AS prob FROM w),
+rules AS (SELECT regime, f, t, prob FROM bleed, (VALUES ('alive_wo_arthropathy'), ('minor_bleeding'), ('articular_bleeding')) x(f)
+    UNION ALL SELECT regime, 'life_treating_bleeding', unnest(['alive_wo_arthropathy', 'death', 'inhibitor']), unnest([0.95, 2.4e-5, inhibit]) FROM w
+    UNION ALL SELECT regime, 'chronic_arthropathy', t, prob FROM bleed WHERE t NOT IN ('alive_wo_arthropathy', 'chronic_arthropathy')
+    UNION ALL SELECT regime, 'surgery', unnest(['alive_wo_arthropathy', 'inhibitor']), unnest([0.95, inhibit]) FROM w
+    UNION ALL SELECT regime, 'inhibitor', unnest(['inhibitor', 'minor_bleeding']), unnest([1 - 0.0085, 0.0085]) FROM w
+    UNION ALL SELECT regime, 'death', 'death', 1.0 FROM w)
+SELECT regime, f AS from_state, t AS to_state, round(prob, 9) AS prob, round(prob * n, 6) AS expected, coalesce(seen, 0) AS seen
+FROM n JOIN rules USING (regime, f) LEFT JOIN seen USING (regime, f, t)
+"""
+
+
+def derived_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Each regime's derived yearly rates, and how many of the observed bleeds they would make of either kind."""
+    bleeds = _paths(spark, d).groupBy("regime").agg(F.count(F.when(F.col("state").isin(*dim.BLEEDING), 1)).alias("bleeds"))
+    t = dim.treatments(spark).select("regime", "abr", "albr", "eabr")
+    parts = {f"{kind}_bleeds": F.round(F.col("bleeds") * F.col(rate) / F.col("abr"), 6) for kind, rate in (("severe", "albr"), ("outside", "eabr"))}
+    out = bleeds.join(F.broadcast(t), "regime").withColumns(parts)
+    return out.select("regime", "abr", F.round("albr", 9).alias("albr"), F.round("eabr", 9).alias("eabr"), "bleeds", *parts)
+
+
+DERIVED_RATES = f"""
+WITH {_PATHS}, {_RATES}, b AS (SELECT regime, count(*) FILTER (state IN ('minor_bleeding', 'articular_bleeding', 'life_treating_bleeding')) AS bleeds FROM paths GROUP BY ALL)
+SELECT regime, abr, round(albr, 9) AS albr, round(eabr, 9) AS eabr, bleeds, round(bleeds * albr / abr, 6) AS severe_bleeds, round(bleeds * eabr / abr, 6) AS outside_bleeds
+FROM b JOIN tr USING (regime)
+"""
+
+
 def page_titles(spark: SparkSession, d: str) -> DataFrame:
     """Title, heading and first link text of each page."""
     found = html_fields.label_values(_t(spark, d, "pages"), ["title", "h1", "a"])
     first = found.withColumn("pos", -F.col("pos"))
-    rules = (("title", "title"), ("h1", "heading"), ("a", "link"))
-    exact = first.withColumn("label", F.when(F.col("label") == "a", "a").otherwise(F.col("label")))
-    out = html_fields.records(exact, rules, ())
+    # the shortest label last: it is a part of none of the others here, but a rule takes the first that fits
+    out = html_fields.records(first, (("title", "title"), ("h1", "heading"), ("a", "link")), ())
     return out.select("page_id", *[text.stripped(F.col(c)).alias(c) for c in ("title", "heading", "link")])
 
 
+def _first_text(tag: str) -> str:
+    """SQL for the text of a page's first element of a tag, as a parser would give it."""
+    inner = f"regexp_extract(html, '<{tag}(\\s[^>]*)?>(.*?)</{tag}>', 2, 's')"
+    bare = f"regexp_replace({inner}, '<[^>]*>', '', 'g')"
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+        bare = f"replace({bare}, '{entity}', '{char}')"
+    return f"CASE WHEN regexp_matches(html, '<{tag}(\\s[^>]*)?>') THEN trim({bare}, ' ' || chr(9) || chr(10) || chr(13) || chr(160)) ELSE 'N/A' END"
+
+
+PAGE_TITLES = f"""
+SELECT page_id, {_first_text("title")} AS title, {_first_text("h1")} AS heading, {_first_text("a")} AS link FROM pages
+WHERE regexp_matches(html, '<(title|h1|a)[\\s>]')
+"""
+
 QUERIES = {
     f.__name__: (f, sql)
     for f, sql in (
@@ -297,6 +397,7 @@ QUERIES = {
         (inhibitor_streaks, INHIBITOR_STREAKS), (after_inhibitor, AFTER_INHIBITOR), (first_path_steps, FIRST_PATH_STEPS),
         (regimes_side_by_side, REGIMES_SIDE_BY_SIDE), (bleeding_steps, BLEEDING_STEPS),
         (transition_row_sums, TRANSITION_ROW_SUMS), (repaired_transitions, REPAIRED_TRANSITIONS),
-        (transition_violations, TRANSITION_VIOLATIONS), (wide_transitions, WIDE_TRANSITIONS), (page_titles, None),
+        (transition_violations, TRANSITION_VIOLATIONS), (wide_transitions, WIDE_TRANSITIONS), (page_titles, PAGE_TITLES),
+        (start_problems, START_PROBLEMS), (kept_transitions, KEPT_TRANSITIONS), (rule_moves, RULE_MOVES), (derived_rates, DERIVED_RATES),
     )
 }

@@ -14,14 +14,21 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _sold(spark: SparkSession, d: str) -> DataFrame:
-    """lineitem with its part: sale_count and sale_amount in exact decimals."""
-    part = _t(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    line = _t(spark, d, "lineitem").select(
+    """lineitem with sale_count and sale_amount in exact decimals."""
+    return _t(spark, d, "lineitem").select(
         "l_partkey", "l_orderkey", "l_linenumber",
         F.col("l_quantity").cast("long").alias("sale_count"),
         F.col("l_extendedprice").cast("decimal(18,2)").alias("sale_amount"),
     )
-    return line.join(part, F.col("l_partkey") == F.col("p_partkey"))
+
+
+def _sold_parts(spark: SparkSession, d: str) -> DataFrame:
+    """One row per sold part: rows, both sums, and the place of its first line (order key and line number in one number)."""
+    place = F.col("l_orderkey").cast("decimal(20,0)") * F.lit(10_000_000_000) + F.col("l_linenumber")
+    return _sold(spark, d).groupBy("l_partkey").agg(
+        F.count("*").alias("count_of_package_sold"), F.sum("sale_count").alias("sale_count"),
+        F.sum("sale_amount").alias("sale_amount"), F.min(place).alias("place"),
+    )
 
 
 def _doubles(df: DataFrame, *names: str) -> DataFrame:
@@ -35,8 +42,7 @@ def _total(sold: DataFrame, key: str) -> DataFrame:
 
 def widget_sales(spark: SparkSession, d: str) -> DataFrame:
     part = filters.text_filter(_t(spark, d, "part"), [("p_name", "Widget")], [("p_name", "cold")])
-    line = _sold(spark, d).drop("p_name", "p_brand", "p_type", "p_size", "p_partkey")
-    sold = line.join(part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    sold = _sold(spark, d).join(part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
     return _total(sold, "p_name").select("p_name", "sale_count", "sale_amount", "n_rows", "price_per_package")
 
 
@@ -81,10 +87,7 @@ FROM p WHERE coalesce(contains(lower(active_ingredient), 'factor viii'), false)
 
 def merged_sales(spark: SparkSession, d: str) -> DataFrame:
     """The yearly flow's dataset: human totals and recombinant rows on their common columns."""
-    per_part = _sold(spark, d).groupBy(F.col("l_partkey").alias("p")).agg(
-        F.count("*").alias("count_of_package_sold"), F.sum("sale_count").alias("sale_count"), F.sum("sale_amount").alias("sale_amount")
-    )
-    rows = _factors(spark, d).join(per_part, F.col("p_partkey") == F.col("p")).drop("p", "p_partkey")
+    rows = _factors(spark, d).join(_sold_parts(spark, d), F.col("p_partkey") == F.col("l_partkey")).drop("l_partkey", "p_partkey", "place")
     return _doubles(flows.sales_tables(rows, rows)["dataset"], "sale_amount", "price_per_package")
 
 
@@ -116,25 +119,22 @@ SELECT * FROM n WHERE contains(lower(generic_name), 'factor') AND NOT contains(l
 
 
 def common_rows(spark: SparkSession, d: str) -> DataFrame:
-    """A small cut only (1 order in 40 against 1 in 56), as its SQL says; ``common_order_rows`` joins all orders."""
-    o = _t(spark, d, "orders").join(_t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    keys = (
-        F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")).alias("segment"),
-        (F.col("o_custkey") % 50).alias("bucket"), F.nullif(F.col("o_orderstatus"), F.lit("O")).alias("status"),
-    )
-    left = o.filter(F.col("o_orderkey") % 40 == 0).select(*keys, F.lit(1).alias("only_left"))
-    right = o.filter(F.col("o_orderkey") % 56 == 0).select(F.lit(2).alias("only_right"), *keys[::-1])
+    """All orders and all customers on the three columns that both have; a customer meets its orders of one status."""
+    segment = F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")).alias("segment")
+    customer = _t(spark, d, "customer").select("c_custkey", segment, "c_acctbal")
+    orders = _t(spark, d, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    status = F.nullif(F.col("o_orderstatus"), F.lit("O")).alias("status")
+    left = orders.select("segment", F.col("o_custkey").alias("custkey"), status, F.lit(1).alias("only_left"))
+    status = F.when(F.col("c_acctbal") < 0, "F").alias("status")
+    right = customer.select(F.lit(2).alias("only_right"), status, F.col("c_custkey").alias("custkey"), "segment")
     return sales.merge_common_columns(left, right)
 
 
 COMMON_ROWS = """
-WITH o AS (SELECT o_orderkey, nullif(c_mktsegment, 'BUILDING') AS segment, o_custkey % 50 AS bucket, nullif(o_orderstatus, 'O') AS status
-           FROM orders JOIN customer ON o_custkey = c_custkey),
-l AS (SELECT segment, bucket, status FROM o WHERE o_orderkey % 40 = 0), r AS (SELECT segment, bucket, status FROM o WHERE o_orderkey % 56 = 0),
-lc AS (SELECT *, count(*) AS n FROM l GROUP BY ALL), rc AS (SELECT *, count(*) AS n FROM r GROUP BY ALL),
-b AS (SELECT segment, bucket, status, lc.n AS a, 0 AS b FROM lc UNION ALL SELECT segment, bucket, status, 0, n FROM rc),
-s AS (SELECT segment, bucket, status, sum(a)::BIGINT AS a, sum(b)::BIGINT AS b FROM b GROUP BY ALL)
-SELECT segment, bucket, status FROM (SELECT *, unnest(range(greatest(a, 1) * greatest(b, 1))) FROM s)
+WITH c AS (SELECT c_custkey AS custkey, nullif(c_mktsegment, 'BUILDING') AS segment, CASE WHEN c_acctbal < 0 THEN 'F' END AS status FROM customer),
+o AS (SELECT custkey, segment, nullif(o_orderstatus, 'O') AS status FROM orders JOIN c ON o_custkey = custkey)
+SELECT coalesce(o.segment, c.segment) AS segment, coalesce(o.custkey, c.custkey) AS custkey, coalesce(o.status, c.status) AS status
+FROM o FULL JOIN c ON o.custkey = c.custkey AND o.segment IS NOT DISTINCT FROM c.segment AND o.status IS NOT DISTINCT FROM c.status
 """
 
 
@@ -178,11 +178,10 @@ n AS (SELECT p_partkey, p_size, p_brand, (p_size % 3)::INT AS part,
 
 
 def brand_sales(spark: SparkSession, d: str) -> DataFrame:
-    line = _sold(spark, d).select("l_partkey", "l_orderkey", "l_linenumber", "sale_count", "sale_amount")
-    named = _named(spark, d)
-    rows = line.join(named, F.col("l_partkey") == F.col("p_partkey"))
+    """Lines are summed by part first; names depend on the part alone."""
+    rows = _sold_parts(spark, d).join(_named(spark, d), F.col("l_partkey") == F.col("p_partkey"))
     out = sales.brand_totals(
-        rows, "brand_latin_name", ["generic_name", "p_brand"], ["sale_count", "sale_amount"], ["l_orderkey", "l_linenumber", "p_partkey"]
+        rows, "brand_latin_name", ["generic_name", "p_brand"], ["sale_count", "sale_amount"], ["place", "p_partkey"]
     )
     return out.select(
         "brand_latin_name", text.brand_prefix(F.col("brand_latin_name")).alias("prefix"), "generic_name", "p_brand",
@@ -201,6 +200,49 @@ FROM lineitem JOIN n ON l_partkey = p_partkey GROUP BY brand_latin_name
 """
 
 
+def _sold_2023(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as rows of the 2023 file, with names of several factors."""
+    kinds = F.array(*[F.lit(k) for k in ("Factor VIII ", "factor viii+VWF ", "Factor IX ", "FACTOR XI ", "Albumin ")])
+    part = _t(spark, d, "part").select(
+        "p_partkey", F.concat(F.get(kinds, F.col("p_size") % 5), F.col("p_size"), F.lit(" IU")).alias("generic_name"),
+        F.concat(F.upper("p_name"), F.lit("  "), F.col("p_size")).alias("brand_latin_name"), F.col("p_type").alias("index_latin_name"),
+        F.col("p_size").cast("string").alias("generic_code"), F.col("p_brand").alias("irc_code"),
+    )
+    return part.join(_sold_parts(spark, d), F.col("p_partkey") == F.col("l_partkey")).drop("l_partkey", "place")
+
+
+_SOLD_2023 = """
+s AS (SELECT l_partkey, count(*) AS n, sum(l_quantity::BIGINT)::BIGINT AS q, sum(l_extendedprice::DECIMAL(18,2)) AS a FROM lineitem GROUP BY 1),
+f AS (SELECT p_partkey, ['Factor VIII ', 'factor viii+VWF ', 'Factor IX ', 'FACTOR XI ', 'Albumin '][p_size % 5 + 1] || p_size || ' IU' AS generic_name,
+             upper(p_name) || '  ' || p_size AS brand_latin_name, p_type AS index_latin_name, p_size::VARCHAR AS generic_code, p_brand AS irc_code, n, q, a
+      FROM part JOIN s ON p_partkey = l_partkey)
+"""
+
+
+def names_2023(spark: SparkSession, d: str) -> DataFrame:
+    return flows.tables_2023(_sold_2023(spark, d), ["p_partkey"])["dataset"]
+
+
+NAMES_2023 = f"""
+WITH {_SOLD_2023} SELECT index_latin_name, brand_latin_name, generic_name, generic_code, irc_code FROM f
+WHERE contains(lower(generic_name), 'factor') AND NOT contains(lower(generic_name), 'ix') AND NOT contains(lower(generic_name), 'viia')
+  AND NOT contains(lower(generic_name), 'xiii') QUALIFY row_number() OVER (PARTITION BY brand_latin_name ORDER BY p_partkey) = 1
+"""
+
+
+def prices_2023(spark: SparkSession, d: str) -> DataFrame:
+    """The 2023 flow: factor VIII rows, sums by brand, the brand's capitals and the dosage."""
+    return _doubles(flows.tables_2023(_sold_2023(spark, d), ["p_partkey"], strict=True)["prices"], "sale_amount")
+
+
+PRICES_2023 = f"""
+WITH {_SOLD_2023} SELECT nullif(trim(regexp_extract(brand_latin_name, '^([A-Z\\s]+?)\\s{{2,}}', 1)), '') AS brand_latin_name,
+       arg_min(generic_name, p_partkey) AS generic_name, sum(n)::BIGINT AS count_of_package_sold, sum(q)::BIGINT AS sale_count, sum(a)::DOUBLE AS sale_amount,
+       regexp_extract(arg_min(generic_name, p_partkey), '([0-9]+)', 1)::BIGINT AS dosage
+FROM f WHERE contains(lower(generic_name), 'factor viii') GROUP BY f.brand_latin_name
+"""
+
+
 def part_profile(spark: SparkSession, d: str) -> DataFrame:
     named = _named(spark, d).withColumn("code", F.when(F.col("p_size") % 2 == 0, F.col("p_size")))
     return sales.part_profile(named, "part", "code", ["generic_name", "code", "p_brand"])
@@ -315,7 +357,7 @@ QUERIES = {
     f.__name__: (f, sql)
     for f, sql in (
         (widget_sales, WIDGET_SALES), (recombinant_split, RECOMBINANT_SPLIT), (merged_sales, MERGED_SALES), (other_factor_names, OTHER_FACTOR_NAMES),
-        (common_rows, COMMON_ROWS), (common_order_rows, COMMON_ORDER_ROWS), (brand_sales, BRAND_SALES), (part_profile, PART_PROFILE),
+        (common_rows, COMMON_ROWS), (common_order_rows, COMMON_ORDER_ROWS), (brand_sales, BRAND_SALES), (names_2023, NAMES_2023), (prices_2023, PRICES_2023), (part_profile, PART_PROFILE),
         (unit_consumption, UNIT_CONSUMPTION), (unit_consumption_whole_part, UNIT_CONSUMPTION_WHOLE_PART),
         (first_per_brand, FIRST_PER_BRAND), (distinct_names, DISTINCT_NAMES), (parsed_texts, PARSED_TEXTS),
         (known_only, KNOWN_ONLY), (pyramid_rows, PYRAMID_ROWS), (pyramid_totals, PYRAMID_TOTALS),

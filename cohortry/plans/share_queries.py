@@ -295,14 +295,19 @@ def paired_rows(rows: DataFrame) -> DataFrame:
     return a.join(_numbered(rows, (o * 7919 + n * 104_729) % 1_000_003, 1_000_003, "b"), "k")
 
 
+def _indices(pairs: DataFrame) -> DataFrame:
+    """Sensitivity of a fixed polynomial to its three inputs, from rows of both blocks (a1 .. a3, b1 .. b3)."""
+    y = lambda *x: F.col(x[0]) + 2 * F.col(x[1]) * F.col(x[1]) + 3 * F.col(x[2]) * F.col(x[0])
+    blocks = {"A": ("a1", "a2", "a3"), "B": ("b1", "b2", "b3"), "AB_1": ("b1", "a2", "a3"), "AB_2": ("a1", "b2", "a3"), "AB_3": ("a1", "a2", "b3")}
+    rows = pairs.select(*[y(*x).alias(n) for n, x in blocks.items()])
+    out = sensitivity.sobol_of_rows(rows, "A", "B", ["AB_1", "AB_2", "AB_3"])
+    return out.select("input", F.round("s1", 6).alias("s1"), F.round("st", 6).alias("st"))
+
+
 def input_sensitivity_whole(spark: SparkSession, d: str) -> DataFrame:
     """``input_sensitivity`` with rows paired over the whole table, not inside groups of l_orderkey % 4096."""
     l = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 50).alias("x1"), (F.col("l_discount") * 10).alias("x2"), (F.col("l_tax") * 12).alias("x3"))
-    y = lambda *x: F.col(x[0]) + 2 * F.col(x[1]) * F.col(x[1]) + 3 * F.col(x[2]) * F.col(x[0])
-    blocks = {"A": ("a1", "a2", "a3"), "B": ("b1", "b2", "b3"), "AB_1": ("b1", "a2", "a3"), "AB_2": ("a1", "b2", "a3"), "AB_3": ("a1", "a2", "b3")}
-    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("block"), y(*x).alias("y")) for n, x in blocks.items()])).alias("c")
-    joined = paired_rows(l).select(F.col("k").alias("base_id"), cells).select("base_id", "c.*")
-    return sensitivity.sobol_indices(joined, 3).select("input", F.round("s1", 6).alias("s1"), F.round("st", 6).alias("st"))
+    return _indices(paired_rows(l))
 
 
 def input_sensitivity(spark: SparkSession, d: str) -> DataFrame:
@@ -315,11 +320,7 @@ def input_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     rows = l.withColumn("g", group).withColumn("mixed", mixed)
     a = rows.select("g", F.row_number().over(order_a).alias("k"), *[F.col(f"x{i}").alias(f"a{i}") for i in (1, 2, 3)])
     b = rows.select("g", F.row_number().over(order_b).alias("k"), *[F.col(f"x{i}").alias(f"b{i}") for i in (1, 2, 3)])
-    y = lambda *x: F.col(x[0]) + 2 * F.col(x[1]) * F.col(x[1]) + 3 * F.col(x[2]) * F.col(x[0])
-    blocks = {"A": ("a1", "a2", "a3"), "B": ("b1", "b2", "b3"), "AB_1": ("b1", "a2", "a3"), "AB_2": ("a1", "b2", "a3"), "AB_3": ("a1", "a2", "b3")}
-    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("block"), y(*x).alias("y")) for n, x in blocks.items()])).alias("c")
-    joined = a.join(b, ["g", "k"]).select((F.col("g") * 1_000_000_000 + F.col("k")).alias("base_id"), cells).select("base_id", "c.*")
-    return sensitivity.sobol_indices(joined, 3).select("input", F.round("s1", 6).alias("s1"), F.round("st", 6).alias("st"))
+    return _indices(a.join(b, ["g", "k"]))
 
 
 INPUT_SENSITIVITY = """

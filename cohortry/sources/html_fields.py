@@ -26,54 +26,65 @@ MISSING = "N/A"
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
+class _Node:
+    """An element: its block, the place of the row around it, and the first label, value and link inside it."""
+
+    def __init__(self, tag: str, names: set[str], above: _Node | None, block: int, place: int) -> None:
+        outer = "searchRow" in names
+        self.tag, self.place, self.text = tag, place, []
+        self.block = block if outer else above.block if above else -1
+        row = None if outer or above is None else above.place if above.is_row else above.row
+        self.row = row
+        self.is_row = "row" in names and not outer
+        self.title = next((f for c, f in TITLES.items() if tag == "span" and c in names), None)
+        self.label = self.value = self.link = None
+
+    def words(self) -> str:
+        return "".join(self.text).strip()
+
+
 class _Listing(HTMLParser):
-    """Collects (block, label, value): labels of divs below ``.row`` inside ``.searchRow``, and both titles."""
+    """Collects (block, label, value): labels of divs below ``.row`` inside ``.searchRow``, and both titles.
+
+    A div's label and value are the first ones inside it; divs count in the order of their start, those of a row inside
+    a row after all of the outer one's. What is still open at the end is closed there.
+    """
 
     def __init__(self) -> None:
         super().__init__()
-        self.found: list[tuple[int, str, str]] = []
-        self.open: list[tuple[str, dict]] = []
+        self.open: list[_Node] = []
+        self.nodes: list[_Node] = []
         self.block = -1
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in _VOID:
             return
         names = set((dict(attrs).get("class") or "").split())
-        node = {"names": names, "block": -1, "label": None, "value": None, "text": [], "title": None}
-        if "searchRow" in names:
-            self.block += 1
-        node["inside"] = "searchRow" in names or bool(self.open and self.open[-1][1]["inside"])
-        node["row"] = bool(self.open and (self.open[-1][1]["row"] or "row" in self.open[-1][1]["names"]))
-        node["title"] = next((f for c, f in TITLES.items() if tag == "span" and c in names), None)
-        self.open.append((tag, node))
+        self.block += "searchRow" in names
+        node = _Node(tag, names, self.open[-1] if self.open else None, self.block, len(self.nodes))
+        kind = {"label": "label", "span": "value", "bdo": "value", "a": "link"}.get(tag)
+        for above in self.open:
+            if kind and getattr(above, kind) is None and above.block == node.block:
+                setattr(above, kind, node)
+        self.open.append(node)
+        self.nodes.append(node)
 
     def handle_data(self, data: str) -> None:
-        for _, node in self.open:
-            node["text"].append(data)
+        for node in self.open:
+            node.text.append(data)
 
     def handle_endtag(self, tag: str) -> None:
-        while self.open and any(t == tag for t, _ in self.open):
-            name, node = self.open.pop()
-            self._close(name, node)
-            if name == tag:
-                break
-
-    def _close(self, tag: str, node: dict) -> None:
-        if not node["inside"]:
-            return
-        text = "".join(node["text"]).strip()
-        for t, above in self.open:
-            if tag == "a" and above["title"] and above["value"] is None:
-                above["value"] = text
-            if t == "div" and above["row"]:
-                if tag == "label" and above["label"] is None:
-                    above["label"] = text
-                elif tag in ("span", "bdo") and above["value"] is None:
-                    above["value"] = text
-        if node["title"] and node["value"] is not None:
-            self.found.append((self.block, node["title"], node["value"]))
-        elif tag == "div" and node["row"] and node["label"] and node["value"] is not None:
-            self.found.append((self.block, node["label"], node["value"]))
+        if any(node.tag == tag for node in self.open):
+            while self.open.pop().tag != tag:
+                pass
+
+    @property
+    def found(self) -> list[tuple[int, str, str]]:
+        titles = [(n.block, n.title, n.link.words()) for n in self.nodes if n.title and n.link and n.block >= 0]
+        first = list({(block, title): (block, title, value) for block, title, value in reversed(titles)}.values())
+        divs = [n for n in self.nodes if n.tag == "div" and n.row is not None and n.block >= 0 and n.label and n.value]
+        divs.sort(key=lambda n: (n.row, n.place))
+        return [*reversed(first), *[(n.block, n.label.words(), n.value.words()) for n in divs]]
 
 
 class _Tags(HTMLParser):
@@ -93,12 +104,21 @@ class _Tags(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if self.open and self.open[-1][0] == tag:
-            _, text = self.open.pop()
-            self.found.append((0, tag, "".join(text).strip()))
+            self._end()
+
+    def close(self) -> None:
+        super().close()
+        while self.open:
+            self._end()
+
+    def _end(self) -> None:
+        tag, text = self.open.pop()
+        self.found.append((0, tag, "".join(text).strip()))
 
 
 def label_values(pages: DataFrame, tags: Sequence[str] = ()) -> DataFrame:
-    """(page_id, block_no, pos, label, value) in document order: listing labels, or texts of the given tags."""
+    """(page_id, block_no, pos, label, value) in document order: listing labels, or texts of the given tags in the order
+    of their ends."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
