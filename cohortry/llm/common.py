@@ -32,13 +32,34 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{path}"
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/cohortry/{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: lineage ends there, and a lost executor costs
     no recomputation of what came before."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cohortry/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``written`` that nothing will read again."""
+    _delete(df.sparkSession, df.written_path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables that ``written`` has left for this application; results that weren't saved are lost."""
+    _delete(spark, _own_folder(spark))
 
 
 def hash_sample(df: DataFrame, key: str, n: int, limit: int, seed: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import written
+from cohortry.llm.common import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             least.select(F.col("k").alias("u"), F.col("m").alias("v"))
         )
-        now = written(small.distinct(), f"cc-{step}")
+        before, now = now, written(small.distinct(), f"cc-{step}")
+        discard(before)
         new = _state(now)
         if new == state:
             break

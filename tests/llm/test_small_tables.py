@@ -634,6 +634,18 @@ def test_pipeline_writes_the_mix_in_shards_and_order(spark):
     assert not shards
 
 
+def test_written_tables_are_deleted(spark):
+    from pathlib import Path
+
+    one, two = (common.written(spark.range(5), name) for name in ("one", "two"))
+    here = [Path(df.written_path.removeprefix("file://")) for df in (one, two)]
+    assert all(p.exists() for p in here) and one.count() == two.count() == 5
+    common.discard(one)
+    assert [p.exists() for p in here] == [False, True]
+    common.sweep(spark)
+    assert not here[1].exists() and not here[1].parent.exists()
+
+
 @pytest.mark.parametrize("limit", [1, 50, 5000])
 def test_hash_sample_is_bounded_and_stable(spark, limit):
     df = spark.range(2000).withColumnRenamed("id", "k")
