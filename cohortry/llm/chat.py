@@ -3,17 +3,17 @@
 Input rows are turns: (pair_id, side, turn, role, text), side ``chosen`` or ``rejected``. Turns of both sides are lined
 up by their rank in their conversation; the prompt ends before the first rank where role or text differ or one side has
 no turn. It is rendered once. A completion's mask lists the code-point spans, counted from the completion's start, that
-a loss may use: the text and end mark of assistant turns.
+a loss may use: the text and end mark of assistant turns. Lengths are running sums, so work is in proportion to turns.
 
 Edge cases: a null role or text is an empty string; turns of one side that share their number are ordered by role and
 text; a pair that lacks a side has an empty prompt and one empty completion; equal sides have a whole prompt and two
-empty completions; rows with a null pair_id or side are left out; an empty table gives no pair; other columns are
-ignored. A conversation is one string in the end, so its turns meet in one row, as they do in a text.
+empty completions; a turn that repeats counts each time; a null turn number comes first; rows with a null pair_id or
+side are left out; an empty table gives no pair; other columns are ignored, whatever their names. A conversation is one string in the end, so its turns meet in one row, as they do in a text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortry.llm.common import table
@@ -30,29 +30,28 @@ def _joined(turns: Column) -> Column:
     return F.array_join(F.transform(turns, rendered), "")
 
 
-def _mask(turns: Column) -> Column:
-    """start:end of each trained span, comma-joined."""
-    head = F.length(F.lit(OPEN)) + F.length(F.lit(MIDDLE))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("spans"))
+def _mask(turns: Column, before: Column) -> Column:
+    """start:end of each trained span, comma-joined; ``before`` is what was rendered before the first of these turns."""
+    head = len(OPEN) + len(MIDDLE)
 
-    def step(s: Column, t: Column) -> Column:
-        first = s["at"] + head + F.length(t["role"])
-        last = s["at"] + F.length(rendered(t))
-        spans = F.when(
-            t["role"] == TRAINED, F.concat(s["spans"], F.array(F.concat_ws(":", first.cast("long"), last.cast("long"))))
-        ).otherwise(s["spans"])
-        return F.struct(last.cast("long").alias("at"), spans.alias("spans"))
+    def span(t: Column) -> Column:
+        last = t["upto"] - before
+        return F.concat_ws(":", last - F.length(rendered(t)) + head + F.length(t["role"]), last)
 
-    return F.array_join(F.aggregate(turns, start, step, lambda s: s["spans"]), ",")
+    return F.array_join(F.transform(F.filter(turns, lambda t: t["role"] == TRAINED), span), ",")
 
 
 def preference_pairs(turns: DataFrame) -> DataFrame:
     """pair_id, n_prompt_turns, prompt, chosen, chosen_mask, rejected, rejected_mask: one row per pair."""
     role, text = (F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text"))
-    one = F.struct("turn", role, text)
+    kept = turns.filter(F.col("pair_id").isNotNull() & F.col("side").isin("chosen", "rejected"))
+    rows = kept.select("pair_id", "side", "turn", role, text)
+    # lengths run over the chosen side, then the rejected one, so that one shuffle by pair serves sums and arrays
+    line = Window.partitionBy("pair_id").orderBy("side", "turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("upto", F.sum(F.length(rendered(F.struct("role", "text")))).over(line))
+    one = F.struct("turn", "role", "text", "upto")
     sides = (
-        turns.filter(F.col("pair_id").isNotNull() & F.col("side").isin("chosen", "rejected"))
-        .groupBy("pair_id")
+        rows.groupBy("pair_id")
         .agg(*[F.sort_array(F.collect_list(F.when(F.col("side") == s, one))).alias(s) for s in ("chosen", "rejected")])
     )
 
@@ -65,9 +64,12 @@ def preference_pairs(turns: DataFrame) -> DataFrame:
     prompt_turns = F.when(first > 0, first - 1).otherwise(both)
     cut = sides.withColumn("n_prompt_turns", prompt_turns)
     rest = {s: F.slice(s, F.col("n_prompt_turns") + 1, F.size(s)) for s in ("chosen", "rejected")}
+    prompt, whole = F.get("chosen", F.col("n_prompt_turns") - 1)["upto"], F.get("chosen", F.size("chosen") - 1)["upto"]
+    cut = cut.withColumn("before_chosen", F.coalesce(prompt, F.lit(0)))
+    cut = cut.withColumn("before_rejected", F.col("before_chosen") + F.coalesce(whole, F.lit(0)))
     return cut.select(
         "pair_id", "n_prompt_turns", _joined(F.slice("chosen", 1, F.col("n_prompt_turns"))).alias("prompt"),
-        *[c for s in ("chosen", "rejected") for c in (_joined(rest[s]).alias(s), _mask(rest[s]).alias(f"{s}_mask"))],
+        *[c for s in ("chosen", "rejected") for c in (_joined(rest[s]).alias(s), _mask(rest[s], F.col(f"before_{s}")).alias(f"{s}_mask"))],
     )
 
 

@@ -543,6 +543,44 @@ def test_chat(spark):
     assert got[3].prompt == "" and got[3].rejected == "" and got[3].chosen == "<|turn|>\n<|end|>\n"
 
 
+def plain_pairs(turns):
+    sides = {}
+    for pair, side, turn, role, text in turns:
+        if pair is not None and side in ("chosen", "rejected"):
+            sides.setdefault(pair, {"chosen": [], "rejected": []})[side].append((turn is not None, turn or 0, role or "", text or ""))
+    for pair, both in sides.items():
+        a, b = ([(r, t) for *_, r, t in sorted(both[s])] for s in ("chosen", "rejected"))
+        n = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        text = [f"<|turn|>{r}\n{t}<|end|>\n" for r, t in a[:n]]
+        out = [pair, n, "".join(text)]
+        for rest in (a[n:], b[n:]):
+            done, spans = "", []
+            for r, t in rest:
+                start = len(done) + len("<|turn|>") + len(r) + 1
+                done += f"<|turn|>{r}\n{t}<|end|>\n"
+                if r == "assistant":
+                    spans.append(f"{start}:{len(done)}")
+            out += [done, ",".join(spans)]
+        yield tuple(out)
+
+
+def test_chat_equals_a_plain_one(spark):
+    """Tied turn numbers, repeated rows, null turns, a conversation of 3,000 turns, and columns of our own names."""
+    rng = random.Random(11)
+    turns = []
+    for pair in range(60):
+        shared = [(rng.choice([k, k, 3, None]), rng.choice(["user", "assistant", None]), rng.choice(["é", "hi", None, "long " * 9])) for k in range(rng.randrange(6))]
+        for side in ("chosen", "rejected"):
+            own = [(k + 6, rng.choice(["user", "assistant"]), f"t{rng.randrange(4)}") for k in range(rng.randrange(5))]
+            turns += [(pair, side, *t) for t in [*shared, *own, *own[:1]]]
+    for side in ("chosen", "rejected"):
+        turns += [(1000, side, k, ["user", "assistant"][k % 2], f"turn {k}" if k < 1500 or side == "chosen" else f"other {k}") for k in range(3000)]
+    rng.shuffle(turns)
+    df = spark.createDataFrame(turns, "pair_id long, side string, turn long, role string, text string")
+    df = df.withColumns({n: F.lit("x") for n in ("upto", "chosen", "rejected", "n_prompt_turns", "prompt", "_upto")})
+    assert sorted(map(tuple, chat.preference_pairs(df).collect())) == sorted(plain_pairs(turns))
+
+
 def test_pipeline_stages(spark, tmp_path):
     passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho"
     rows = BASE + [(40, f"before {passage} after", "en", "a")]
