@@ -103,6 +103,7 @@ SALES_2023 = {
     "تولیدی/وارداتی": "imported_manufactured",
     "ثبتی/فوریتی": "emergency_registered",
 }
+#: Shipment columns that no query uses.
 SHIPMENT_EXTRAS = [
     "city", "county", "province", "university", "pharmacy_address", "distributor_gln", "event_date", "product_type",
     "pharmacy_founder_mobile", "pharmacy_phone", "pharmacy_name", "batch_number", "pharmacy_gln", "distributor_name",
