@@ -25,4 +25,5 @@ ORACLE_SQL = {
     "op6_prefix_join": decontamination.ORACLE_SQL,
     "op8_host_rules": quality.ORACLE_SQL,
     "op9_circulant_minhash": minhash.ORACLE_SQL,
+    "op10_keyword_secrets": secrets.ORACLE_SQL,
 }

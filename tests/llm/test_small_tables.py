@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -414,6 +415,29 @@ def test_checked_secrets(spark):
         assert r.base_sha256 == hashlib.sha256(base_spans(docs[r.doc_id][1]).encode()).hexdigest()
 
 
+def test_planted_secrets_equal_sql(spark, tmp_path):
+    def token(body):
+        crc, digits = zlib.crc32(body.encode()), ""
+        while crc:
+            crc, d = divmod(crc, 62)
+            digits = secrets.BASE62[d] + digits
+        return f"ghp_{body}{digits.rjust(6, '0')}"
+
+    texts = [f"é straße IBAN no: {v} – {v}" for cases in (GOOD, NEAR) for values in cases.values() for v in values]
+    texts += [
+        f"{token('a' * 30)} x {token('b1C' * 10)}_ {token('Z9' * 15)}x ghp_{'a' * 33}{token('q' * 30)}", None, "",
+        "Password:abcdef ſecret=abcdefg APIKEY='zz' api_key=secret=token=abcdefgh", "1234 4111 1111 1111 1111 4111-1111-1111-1111",
+        "AKIA" + "A" * 16 + " akia" + "A" * 20 + "AKIAAKIA" + "B" * 20, f"-{GOOD['jwt'][0]} .{GOOD['jwt'][0]}é{GOOD['jwt'][0]}",
+    ]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+    df = secrets.secret_digests(spark.read.parquet(path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({secrets.ORACLE_SQL})").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(want) and sum(r[-1] for r in want) > 20
+
+
 def license_base(t):
     w, found = plain(t), []
     for phrase, label in licenses.BASE.items():
