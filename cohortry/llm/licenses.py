@@ -6,7 +6,7 @@ inverse document frequency over the whole corpus; more common words have no post
 are looked up from the highest IDF down, and each posting says where the template would start. A template is a
 candidate where two of its rare words put its start within ``SHIFT`` words of each other (relative position); then its
 key phrases are looked for, word by word. Its score is the part of its words, by IDF, that stand where one of the
-agreeing starts puts them, so a template with words put in between is still met in pieces.
+agreeing starts puts them (six digits), so a template with words put in between is still met in pieces.
 
 Base phrases are indexed under their rarest word in the same way and compared at each of its places, so all of their
 places are found.
@@ -116,7 +116,7 @@ class RareTokenIndex:
             if agreed and all(self._places(p, words, at) for p in phrases):
                 labels.add(label)
                 score = max(score, self._score(template, words, agreed))
-        return {"base": base, "labels": labels, "score": score}
+        return {"base": base, "labels": labels, "score": round(score, 6)}
 
     def _score(self, template: list[bytes], words: list[bytes], starts: list[int]) -> float:
         stands = [any(0 <= s + j < len(words) and words[s + j] == w for s in starts) for j, w in enumerate(template)]
@@ -167,3 +167,45 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
 def op3_rare_token_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def _list_sql(words: list[bytes]) -> str:
+    return "[" + ", ".join(f"'{w.decode()}'" for w in words) + "]"
+
+
+_BASE_ROWS = ", ".join(f"('{label}', {_list_sql(plain_words(p))})" for p, label in BASE.items())
+_TEMPLATE_ROWS = ", ".join(f"('{label}', {_list_sql(plain_words(text))})" for label, (text, _) in TEMPLATES.items())
+_PHRASE_ROWS = ", ".join(f"('{label}', {_list_sql(plain_words(p))})" for label, (_, keys) in TEMPLATES.items() for p in keys)
+ORACLE_SQL = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+d AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS line FROM w),
+base(label, p) AS (VALUES {_BASE_ROWS}),
+templates(label, t) AS (VALUES {_TEMPLATE_ROWS}),
+phrases(label, p) AS (VALUES {_PHRASE_ROWS}),
+found AS (SELECT doc_id, label, i - 1 AS start FROM (SELECT doc_id, label, w, p, unnest(range(1, len(w) - len(p) + 2)) AS i FROM d, base
+          WHERE contains(line, ' ' || array_to_string(p, ' ') || ' ')) WHERE w[i:i + len(p) - 1] = p),
+bases AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word FROM found GROUP BY doc_id),
+vocabulary AS (SELECT DISTINCT word FROM (SELECT unnest(t) AS word FROM templates UNION ALL SELECT unnest(p) FROM phrases)),
+df AS (SELECT word, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(w) AS word FROM d) GROUP BY word),
+idf AS (SELECT v.word, ln((1 + (SELECT count(*) FROM d)) / (1 + coalesce(n, 0))) + 1 AS idf FROM vocabulary v LEFT JOIN df ON df.word = v.word),
+rare AS (SELECT label, word FROM (SELECT DISTINCT label, unnest(p) AS word FROM phrases) JOIN idf USING (word)
+         QUALIFY row_number() OVER (PARTITION BY label ORDER BY idf DESC, word) <= {RARE}),
+tpos AS (SELECT label, unnest(t) AS word, unnest(range(0, len(t))) AS j FROM templates),
+dpos AS (SELECT doc_id, word, i FROM (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM d) WHERE word IN (SELECT word FROM rare)),
+starts AS (SELECT DISTINCT doc_id, label, i - j AS start, word FROM dpos JOIN rare USING (word) JOIN tpos USING (label, word)),
+pairs AS (SELECT *, lead(start) OVER o AS next, lead(word) OVER o AS other FROM starts WINDOW o AS (PARTITION BY doc_id, label ORDER BY start, word)),
+near AS (SELECT doc_id, label, start, next FROM pairs WHERE other <> word AND next - start <= {SHIFT}),
+agreed AS (SELECT doc_id, label, start FROM near UNION SELECT doc_id, label, next FROM near),
+lacking AS (SELECT DISTINCT doc_id, label FROM d, phrases WHERE NOT contains(line, ' ' || array_to_string(p, ' ') || ' ')),
+held AS (SELECT doc_id, label, start FROM agreed ANTI JOIN lacking USING (doc_id, label)),
+stands AS (SELECT DISTINCT doc_id, label, j, tpos.word FROM held JOIN tpos USING (label) JOIN d USING (doc_id)
+           WHERE start + j BETWEEN 0 AND len(w) - 1 AND w[start + j + 1] = tpos.word),
+whole AS (SELECT label, sum(idf) AS idf FROM tpos JOIN idf USING (word) GROUP BY label),
+scores AS (SELECT doc_id, label, sum(idf.idf) / any_value(whole.idf) AS score FROM stands JOIN idf USING (word) JOIN whole USING (label) GROUP BY doc_id, label),
+every AS (SELECT DISTINCT doc_id, label, {BASE_SCORE} AS score FROM found UNION ALL SELECT doc_id, label, least(1.0, score) FROM scores),
+labels AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels, max(score) AS score FROM every GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce((SELECT string_agg(DISTINCT label, ',' ORDER BY label) FROM found WHERE found.doc_id = d.doc_id), '') AS base_labels,
+       coalesce(labels, '') AS labels, round(coalesce(score, 0.0)::DOUBLE, 6) AS score
+FROM d LEFT JOIN bases USING (doc_id) LEFT JOIN labels USING (doc_id)
+"""

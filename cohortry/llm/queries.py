@@ -22,6 +22,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_preference_pairs": chat.ORACLE_SQL,
     "op2_feistel_shards": sharding.ORACLE_SQL,
+    "op3_rare_token_licenses": licenses.ORACLE_SQL,
     "op6_prefix_join": decontamination.ORACLE_SQL,
     "op8_host_rules": quality.ORACLE_SQL,
     "op9_circulant_minhash": minhash.ORACLE_SQL,

@@ -494,7 +494,7 @@ def holds(words, phrase):
     return any(words[i : i + len(phrase)] == phrase for i in range(len(words) - len(phrase) + 1))
 
 
-def test_license_templates(spark):
+def test_license_templates(spark, tmp_path):
     """Whole texts, texts with words put in, texts that lack a key phrase, and mixtures of pieces, against plain search."""
     rng = random.Random(5)
     filler = " ".join(f"w{k}" for k in range(300))
@@ -508,9 +508,16 @@ def test_license_templates(spark):
         texts.append(re.sub(keys[0].split()[0], "changed", text, flags=re.I))
     pieces = [" ".join(t.split()[k : k + 15]) for t, _ in licenses.TEMPLATES.values() for k in range(0, len(t.split()), 10)]
     texts += [" ".join(rng.choice([*pieces, filler[:40]]) for _ in range(rng.randrange(1, 60))) for _ in range(60)]
-    got = {r.doc_id: r for r in licenses.scan_licenses(documents(spark, [(k, t, "en", "a") for k, t in enumerate(texts)])).collect()}
+    path = str(tmp_path / "documents.parquet")
+    documents(spark, [(k, t, "en", "a") for k, t in enumerate(texts)]).write.parquet(path)
+    df = licenses.scan_licenses(spark.read.parquet(path))
+    got = {r.doc_id: r for r in df.collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({licenses.ORACLE_SQL})").fetchall()
+    assert sorted(map(tuple, got.values())) == sorted(want)
     for k, (labels, score) in enumerate(license_labels(texts)):
-        assert got[k].labels == labels and got[k].score == pytest.approx(score)
+        assert got[k].labels == labels and got[k].score == pytest.approx(score, abs=1e-6)
     for k, label in full.items():
         assert label in got[k].labels.split(",") and got[k].score == pytest.approx(1.0)
         assert label not in got[k + 2].labels.split(",")
