@@ -40,32 +40,30 @@ BASE_RULES = ("few_words", "repeats")
 def repeated_words(words: Column) -> Column:
     """Words inside 3-word windows that occur twice or more in the array.
 
-    Windows are strings of three words with a blank between, which no word contains. The two at the end that are
-    shorter equal no other. Only where some window repeats are windows sorted with their places.
+    Windows are told apart by 64-bit hashes, those of one text only; the two at the end that are shorter equal no other.
+    Where none repeats that is all. Else hashes are sorted with their places, and windows beside one of the same hash are
+    compared with it word by word.
     """
 
-    def covered(windows: Column) -> Column:
-        placed = F.sort_array(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-        twice = let(
-            placed,
-            lambda s: F.filter(
-                s,
-                lambda x, k: (x["w"] == F.get(s, k - 1)["w"]).eqNullSafe(F.lit(True))
-                | (x["w"] == F.get(s, k + 1)["w"]).eqNullSafe(F.lit(True)),
-            ),
-        )
+    def hashes(ws: Column) -> Column:
+        return F.transform(ws, lambda w, i: F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2)))
+
+    def covered(ws: Column, hs: Column) -> Column:
+        placed = F.sort_array(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
+        def equal(x: Column, y: Column) -> Column:
+            """One hash, and the same three words; a neighbour that isn't there has none."""
+            same = [F.get(ws, x["i"] + j) == F.get(ws, y["i"] + j) for j in range(3)]
+            return F.coalesce((x["h"] == y["h"]) & same[0] & same[1] & same[2], F.lit(False))
+
+        twice = let(placed, lambda s: F.filter(s, lambda x, k: equal(x, F.get(s, k - 1)) | equal(x, F.get(s, k + 1))))
         places = F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))
         return F.size(F.array_distinct(F.flatten(places)))
 
-    def windows(ws: Column) -> Column:
-        return F.transform(ws, lambda w, i: F.concat_ws(" ", w, F.get(ws, i + 1), F.get(ws, i + 2)))
+    def counted(ws: Column, hs: Column) -> Column:
+        return F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.lit(0)).otherwise(covered(ws, hs))
 
-    return let(
-        words,
-        lambda ws: let(
-            windows(ws), lambda x: F.when(F.size(F.array_distinct(x)) == F.size(x), F.lit(0)).otherwise(covered(x))
-        ),
-    )
+    return let(words, lambda ws: let(hashes(ws), lambda hs: counted(ws, hs)))
 
 
 def document_rules(docs: DataFrame, host: str = "source") -> DataFrame:
