@@ -90,11 +90,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def lower_ascii(text: Column) -> Column:
-    """Lower-case A-Z only."""
-    return F.translate(text, UPPER, LOWER)
-
-
 def plain_words(text: Column) -> Column:
     """The text's words of ``PLAIN_WORD``, A-Z in lower case: other ASCII characters become blanks, then blanks split."""
     blank = F.translate(F.coalesce(text, F.lit("")), UPPER + NO_WORD, LOWER + " " * len(NO_WORD))
