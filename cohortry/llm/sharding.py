@@ -154,15 +154,28 @@ def _turn_sql(x: str) -> str:
     return f"list_reduce([{start}, {_ROUNDS}], lambda s, e: {_STEP})"
 
 
-#: The checksum is taken byte by byte over the table of 256 remainders; a walk ends at the first number below n.
+#: Bytes whose checksum is taken at a time.
+_PIECE = 2048
+_XOR = "list_reduce([CASE WHEN ({x} >> i) & 1 = 1 THEN {images}[i + 1] ELSE 0 END FOR i IN range(32)], lambda e, f: xor(e, f))"
+#: The checksum is taken byte by byte in pieces, over the table of 256 remainders. It is linear: a piece counts with its
+#: remainder moved over the pieces after it, so ``moved`` has what each bit becomes j pieces later. A walk ends at the
+#: first number below n.
 ORACLE_SQL = f"""
 WITH RECURSIVE bits AS (SELECT list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
                   lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c, i FROM range(256) AS t(i)),
 remainders AS (SELECT list(c ORDER BY i) AS rem FROM bits),
-bytes AS (SELECT doc_id::BIGINT AS doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-d AS (SELECT doc_id, length(h) // 2 + 16 AS size,
-             xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, [('0x' || h[k:k + 1])::BIGINT FOR k IN range(1, length(h), 2)]),
-                 lambda c, x: xor(c >> 8, rem[(xor(c, x) & 255) + 1]))) AS text_crc32 FROM bytes, remainders),
+hexes AS (SELECT row_number() OVER () AS r, doc_id::BIGINT AS doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sized AS (SELECT r, doc_id, length(h) // 2 AS bytes, greatest(1, (length(h) // 2 + {_PIECE} - 1) // {_PIECE}) AS m, h FROM hexes),
+pieces AS (SELECT r, m - 1 - k AS j, k, CASE WHEN k = 0 THEN substr(h, 1, 2 * first) ELSE substr(h, 2 * (first + (k - 1) * {_PIECE}) + 1, {2 * _PIECE}) END AS h
+           FROM (SELECT r, m, h, bytes - (m - 1) * {_PIECE} AS first, unnest(range(0, m)) AS k FROM sized)),
+states AS (SELECT r, j, list_reduce(list_prepend(CASE WHEN k = 0 THEN 4294967295 ELSE 0 END::BIGINT, [('0x' || h[2 * i - 1:2 * i])::BIGINT FOR i IN range(1, length(h) // 2 + 1)]),
+                  lambda c, x: xor(c >> 8, rem[(xor(c, x) & 255) + 1])) AS c FROM pieces, remainders),
+one AS (SELECT list(c ORDER BY b) AS one FROM (SELECT b, list_reduce(list_prepend(1::BIGINT << b::INT, list_transform(range({_PIECE}), lambda z: 0::BIGINT)),
+                  lambda c, z: xor(c >> 8, rem[(c & 255) + 1])) AS c FROM range(32) AS t(b), remainders)),
+moved AS (SELECT 0::BIGINT AS j, [1::BIGINT << b::INT FOR b IN range(32)] AS p
+          UNION ALL SELECT j + 1, [{_XOR.format(x="x", images="one")} FOR x IN p] FROM moved, one WHERE j < (SELECT max(m) FROM sized)),
+crcs AS (SELECT r, xor(4294967295, bit_xor({_XOR.format(x="c", images="p")})) AS text_crc32 FROM states JOIN moved USING (j) GROUP BY r),
+d AS (SELECT doc_id, bytes + 16 AS size, text_crc32 FROM sized JOIN crcs USING (r)),
 c AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, text_crc32, size) - 1) // {COPIES} AS piece FROM d),
 b AS (SELECT *, ({_bucket_sql()}) % {BUCKETS} AS bucket FROM c),
 r AS (SELECT doc_id, size, text_crc32, row_number() OVER (ORDER BY bucket, doc_id NULLS FIRST, text_crc32, size, piece) - 1 AS number FROM b),
