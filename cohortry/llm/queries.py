@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from cohortry.llm import chat, decontamination, language, licenses, minhash, mixing, quality, secrets, sharding, toxicity
+from cohortry.llm import (
+    chat, decontamination, language, licenses, minhash, mixing, quality, retrieval, secrets, sharding, simhash, spelling, toxicity,
+)
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +19,9 @@ QUERIES = {
         quality.op8_host_rules,
         minhash.op9_circulant_minhash,
         secrets.op10_keyword_secrets,
+        simhash.op11_deletion_simhash,
+        retrieval.op12_dual_tree,
+        spelling.op13_trie_frontier,
     )
 }
 ORACLE_SQL = {
@@ -27,4 +32,6 @@ ORACLE_SQL = {
     "op8_host_rules": quality.ORACLE_SQL,
     "op9_circulant_minhash": minhash.ORACLE_SQL,
     "op10_keyword_secrets": secrets.ORACLE_SQL,
+    "op12_dual_tree": retrieval.ORACLE_SQL,
+    "op13_trie_frontier": spelling.ORACLE_SQL,
 }
