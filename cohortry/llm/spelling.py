@@ -189,7 +189,7 @@ def neighbours(words: DataFrame) -> DataFrame:
     sizes = {r["band"]: r["n"] for r in edges.groupBy("band").agg(F.count("*").alias("n")).collect()}  # a row for each band
     ends = walks.filter("word is not null").select(F.col("id").alias("stop")).distinct()
     last, found = None, []
-    for band, (_, high) in enumerate(bands(longest)):
+    for band, (low, high) in enumerate(bands(longest)):
         own = walks.filter(F.col("band") == band)
         here = edges.filter(F.col("band") == band).select(
             F.col("node").alias("at"), F.col("letter").alias("other"), F.col("next").alias("ahead"), F.col("child").alias("to")
@@ -207,16 +207,15 @@ def neighbours(words: DataFrame) -> DataFrame:
         )
         moved = state.join(here, fits & edit).select("id", _after(F.col("to"), F.col("p"), F.col("q")).alias("node"), "over")
         if last is not None:  # states with the edit spent go on by their word's letters
-            on = own.filter(F.col("i") == bands(longest)[band][0]).select(F.col("id").alias("word_id"), "piece", "power", "over")
+            on = own.filter(F.col("i") == low).select(F.col("id").alias("word_id"), "piece", "power", "over")
             went = last.join(on, F.col("id") == F.col("word_id"))
             moved = moved.union(went.select("id", _after(F.col("node"), F.col("piece"), F.col("power")).alias("node"), "over"))
         moved = written(moved.distinct(), f"trie-frontier-{band}")
-        done = moved.filter("over").join(ends, F.col("node") == F.col("stop")).select("id", F.col("stop").alias("other_id"))
-        found.append(written(done, f"trie-found-{band}"))
+        done = moved.filter("over").join(ends, F.col("node") == F.col("stop"))
+        found.append(done.select("id", F.col("stop").alias("other_id")))
         # a path of a word's first letters, with one replaced or one more
         nodes = walks.filter(F.col("i").isin(high, high + 1)).select(F.col("node").alias("there")).distinct()
-        last = written(moved.filter("not over").join(nodes, F.col("node") == F.col("there"), "left_semi").select("id", "node"), f"trie-state-{band}")
-        discard(moved)
+        last = moved.filter("not over").join(nodes, F.col("node") == F.col("there"), "left_semi").select("id", "node")
     names = walks.filter("word is not null").select("id", "word")
     left = names.select("id", F.col("word").alias("a"))
     right = names.select(F.col("id").alias("other_id"), F.col("word").alias("b"))
