@@ -61,9 +61,9 @@ def run_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for name, text in zip(batch.column("name"), batch.column("text"), strict=True):
                 start = zlib.crc32((name.as_py() + ":").encode())
-                runs = Counter((text.as_py() or "").encode("latin-1", "replace").translate(_LETTERS).split(b" "))
-                del runs[b""]
-                for run, n in runs.items():
+                runs = (text.as_py() or "").encode("latin-1", "replace").translate(_LETTERS).split()
+                # a shorter run is no word, with or without a letter less
+                for run, n in Counter([r for r in runs if len(r) >= LEAST_LENGTH]).items():
                     h = zlib.crc32(wide[run], start)
                     if h % DIVISOR == 0:
                         at = h % len(run)
@@ -121,34 +121,31 @@ def trie_walks(words: DataFrame, longest: int) -> DataFrame:
     cut = bands(longest)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, second = [1], [1]  # powers of the bases
         for batch in batches:
             rows: list[tuple] = []
             for word in batch.column("word").to_pylist():
                 w = word + END
-                h = [_hashed(w, p, b) for p, b in zip(PRIMES, BASES, strict=True)]
-                power = [[1], [1]]
-                for _ in w:
-                    for k in (0, 1):
-                        power[k].append(power[k][-1] * BASES[k] % PRIMES[k])
-
-                def joined(x: int, y: int) -> int:
-                    return (x << 31) | y
-
-                def piece(lo: int, hi: int) -> int:
-                    return joined(*[(h[k][hi] - h[k][lo] * power[k][hi - lo]) % PRIMES[k] for k in (0, 1)])
-
-                own, size = joined(h[0][-1], h[1][-1]), len(w)
+                (one, two), size = (_hashed(w, p, b) for p, b in zip(PRIMES, BASES, strict=True)), len(w)
+                while len(first) <= size:
+                    first.append(first[-1] * BASES[0] % PRIMES[0])
+                    second.append(second[-1] * BASES[1] % PRIMES[1])
+                nodes = [x << 31 | y for x, y in zip(one, two, strict=True)]
                 for number, (low, high) in enumerate(cut):
                     if low >= size:
                         break
                     end = min(high, size)
-                    for i in range(low, end):
-                        rows.append((
-                            own, word if i == 0 else None, number, i, w[i], joined(h[0][i], h[1][i]), joined(h[0][i + 1], h[1][i + 1]),
-                            w[i : i + AHEAD], w[i + 1 : i + 1 + AHEAD],
-                            piece(i, end), joined(power[0][end - i], power[1][end - i]),
-                            piece(i + 1, end), joined(power[0][end - i - 1], power[1][end - i - 1]), end == size,
-                        ))
+                    a, b, over = one[end], two[end], end == size
+                    on = [
+                        (((a - one[i] * first[end - i]) % PRIMES[0]) << 31 | (b - two[i] * second[end - i]) % PRIMES[1],
+                         first[end - i] << 31 | second[end - i])
+                        for i in range(low, end + 1)
+                    ]
+                    rows += [
+                        (nodes[size], None if i else word, number, i, w[i], nodes[i], nodes[i + 1], w[i : i + AHEAD], w[i + 1 : i + 1 + AHEAD],
+                         *on[i - low], *on[i - low + 1], over)
+                        for i in range(low, end)
+                    ]
                     if len(rows) > 20_000:
                         yield _table(rows)
                         rows = []
