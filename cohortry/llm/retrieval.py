@@ -208,6 +208,9 @@ def _search_part(items: DataFrame, docs: DataFrame, top: int) -> DataFrame:
     """The ranks of one part of the items (item_id, print, term, repeats)."""
     spark = docs.sparkSession
     rows = items.collect()  # about PART rows
+    kind = items.schema["item_id"].dataType.simpleString()
+    if not rows:
+        return spark.createDataFrame([], f"item_id {kind}, rank int, doc_id long, score long")
     keys = sorted({(str(r["item_id"]), r["print"]) for r in rows})
     number = {k: i for i, k in enumerate(keys)}
     names = {number[str(r["item_id"]), r["print"]]: r["item_id"] for r in rows}
@@ -234,8 +237,7 @@ def _search_part(items: DataFrame, docs: DataFrame, top: int) -> DataFrame:
     for r in first.filter(F.col("rank") == top).collect():  # a row for each item at most
         none[r["item"]] = r["score"]
     found = best_documents(index, tree, none, n_docs, n_all, top).withColumn("rank", F.row_number().over(best))
-    kind = items.schema["item_id"]
-    named = spark.createDataFrame(sorted(names.items()), f"number int, item_id {kind.dataType.simpleString()}")
+    named = spark.createDataFrame(sorted(names.items()), f"number int, item_id {kind}")
     return found.filter(F.col("rank") <= top).join(F.broadcast(named), F.col("item") == F.col("number")).select(
         "item_id", "rank", "doc_id", "score"
     )
