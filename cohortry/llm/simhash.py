@@ -38,6 +38,8 @@ SEED = 42
 DISTANCE = 2
 #: Shingles that are hashed at a time.
 PIECE = 65_536
+#: Shared variants that are broadcast at most (16 bytes each); more are joined by shuffle.
+MOST_SHARED = 1_000_000
 #: Fingerprints of a variant that are paired by a join at most.
 MANY = 8
 
@@ -93,6 +95,7 @@ def links(prints: DataFrame, many: int = MANY) -> DataFrame:
     shared = written(counted.filter("n > 1"), "sim-shared")
     twos = shared.filter("n = 2").select("a", "b")
     large = shared.filter("n > 2").select("variant", "n")
+    large = F.broadcast(large) if shared.count() <= MOST_SHARED else large
     members = written(index.join(large, "variant"), "sim-members")
 
     few = members.filter(F.col("n") <= many).select("variant", "bits")
