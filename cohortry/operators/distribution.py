@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -73,6 +74,43 @@ def draw(rows: DataFrame, outcomes: DataFrame, u: str, keys: Sequence[str] = ())
     return rows.join(o if keys else F.broadcast(o), fits).drop("lo", "hi", *[f"_o_{k}" for k in keys])
 
 
+def alias_tables(outcomes: DataFrame, group: Sequence[str], outcome: str, weight: str) -> DataFrame:
+    """One row per group: ``total`` (of the weights, which are whole numbers) and ``cells``, an alias table to draw from in
+    constant time: as many cells as outcomes with a weight, each with ``own``, ``keep`` (of ``total``) and ``alias``.
+
+    A cell has room for ``total``, and an outcome brings its weight times the number of cells. Light outcomes lack a
+    deficit, heavy ones have a surplus. With both summed in order, a light cell is filled by the first heavy outcome whose
+    surpluses reach the deficits before it, and a heavy one gives its room beyond its own surpluses to the next heavy
+    outcome. So what a sweep over both lists would do follows from running sums, in windows over the group. Sums are
+    whole numbers, so each outcome gets exactly its share.
+    """
+    whole = Window.partitionBy(*group)
+    df = outcomes.filter(F.col(weight) > 0).select(*group, F.col(outcome).alias("own"), F.col(weight).cast("long").alias("_w"))
+    df = df.withColumn("total", F.sum("_w").over(whole)).withColumn("_have", F.col("_w") * F.count("*").over(whole))
+    df = df.withColumn("_heavy", F.col("_have") >= F.col("total")).withColumn("_off", F.abs(F.col("_have") - F.col("total")))
+    of_kind = Window.partitionBy(*group, "_heavy").orderBy("own")
+    df = df.withColumn("_to", F.sum("_off").over(of_kind.rowsBetween(Window.unboundedPreceding, 0)))
+    df = df.withColumn("_next", F.lead("own").over(of_kind)).withColumn("_from", F.when(F.col("_heavy"), F.col("_to")).otherwise(F.col("_to") - F.col("_off")))
+    back = lambda key: whole.orderBy(F.desc(key), F.desc("_heavy"), F.desc("own")).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("_filler", F.last(F.when(F.col("_heavy"), F.col("own")), True).over(back("_from")))
+    df = df.withColumn("_short", F.last(F.when(~F.col("_heavy"), F.col("_to")), True).over(back("_to")))
+    keep = F.when(~F.col("_heavy"), F.col("_have")).otherwise(F.col("total") - F.coalesce(F.col("_short") - F.col("_to"), F.lit(0)))
+    alias = F.when(~F.col("_heavy"), F.col("_filler")).when(F.col("_short").isNotNull(), F.col("_next"))
+    cell = F.struct("own", keep.alias("keep"), alias.alias("alias"))
+    return df.groupBy(*group, "total").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+
+
+def draw_by_alias(rows: DataFrame, tables: DataFrame, u: str, keys: Sequence[str], out: str) -> DataFrame:
+    """Gives each row the outcome that its ``u`` in [0, 1) draws from its group's alias table; rows without a table are
+    left out. One join by equal keys and one look at one cell, whatever the number of outcomes."""
+    t = tables.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "total", "cells")
+    same = [F.col(k) == F.col(f"_t_{k}") for k in keys]
+    at = F.col(u) * F.size("cells")
+    cell = F.get("cells", F.floor(at).cast("int"))
+    drawn = F.when((at - F.floor(at)) * F.col("total") < cell["keep"], cell["own"]).otherwise(cell["alias"])
+    return rows.join(t, same).withColumn(out, drawn).drop("total", "cells", *[f"_t_{k}" for k in keys])
+
+
 def single_ages(bins: DataFrame, lo: str = "lo", hi: str = "hi", prob: str = "prob") -> DataFrame:
     """Each integer of a half-open bin with an equal part of the bin's probability."""
     ages = F.explode(F.sequence(F.col(lo), F.col(hi) - 1)).alias("age")
@@ -129,3 +167,33 @@ def kernel_density(df: DataFrame, value: str, lo: int, hi: int, factor: float, s
         counts.crossJoin(F.broadcast(spread)).crossJoin(F.broadcast(grid)).groupBy("at").agg(F.sum(kernel).alias("raw"))
     )
     return raw.select("at", (F.col("raw") / F.sum("raw").over(Window.partitionBy(F.lit(0)))).alias("density"))
+
+
+def binned_kernel_density(df: DataFrame, value: str, lo: int, hi: int, factor: float, error: float = 1e-4) -> DataFrame:
+    """``kernel_density`` of a continuous column of any size, off by at most ``error`` at every point before the values are
+    normalised, where a single value's kernel has its peak 1 and values count with 1/n each.
+
+    Each value is shared by its two neighbours on a grid, by its distance from either, and only the grid's nodes are
+    weighed at the points within the kernel's reach. A step of h sqrt(4 error) makes the sharing off by less than half
+    the error (the kernel's second derivative is 1 / h^2 at most, and sharing errs by step^2 / 8 of it), and the kernel
+    is cut where it falls below the other half. So the rows of the join are bounded by the points' range in bandwidths
+    and the error, not by how many different values there are. A table without two different values has no density.
+    """
+    x = F.col(value).cast("double")
+    given = df.filter(F.col(value).isNotNull())
+    h = given.agg((F.stddev_samp(x) * factor).alias("h")).filter("h > 0")  # one row
+    step, reach = F.col("h") * (4 * error) ** 0.5, F.col("h") * (-2 * math.log(error / 2)) ** 0.5
+    held = given.select(x.alias("x")).crossJoin(F.broadcast(h.select("h", step.alias("step"), reach.alias("reach"))))
+    held = held.filter(F.col("x").between(lo - F.col("reach") - F.col("step"), hi - 1 + F.col("reach") + F.col("step")))
+    low, part = F.floor(F.col("x") / F.col("step")), F.col("x") / F.col("step") - F.floor(F.col("x") / F.col("step"))
+    shares = F.explode(F.array(F.struct(low.alias("node"), (1 - part).alias("w")), F.struct((low + 1).alias("node"), part.alias("w")))).alias("s")
+    nodes = held.select("h", "step", "reach", shares).groupBy("h", "step", "reach", "s.node").agg(F.sum("s.w").alias("w"))
+    place = F.col("node") * F.col("step")
+    first = F.greatest(F.ceil(place - F.col("reach")), F.lit(lo)).cast("int")
+    last = F.least(F.floor(place + F.col("reach")), F.lit(hi - 1)).cast("int")
+    seen = nodes.filter(first <= last).select("w", place.alias("place"), "h", F.explode(F.sequence(first, last)).alias("at"))
+    kernel = F.col("w") * F.exp(-0.5 * F.pow((F.col("at") - F.col("place")) / F.col("h"), 2))
+    raw = seen.groupBy("at").agg(F.sum(kernel).alias("raw"))
+    grid = df.sparkSession.range(lo, hi).select(F.col("id").cast("int").alias("at"))
+    every = grid.join(F.broadcast(raw), "at", "left").select("at", F.coalesce("raw", F.lit(0.0)).alias("raw"))
+    return every.select("at", F.try_divide("raw", F.sum("raw").over(Window.partitionBy(F.lit(0)))).alias("density"))

@@ -75,18 +75,19 @@ def treatments(spark: SparkSession) -> DataFrame:
     return df
 
 
-def transition_rules(spark: SparkSession) -> DataFrame:
-    """(scenario, regime, stage, from_state, to_state, prob): weekly rules of both regimes and all stages, cut to the
-    stage's states, before any row is repaired.
+def transition_rules(spark: SparkSession, rates: DataFrame | None = None) -> DataFrame:
+    """(scenario, regime, stage, from_state, to_state, prob): weekly rules of each regime and all stages, cut to the
+    stage's states, before any row is repaired. ``rates`` has regime, abr, ajbr, albr, eabr, inhibitor_risk and
+    progression_risk; by default those of ``treatments``.
 
     Where the weekly event probabilities of the no-bleed row sum to more than what no bleed leaves, they are scaled.
     """
-    t = treatments(spark)
+    t = treatments(spark) if rates is None else rates
     stages = stage_states(spark)
     has = stages.groupBy("stage").agg(
         *[F.max((F.col("state") == s).cast("int")).alias(n) for n, s in (("chronic_in", CHRONIC), ("inhibitor_in", INHIBITOR))]
     )
-    weekly = t.crossJoin(has).select(
+    weekly = t.crossJoin(F.broadcast(has)).select(  # three stages
         "regime", "stage", at_least_one(F.lit(float(WEEKS)) - F.col("abr")).alias("stay"),
         at_least_one(F.col("eabr")).alias("minor"), at_least_one(F.col("ajbr")).alias("major"),
         at_least_one(F.col("albr")).alias("lt"), F.col("progression_risk").alias("progress"),
@@ -97,7 +98,7 @@ def transition_rules(spark: SparkSession) -> DataFrame:
         + F.col("inhibit") * F.col("inhibitor_in")
     )
     scale = F.when(others > 1 - F.col("stay"), (1 - F.col("stay")) / others).otherwise(F.lit(1.0))
-    # the no-bleed row's sum of both regimes stays below 1, so the scale is 1 for them
+    # with the fixed rates the no-bleed row's sum stays below 1, so their scale is 1
     weekly = weekly.withColumn("scale", scale).withColumns(
         {c: F.col(c) * F.col("scale") for c in ("minor", "major", "lt", "progress", "inhibit")}
     )
