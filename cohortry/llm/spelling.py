@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -38,7 +38,7 @@ LEAST_LENGTH, LEAST_COUNT = 5, 3
 #: A run whose checksum this number divides loses a letter.
 DIVISOR = 97
 #: Letters after an edit that an edge must share with the word.
-AHEAD = 3
+AHEAD = 4
 #: A form has at least so many times the word's occurrences.
 TIMES = 2
 #: Edges that are broadcast at most.
@@ -113,11 +113,11 @@ def bands(longest: int) -> list[tuple[int, int]]:
 
 
 def trie_walks(words: DataFrame, longest: int) -> DataFrame:
-    """What each word has at each of its positions i, its end included: id (the number of its whole path), the
-    word itself at the first one, band, i, letter, node (before the letter), child (after it), and the letters ahead from i (``here``) and from i + 1
-    (``next``); and how a state goes on from i to the end of i's band, or of the word: ``piece`` (hash of these letters),
-    ``power`` (what a hash is multiplied by before it is added), and from i + 1 ``piece_next``, ``power_next``;
-    ``over`` if the word ends there. Hashes are pairs of numbers, held as one long."""
+    """What each word has at each of its positions i, its end included: id (the number of its whole path), the word itself
+    at the first one, band, i, letter, node (before the letter), the letters ahead from i (``here``) and from i + 1
+    (``next``); and how a state goes on from i + 1 to the end of i's band, or of the word: ``piece`` (hash of these
+    letters) and ``power`` (what a hash is multiplied by before it is added); ``over`` if the word ends there. Hashes are
+    pairs of numbers, held as one long."""
     cut = bands(longest)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,20 +130,16 @@ def trie_walks(words: DataFrame, longest: int) -> DataFrame:
                 while len(first) <= size:
                     first.append(first[-1] * BASES[0] % PRIMES[0])
                     second.append(second[-1] * BASES[1] % PRIMES[1])
-                nodes = [x << 31 | y for x, y in zip(one, two, strict=True)]
+                own = one[size] << 31 | two[size]
                 for number, (low, high) in enumerate(cut):
                     if low >= size:
                         break
                     end = min(high, size)
                     a, b, over = one[end], two[end], end == size
-                    on = [
-                        (((a - one[i] * first[end - i]) % PRIMES[0]) << 31 | (b - two[i] * second[end - i]) % PRIMES[1],
-                         first[end - i] << 31 | second[end - i])
-                        for i in range(low, end + 1)
-                    ]
                     rows += [
-                        (nodes[size], None if i else word, number, i, w[i], nodes[i], nodes[i + 1], w[i : i + AHEAD], w[i + 1 : i + 1 + AHEAD],
-                         *on[i - low], *on[i - low + 1], over)
+                        (own, None if i else word, number, i, ord(w[i]), one[i] << 31 | two[i], w[i : i + AHEAD], w[i + 1 : i + 1 + AHEAD],
+                         ((a - one[i + 1] * first[end - i - 1]) % PRIMES[0]) << 31 | (b - two[i + 1] * second[end - i - 1]) % PRIMES[1],
+                         first[end - i - 1] << 31 | second[end - i - 1], over)
                         for i in range(low, end)
                     ]
                     if len(rows) > 20_000:
@@ -155,9 +151,8 @@ def trie_walks(words: DataFrame, longest: int) -> DataFrame:
 
 
 _WALK = pa.schema([
-    ("id", pa.int64()), ("word", pa.string()), ("band", pa.int32()), ("i", pa.int32()), ("letter", pa.string()), ("node", pa.int64()), ("child", pa.int64()),
-    ("here", pa.string()), ("next", pa.string()), ("piece", pa.int64()), ("power", pa.int64()),
-    ("piece_next", pa.int64()), ("power_next", pa.int64()), ("over", pa.bool_()),
+    ("id", pa.int64()), ("word", pa.string()), ("band", pa.int32()), ("i", pa.int32()), ("letter", pa.int32()), ("node", pa.int64()),
+    ("here", pa.string()), ("next", pa.string()), ("piece", pa.int64()), ("power", pa.int64()), ("over", pa.bool_()),
 ])
 _KINDS = {"int64": "long", "int32": "int", "string": "string", "bool": "boolean"}
 
@@ -167,12 +162,16 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _WALK, strict=True)], schema=_WALK)
 
 
+def _pair(make: Callable[[int, Callable[[Column], Column]], Column]) -> Column:
+    """A number from both of its parts: ``make(k, part)`` is part k, where ``part`` takes part k of a held number."""
+    high = make(0, lambda x: F.shiftright(x, 31)) % PRIMES[0]
+    low = make(1, lambda x: x.bitwiseAND(F.lit((1 << 31) - 1))) % PRIMES[1]
+    return F.shiftleft(high, 31).bitwiseOR(low)
+
+
 def _after(node: Column, piece: Column, power: Column) -> Column:
     """The number of the node reached from ``node`` by the letters of ``piece``."""
-    low = F.lit((1 << 31) - 1)
-    first = (F.shiftright(node, 31) * F.shiftright(power, 31) + F.shiftright(piece, 31)) % PRIMES[0]
-    second = (node.bitwiseAND(low) * power.bitwiseAND(low) + piece.bitwiseAND(low)) % PRIMES[1]
-    return F.shiftleft(first, 31).bitwiseOR(second)
+    return _pair(lambda k, part: part(node) * part(power) + part(piece))
 
 
 def neighbours(words: DataFrame) -> DataFrame:
@@ -181,33 +180,33 @@ def neighbours(words: DataFrame) -> DataFrame:
     if longest is None:
         return words.select(F.col("word").alias("a"), F.col("word").alias("b"))
     walks = written(trie_walks(words, longest), "trie-walks")
-    edges = walks.groupBy("band", "node", "letter", "next").agg(F.first("child").alias("child"))
-    edges = written(edges.filter(F.col("letter") != END), "trie-edges")
+    letter, node, piece, power = (F.col(c) for c in ("letter", "node", "piece", "power"))
+    child = _pair(lambda k, part: part(node) * BASES[k] + letter).alias("child")
+    steps = walks.filter(letter != ord(END)).select("band", F.xxhash64("node", "next").alias("key"), "letter", child)
+    edges = written(steps.distinct(), "trie-edges")
     sizes = {r["band"]: r["n"] for r in edges.groupBy("band").agg(F.count("*").alias("n")).collect()}  # a row for each band
     ends = walks.filter("word is not null").select(F.col("id").alias("stop")).distinct()
     last, found = None, []
     for band, (low, high) in enumerate(bands(longest)):
         own = walks.filter(F.col("band") == band)
-        here = edges.filter(F.col("band") == band).select(
-            F.col("node").alias("at"), F.col("letter").alias("other"), F.col("next").alias("ahead"), F.col("child").alias("to")
-        )
+        here = edges.filter(F.col("band") == band).select(F.col("key").alias("at"), F.col("letter").alias("other"), "child")
         here = F.broadcast(here) if sizes.get(band, 0) <= MOST_EDGES else here
-        # the edit: another letter, after which the word goes on behind its own, or one more letter before it
+        # the edit: a larger letter, after which the word goes on behind its own, or one more letter before it
+        whole = _pair(lambda k, part: letter * part(power) + part(piece))
+        more = _pair(lambda k, part: part(power) * BASES[k])
         kinds = F.explode(F.array(
-            F.struct(F.col("next").alias("look"), F.col("letter").alias("above"), F.col("piece_next").alias("p"), F.col("power_next").alias("q")),
-            F.struct(F.col("here").alias("look"), F.lit(None).cast("string").alias("above"), F.col("piece").alias("p"), F.col("power").alias("q")),
+            F.struct(F.xxhash64("node", "next").alias("key"), letter.alias("above"), F.lit(0).alias("than"), piece.alias("p"), power.alias("q")),
+            F.struct(F.xxhash64("node", "here").alias("key"), F.lit(0).alias("above"), letter.alias("than"), whole.alias("p"), more.alias("q")),
         ))
-        state = own.select("id", "node", "letter", "over", kinds.alias("x")).select("id", "node", "letter", "over", "x.*")
-        fits = (F.col("node") == F.col("at")) & (F.col("look") == F.col("ahead"))
-        edit = F.when(F.col("above").isNull(), F.col("other") != F.col("letter")).otherwise(
-            (F.col("letter") != END) & (F.col("other") > F.col("above"))
-        )
-        moved = state.join(here, fits & edit).select("id", _after(F.col("to"), F.col("p"), F.col("q")).alias("node"), "over")
+        state = own.select("id", "over", "letter", kinds.alias("x")).select("id", "over", "x.*")
+        state = state.filter(F.col("above") != ord(END))
+        fits = (F.col("key") == F.col("at")) & (F.col("other") > F.col("above")) & (F.col("other") != F.col("than"))
+        moved = state.join(here, fits).select("id", _after(F.col("child"), F.col("p"), F.col("q")).alias("node"), "over")
         if last is not None:  # states with the edit spent go on by their word's letters
-            on = own.filter(F.col("i") == low).select(F.col("id").alias("word_id"), "piece", "power", "over")
+            on = own.filter(F.col("i") == low).select(F.col("id").alias("word_id"), whole.alias("p"), more.alias("q"), "over")
             went = last.join(on, F.col("id") == F.col("word_id"))
-            moved = moved.union(went.select("id", _after(F.col("node"), F.col("piece"), F.col("power")).alias("node"), "over"))
-        moved = written(moved.distinct(), f"trie-frontier-{band}")
+            moved = moved.union(went.select("id", _after(F.col("node"), F.col("p"), F.col("q")).alias("node"), "over"))
+        moved = written(moved, f"trie-frontier-{band}")
         done = moved.filter("over").join(ends, F.col("node") == F.col("stop"))
         found.append(done.select("id", F.col("stop").alias("other_id")))
         # a path of a word's first letters, with one replaced or one more
