@@ -8,8 +8,8 @@ is rejected for what it does much more often than others, once it has enough doc
 most hosts fail alike rejects none.
 
 Edge cases: a null or blank text has no words and fails ``few_words``; a null host is a host of its own; an empty table
-gives an empty table; a single host equals the mean and is never rejected; repeated rows count each; only doc_id, text
-and the host column are read.
+gives an empty table; a single host equals the mean and is never rejected; repeated rows count each; a text of any length
+is measured whole, in its own row; only doc_id, text and the host column are read.
 """
 
 from __future__ import annotations
@@ -113,18 +113,22 @@ def host_rates(rules: DataFrame) -> DataFrame:
 
 
 def quality_verdicts(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The counts, base_failed, host_broken (the rules that the row's host breaks), host_failed and kept of each row.
+    """The counts, base_failed, host_broken (the rules that the row's host breaks), host_failed and kept of each row, and
+    mean and lower bound of its host's shrunk rate of each rule, to six digits.
 
     Measures are written once and read twice. Only small columns reach the join with the hosts; Spark broadcasts the
     hosts where they are few, else a skewed host is split at run time.
     """
     rules = written(document_rules(docs, host), "quality-rules")
-    hosts = host_rates(rules).select(F.col("host").alias("_host"), F.col("broken").alias("host_broken"))
+    rates = [f"{r}_{c}" for r in RULES for c in ("mean", "low")]
+    hosts = host_rates(rules).select(
+        F.col("host").alias("_host"), F.col("broken").alias("host_broken"), *[F.round(c, 6).alias(c) for c in rates]
+    )
     joined = rules.join(hosts, F.col("host").eqNullSafe(F.col("_host")), "left")
     failed = F.col("host_broken") != ""
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_broken",
-        failed.alias("host_failed"), (~F.col("base_failed") & ~failed).alias("kept"),
+        failed.alias("host_failed"), (~F.col("base_failed") & ~failed).alias("kept"), *rates,
     )
 
 
@@ -159,8 +163,9 @@ h AS (SELECT source, count(*) AS c, {_each("sum({r}) AS {r}")} FROM b GROUP BY s
 p AS (SELECT {_each("avg({r} / c) AS {r}_m, var_pop({r} / c) AS {r}_v")} FROM h),
 k AS (SELECT *, {_each("greatest({lo}, least({hi}, CASE WHEN {r}_v > 0 THEN {r}_m * (1 - {r}_m) / {r}_v - 1 ELSE {hi} END)) AS {r}_k")} FROM p),
 s AS (SELECT *, {_each("({r} + {r}_m * {r}_k) / (c + {r}_k) AS {r}_s")} FROM h, k),
-t AS (SELECT source, concat_ws(',', {_each("CASE WHEN " + _LOW + " THEN '{r}' END")}) AS host_broken FROM s)
+t AS (SELECT source, concat_ws(',', {_each("CASE WHEN " + _LOW + " THEN '{r}' END")}) AS host_broken,
+      {_each("round({r}_s, 6) AS {r}_mean, round({r}_s - {d} * sqrt({r}_s * (1 - {r}_s) / (c + {r}_k + 1)), 6) AS {r}_low")} FROM s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, few_words + repeats > 0 AS base_failed, host_broken,
-       host_broken <> '' AS host_failed, few_words + repeats = 0 AND host_broken = '' AS kept
+       host_broken <> '' AS host_failed, few_words + repeats = 0 AND host_broken = '' AS kept, {_each("{r}_mean, {r}_low")}
 FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source
 """

@@ -109,7 +109,7 @@ def feistel(number: Column, n: Column, seed: int) -> Column:
 def document_shards(docs: DataFrame, shards: int = 40, seed: int = 7) -> DataFrame:
     """One row per row of ``docs``: doc_id, size (UTF-8 bytes + 16), text_crc32, law, shard, slot, grown_shard.
 
-    A null text has no bytes: size 16 and checksum 0. ``grown_shard`` is null, as law ``rows`` deals anew when the
+    A null text has no bytes: size 16 and checksum 0; of a text of any length only size and checksum are kept. ``grown_shard`` is null, as law ``rows`` deals anew when the
     number of shards changes.
     """
     rows = docs.select(
