@@ -31,6 +31,11 @@ def thousands(text: Column) -> Column:
     return F.replace(ascii_digits(text), F.lit(","), F.lit("")).try_cast("bigint")
 
 
+def number(text: Column) -> Column:
+    """``2,124.5`` -> 2124.5; what is no number gives null."""
+    return F.replace(ascii_digits(text), F.lit(","), F.lit("")).try_cast("double")
+
+
 def price(text: Column) -> Column:
     """``12,500-`` -> 12500.0; an empty text gives null, other text that is no number raises an error."""
     bare = F.translate(ascii_digits(text), ",-", "")

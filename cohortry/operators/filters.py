@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.text import contains_any_case, price
@@ -17,12 +17,21 @@ def text_filter(df: DataFrame, include: Sequence[Rule] = (), exclude: Sequence[R
 
     A null column contains nothing, so it fails an inclusion and passes an exclusion.
     """
+    return df.filter(_condition(include, exclude))
+
+
+def _condition(include: Sequence[Rule], exclude: Sequence[Rule]) -> Column:
     keep = F.lit(True)
     for column, part in include:
         keep = keep & contains_any_case(F.col(column), part)
     for column, part in exclude:
         keep = keep & ~contains_any_case(F.col(column), part)
-    return df.filter(keep)
+    return keep
+
+
+def factor_viii_condition() -> Column:
+    """True for the rows that ``factor_viii`` keeps."""
+    return _condition([("active_ingredient", "factor viii")], [("active_ingredient", "von willebrand")])
 
 
 def factor_viii(df: DataFrame, recombinant: bool | None = None) -> DataFrame:

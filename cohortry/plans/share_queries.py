@@ -305,40 +305,12 @@ def _indices(pairs: DataFrame) -> DataFrame:
 
 
 def input_sensitivity_whole(spark: SparkSession, d: str) -> DataFrame:
-    """``input_sensitivity`` with rows paired over the whole table, not inside groups of l_orderkey % 4096."""
+    """Indices of three columns of lineitem for a fixed polynomial; block B is the row of equal rank in a second order of
+    the whole table."""
     l = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 50).alias("x1"), (F.col("l_discount") * 10).alias("x2"), (F.col("l_tax") * 12).alias("x3"))
     return _indices(paired_rows(l))
 
 
-def input_sensitivity(spark: SparkSession, d: str) -> DataFrame:
-    """Indices of three columns of lineitem for a fixed polynomial; block B is the row of equal rank in a second order."""
-    l = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 50).alias("x1"), (F.col("l_discount") * 10).alias("x2"), (F.col("l_tax") * 12).alias("x3"))
-    group = F.col("l_orderkey") % 4096
-    order_a = Window.partitionBy("g").orderBy("l_orderkey", "l_linenumber", "x1", "x2", "x3")
-    mixed = (F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729) % 1000003
-    order_b = Window.partitionBy("g").orderBy("mixed", "l_orderkey", "l_linenumber", "x1", "x2", "x3")
-    rows = l.withColumn("g", group).withColumn("mixed", mixed)
-    a = rows.select("g", F.row_number().over(order_a).alias("k"), *[F.col(f"x{i}").alias(f"a{i}") for i in (1, 2, 3)])
-    b = rows.select("g", F.row_number().over(order_b).alias("k"), *[F.col(f"x{i}").alias(f"b{i}") for i in (1, 2, 3)])
-    return _indices(a.join(b, ["g", "k"]))
-
-
-INPUT_SENSITIVITY = """
-WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n, l_quantity / 50 AS x1, l_discount * 10 AS x2, l_tax * 12 AS x3, l_orderkey % 4096 AS g,
-                  (l_orderkey * 7919 + l_linenumber * 104729) % 1000003 AS m FROM lineitem),
-a AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY o, n, x1, x2, x3) AS k, x1 AS a1, x2 AS a2, x3 AS a3 FROM l),
-b AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY m, o, n, x1, x2, x3) AS k, x1 AS b1, x2 AS b2, x3 AS b3 FROM l),
-y AS (SELECT a1 + 2*a2*a2 + 3*a3*a1 AS a, b1 + 2*b2*b2 + 3*b3*b1 AS b, b1 + 2*a2*a2 + 3*a3*b1 AS c1, a1 + 2*b2*b2 + 3*a3*a1 AS c2, a1 + 2*a2*a2 + 3*b3*a1 AS c3
-      FROM a JOIN b USING (g, k)),
-s AS (SELECT avg(v) AS m, stddev_pop(v) AS s FROM (SELECT unnest([a, b, c1, c2, c3]) AS v FROM y)),
-z AS (SELECT (a - m) / s AS a, (b - m) / s AS b, (c1 - m) / s AS c1, (c2 - m) / s AS c2, (c3 - m) / s AS c3 FROM y, s),
-v AS (SELECT var_pop(w) AS v FROM (SELECT unnest([a, b]) AS w FROM z)),
-r AS (SELECT unnest([1, 2, 3]) AS input, unnest([avg(b*(c1-a)), avg(b*(c2-a)), avg(b*(c3-a))]) AS s1,
-             unnest([avg((a-c1)*(a-c1))/2, avg((a-c2)*(a-c2))/2, avg((a-c3)*(a-c3))/2]) AS st FROM z)
-SELECT input, round(s1 / v, 6) AS s1, round(st / v, 6) AS st FROM r, v
-"""
-
-
 INPUT_SENSITIVITY_WHOLE = """
 WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n, l_quantity / 50 AS x1, l_discount * 10 AS x2, l_tax * 12 AS x3,
                   (l_orderkey * 15485863 + l_linenumber::BIGINT * 32452843) % 1000033 AS ma, (l_orderkey * 7919 + l_linenumber * 104729) % 1000003 AS mb FROM lineitem),
@@ -362,7 +334,6 @@ QUERIES = {
         (drawn_segments, DRAWN_SEGMENTS), (drawn_sizes, DRAWN_SIZES), (size_bins, SIZE_BINS),
         (quantity_bin_labels, QUANTITY_BIN_LABELS), (quantity_density, QUANTITY_DENSITY), (size_counts, SIZE_COUNTS),
         (single_age_shares, SINGLE_AGE_SHARES), (blended_shares, BLENDED_SHARES), (quantity_kernel, QUANTITY_KERNEL),
-        (weekly_probabilities, WEEKLY_PROBABILITIES), (body_weights, BODY_WEIGHTS), (input_sensitivity, INPUT_SENSITIVITY),
-        (input_sensitivity_whole, INPUT_SENSITIVITY_WHOLE),
+        (weekly_probabilities, WEEKLY_PROBABILITIES), (body_weights, BODY_WEIGHTS), (input_sensitivity_whole, INPUT_SENSITIVITY_WHOLE),
     )
 }

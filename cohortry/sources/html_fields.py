@@ -5,6 +5,8 @@ Pages are parsed inside tasks with the standard parser; choosing, overwriting an
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
@@ -27,33 +29,34 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 
 
 class _Node:
-    """An element: its block, the place of the row around it, and the first label, value and link inside it."""
+    """An element: its block, its place among all elements and that of the last one inside it, the place of the row around
+    it, and where its text starts and stops among the page's pieces of text."""
 
-    def __init__(self, tag: str, names: set[str], above: _Node | None, block: int, place: int) -> None:
+    def __init__(self, tag: str, names: set[str], above: _Node | None, block: int, place: int, start: int) -> None:
         outer = "searchRow" in names
-        self.tag, self.place, self.text = tag, place, []
+        self.tag, self.place, self.last, self.start, self.stop = tag, place, place, start, start
         self.block = block if outer else above.block if above else -1
-        row = None if outer or above is None else above.place if above.is_row else above.row
-        self.row = row
+        self.row = None if outer or above is None else above.place if above.is_row else above.row
         self.is_row = "row" in names and not outer
         self.title = next((f for c, f in TITLES.items() if tag == "span" and c in names), None)
-        self.label = self.value = self.link = None
-
-    def words(self) -> str:
-        return "".join(self.text).strip()
 
 
 class _Listing(HTMLParser):
     """Collects (block, label, value): labels of divs below ``.row`` inside ``.searchRow``, and both titles.
 
     A div's label and value are the first ones inside it; divs count in the order of their start, those of a row inside
-    a row after all of the outer one's. What is still open at the end is closed there.
+    a row after all of the outer one's. What is still open at the end is closed there. Elements are numbered as they start,
+    so what is inside one is a range of numbers, and its first label is found by search; the work grows with the page, not
+    with its depth.
     """
 
     def __init__(self) -> None:
         super().__init__()
         self.open: list[_Node] = []
+        self.opened: Counter = Counter()
         self.nodes: list[_Node] = []
+        self.texts: list[str] = []
+        self.kinds: dict[tuple[str, int], list[int]] = defaultdict(list)
         self.block = -1
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -61,30 +64,53 @@ class _Listing(HTMLParser):
             return
         names = set((dict(attrs).get("class") or "").split())
         self.block += "searchRow" in names
-        node = _Node(tag, names, self.open[-1] if self.open else None, self.block, len(self.nodes))
-        kind = {"label": "label", "span": "value", "bdo": "value", "a": "link"}.get(tag)
-        for above in self.open:
-            if kind and getattr(above, kind) is None and above.block == node.block:
-                setattr(above, kind, node)
+        node = _Node(tag, names, self.open[-1] if self.open else None, self.block, len(self.nodes), len(self.texts))
+        if kind := {"label": "label", "span": "value", "bdo": "value", "a": "link"}.get(tag):
+            self.kinds[kind, node.block].append(node.place)
         self.open.append(node)
+        self.opened[tag] += 1
         self.nodes.append(node)
 
     def handle_data(self, data: str) -> None:
-        for node in self.open:
-            node.text.append(data)
+        self.texts.append(data)
 
     def handle_endtag(self, tag: str) -> None:
-        if any(node.tag == tag for node in self.open):
-            while self.open.pop().tag != tag:
+        if self.opened[tag]:
+            while self._end().tag != tag:
                 pass
 
+    def close(self) -> None:
+        super().close()
+        while self.open:
+            self._end()
+
+    def _end(self) -> _Node:
+        node = self.open.pop()
+        self.opened[node.tag] -= 1
+        node.last, node.stop = len(self.nodes) - 1, len(self.texts)
+        return node
+
+    def _first(self, kind: str, node: _Node) -> str | None:
+        """The text of the first element of a kind inside a node."""
+        places = self.kinds[kind, node.block]
+        at = bisect_right(places, node.place)
+        if at == len(places) or places[at] > node.last:
+            return None
+        inner = self.nodes[places[at]]
+        return "".join(self.texts[inner.start : inner.stop]).strip()
+
     @property
     def found(self) -> list[tuple[int, str, str]]:
-        titles = [(n.block, n.title, n.link.words()) for n in self.nodes if n.title and n.link and n.block >= 0]
-        first = list({(block, title): (block, title, value) for block, title, value in reversed(titles)}.values())
-        divs = [n for n in self.nodes if n.tag == "div" and n.row is not None and n.block >= 0 and n.label and n.value]
-        divs.sort(key=lambda n: (n.row, n.place))
-        return [*reversed(first), *[(n.block, n.label.words(), n.value.words()) for n in divs]]
+        titles: dict[tuple[int, str], str] = {}
+        divs = []
+        for n in self.nodes:
+            if n.block >= 0 and n.title and (n.block, n.title) not in titles and (link := self._first("link", n)) is not None:
+                titles[n.block, n.title] = link
+            if n.block >= 0 and n.tag == "div" and n.row is not None:
+                label, value = self._first("label", n), self._first("value", n)
+                if label is not None and value is not None:
+                    divs.append((n.row, n.place, n.block, label, value))
+        return [*[(b, t, v) for (b, t), v in titles.items()], *[d[2:] for d in sorted(divs)]]
 
 
 class _Tags(HTMLParser):

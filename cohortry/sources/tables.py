@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from cohortry.functions.text import share, thousands
 from cohortry.operators.filters import fully_known, other_factors, priced, text_filter
@@ -113,6 +114,12 @@ COUNTS = ["count_of_package_sold", "count_in_package", "sale_count", "units_per_
 AMOUNTS = ["sale_amount", "monetary_value"]
 
 
+#: Blanks around headers and cells count; quotes inside quotes are doubled. A file is one task only where quoted cells hold
+#: line ends (``multiline``).
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+REJECTED = "_rejected"
+
+
 def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
     """Known columns renamed, others as they are; counts become LONG and amounts DOUBLE."""
     df = df.withColumnsRenamed(names)
@@ -120,16 +127,50 @@ def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.withColumns(kinds | {c: F.col(c).cast("double") for c in AMOUNTS if c in df.columns})
 
 
-def read_table(spark: SparkSession, path: str | Sequence[str], names: dict[str, str]) -> DataFrame:
-    """Parquet, or CSV with a header whose blanks are kept; all CSV fields are read as text."""
+def csv_schema(spark: SparkSession, path: str, names: dict[str, str], required: Sequence[str] = (), multiline: bool = False) -> StructType:
+    """The schema of a file's own header: counts LONG, amounts DOUBLE, all else STRING, whatever the cells hold. A header
+    without one of the ``required`` columns (by our names) is an error."""
+    header = spark.read.options(**CSV, multiLine=multiline).csv(path).columns
+    lacking = sorted(set(required) - {names.get(c, c) for c in header})
+    if lacking:
+        raise ValueError(f"{path} has no column for {', '.join(lacking)}")
+    kinds = dict.fromkeys(COUNTS, LongType()) | dict.fromkeys(AMOUNTS, DoubleType())
+    return StructType([StructField(c, kinds.get(names.get(c, c), StringType())) for c in header])
+
+
+def read_checked(
+    spark: SparkSession, path: str, names: dict[str, str], required: Sequence[str] = (), multiline: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """The rows of a CSV file, or a folder of files of one header, that fit its schema, with our names; and what was
+    rejected: file, record (as it stands) and its first cell. A record is rejected if it has too few or too many cells, or
+    text where a count or an amount belongs; an empty cell is null."""
+    schema = csv_schema(spark, path, names, required, multiline)
+    texts = StructType([StructField(c, StringType()) for c in schema.names])
+    df = spark.read.schema(texts.add(REJECTED, StringType())).options(
+        **CSV, multiLine=multiline, mode="PERMISSIVE", columnNameOfCorruptRecord=REJECTED, columnPruning=False
+    ).csv(path)
+    # casts are made here, so that what is rejected doesn't depend on the columns that a query goes on to use
+    cells = {c: F.col(f"`{c}`") for c in schema.names}
+    typed = {f.name: cells[f.name].try_cast(f.dataType) for f in schema.fields if not isinstance(f.dataType, StringType)}
+    bad = F.col(REJECTED).isNotNull()
+    for c, value in typed.items():
+        bad = bad | (cells[c].isNotNull() & value.isNull())
+    rows = df.filter(~bad).select(*[typed.get(c, cells[c]).alias(names.get(c, c)) for c in schema.names])
+    record = F.coalesce(REJECTED, F.to_csv(F.struct(*cells.values()), {"escape": '"'}))
+    return rows, df.filter(bad).select(F.col("_metadata.file_path").alias("file"), record.alias("record"), cells[schema.names[0]].alias("first_cell"))
+
+
+def read_table(spark: SparkSession, path: str | Sequence[str], names: dict[str, str], multiline: bool = False) -> DataFrame:
+    """Parquet, or CSV with a header, read with the header's schema; a CSV record that doesn't fit it is an error."""
     paths = [path] if isinstance(path, str) else list(path)
-    if paths[0].rstrip("/").endswith(".csv"):
-        df = spark.read.csv(
-            paths, header=True, multiLine=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
-        )
-    else:
-        df = spark.read.parquet(*paths)
-    return renamed(df, names)
+    if not paths[0].rstrip("/").endswith(".csv"):
+        return renamed(spark.read.parquet(*paths), names)
+    out = None
+    for p in paths:  # each by its own header
+        schema = csv_schema(spark, p, names, multiline=multiline)
+        df = spark.read.schema(schema).options(**CSV, multiLine=multiline, mode="FAILFAST").csv(p).withColumnsRenamed(names)
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
 
 
 def read_sales(spark: SparkSession, path_1400: str, path_1399: str) -> tuple[DataFrame, DataFrame]:
@@ -138,10 +179,12 @@ def read_sales(spark: SparkSession, path_1400: str, path_1399: str) -> tuple[Dat
 
 def read_shipments(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """All parts in one table, without columns that no query uses; ``part`` is the number before the file's suffix."""
-    df = read_table(spark, paths, SHIPMENTS)
-    return df.withColumn("part", F.regexp_extract("_metadata.file_path", r"(\d+)\.\w+(?:/[^/]*)?$", 1).try_cast("int")).drop(
-        *SHIPMENT_EXTRAS
-    )
+    out = None
+    for path in paths:
+        place = F.regexp_extract("_metadata.file_path", r"(\d+)\.\w+(?:/[^/]*)?$", 1).try_cast("int")
+        df = read_table(spark, path, SHIPMENTS).withColumn("part", place)
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out.drop(*SHIPMENT_EXTRAS)
 
 
 def read_sales_2023(spark: SparkSession, path: str) -> DataFrame:
@@ -164,7 +207,8 @@ def read_patient_ages(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     newlines."""
     out = None
     for disease, path in paths.items():
-        df = spark.read.csv(path, header=True, multiLine=True, escape='"')
+        schema = csv_schema(spark, path, {}, ("Country", *AGE_BINS, "Age not known"), multiline=True)
+        df = spark.read.schema(schema).options(**CSV, multiLine=True).csv(path)
         total = next(c for c in df.columns if c.startswith("Total"))
         df = df.withColumnRenamed(total, "patients").withColumn("disease", F.lit(disease))
         out = df if out is None else out.unionByName(df)
@@ -179,14 +223,15 @@ def age_shares(ages: DataFrame) -> DataFrame:
 
 def read_pyramids(spark: SparkSession, paths: Sequence[str], drop_female: bool = True) -> DataFrame:
     """Population by age for the years in the files' names; the paths are given one by one."""
-    df = spark.read.csv(list(paths), header=True)
+    df = spark.read.schema("Age string, M string, F string").csv(list(paths), header=True, enforceSchema=False)
     df = df.withColumn("year", F.regexp_extract("_metadata.file_name", r"(\d{4})", 1).cast("int"))
     return clean_ages(df, drop_female)
 
 
 def read_prices(spark: SparkSession, path: str) -> DataFrame:
     """The price list; ``N/A`` is null."""
-    return spark.read.csv(path, header=True, nullValue="N/A", multiLine=True, escape='"')
+    schema = csv_schema(spark, path, {}, ("price", "english_name"))
+    return spark.read.schema(schema).options(**CSV, nullValue="N/A").csv(path)
 
 
 def factor_prices(prices: DataFrame) -> DataFrame:
