@@ -32,6 +32,7 @@ ORACLE_SQL = {
     "op8_host_rules": quality.ORACLE_SQL,
     "op9_circulant_minhash": minhash.ORACLE_SQL,
     "op10_keyword_secrets": secrets.ORACLE_SQL,
+    "op11_deletion_simhash": simhash.ORACLE_SQL,
     "op12_dual_tree": retrieval.ORACLE_SQL,
     "op13_trie_frontier": spelling.ORACLE_SQL,
 }

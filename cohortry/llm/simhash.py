@@ -132,3 +132,75 @@ def similar(docs: DataFrame) -> DataFrame:
 
 def op11_deletion_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(table(spark, sf_dir, "documents"))
+
+
+#: XXH64's constants.
+_P = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+_ALL = "18446744073709551616::UHUGEINT"
+
+
+def _mul(x: str, y: str | int) -> str:
+    return f"((({x})::UHUGEINT * ({y})::UHUGEINT) % {_ALL})::UBIGINT"
+
+
+def _add(*terms: str | int) -> str:
+    return f"(({' + '.join(f'({t})::UHUGEINT' for t in terms)}) % {_ALL})::UBIGINT"
+
+
+def _let(x: str, name: str, body: str) -> str:
+    return f"list_transform([{x}], lambda {name}: {body})[1]"
+
+
+def _turned(x: str, by: int) -> str:
+    return _let(x, "t", f"(((t::UHUGEINT * {1 << by}) % {_ALL}) + t // {1 << (64 - by)})::UBIGINT")
+
+
+def _round(acc: str, lane: str) -> str:
+    return _mul(_turned(_add(acc, _mul(lane, _P[1])), 31), _P[0])
+
+
+def _little(at: str, n: int) -> str:
+    """The number in n bytes from byte ``at`` of the hexadecimal text x, the last byte first."""
+    return "('0x' || " + " || ".join(f"x[2 * ({at}) + {2 * k + 1}:2 * ({at}) + {2 * k + 2}]" for k in reversed(range(n))) + ")::UBIGINT"
+
+
+def _stripes(start: int, at: int) -> str:
+    lanes = f"[{_little(f'32 * s + {8 * at}', 8)} FOR s IN range(n // 32)]"
+    return f"list_reduce(list_prepend({start % (1 << 64)}::UBIGINT, {lanes}), lambda a, l: {_round('a', 'l')})"
+
+
+def _mixed(h: str, shift: int, by: int | None) -> str:
+    out = _let(h, "m", f"xor(m, m >> {shift})")
+    return _mul(out, by) if by else out
+
+
+def _merged() -> str:
+    h = _add(*[_turned(f"v{k}", by) for k, by in zip("1234", (1, 7, 12, 18), strict=True)])
+    for k in "1234":
+        h = _add(_mul(f"xor({h}, {_round('0', f'v{k}')})", _P[0]), _P[3])
+    return h
+
+
+_BITS = ", ".join(f"sum((h >> {b}) & 1)::BIGINT AS b{b}" for b in range(64))
+_VALUE = " + ".join(f"(2 * coalesce(b{b}, 0) > n)::UHUGEINT * {1 << b}" for b in range(64))
+#: The hash is written out by its definition: four lanes for each 32 bytes, then the rest by 8, 4 and 1 bytes.
+ORACLE_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM w WHERE len(w) > 0)),
+x AS (SELECT g, hex(encode(g)) AS x, length(hex(encode(g))) // 2 AS n FROM (SELECT DISTINCT g FROM s)),
+v AS (SELECT *, {", ".join(f"{_stripes(start, k)} AS v{k + 1}" for k, start in enumerate((SEED + _P[0] + _P[1], SEED + _P[1], SEED, SEED - _P[0])))} FROM x),
+h1 AS (SELECT g, x, n, {_add(f"CASE WHEN n >= 32 THEN {_merged()} ELSE {SEED + _P[4]} END", "n")} AS h FROM v),
+h2 AS (SELECT g, x, n, list_reduce(list_prepend(h, [{_little('32 * (n // 32) + 8 * j', 8)} FOR j IN range((n % 32) // 8)]),
+       lambda h, l: {_add(_mul(_turned(f"xor(h, {_round('0', 'l')})", 27), _P[0]), _P[3])}) AS h FROM h1),
+h3 AS (SELECT g, x, n, CASE WHEN n % 8 >= 4 THEN {_add(_mul(_turned(f"xor(h, {_mul(_little('8 * (n // 8)', 4), _P[0])})", 23), _P[1]), _P[2])} ELSE h END AS h FROM h2),
+h4 AS (SELECT g, list_reduce(list_prepend(h, [{_little('4 * (n // 4) + j', 1)} FOR j IN range(n % 4)]),
+       lambda h, l: {_mul(_turned(f"xor(h, {_mul('l', _P[4])})", 11), _P[0])}) AS h FROM h3),
+h5 AS (SELECT g, {_mixed(_mixed(_mixed("h", 33, _P[1]), 29, _P[2]), 32, None)} AS h FROM h4),
+b AS (SELECT doc_id, count(*) AS n, {_BITS} FROM s JOIN h5 USING (g) GROUP BY doc_id),
+f AS (SELECT w.doc_id, coalesce(({_VALUE})::UBIGINT, 0::UBIGINT) AS f FROM w LEFT JOIN b USING (doc_id)),
+c AS (SELECT f, min(doc_id) AS doc FROM f GROUP BY f),
+e AS (SELECT p.doc AS a, q.doc AS b FROM c p JOIN c q ON p.f <> q.f AND bit_count(xor(p.f, q.f)::HUGEINT) <= 2),
+r(a, b) AS (SELECT doc, doc FROM c UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT f.doc_id, lpad(lower(hex(f.f)), 16, '0') AS fingerprint, component_id FROM f JOIN c USING (f) JOIN m ON a = c.doc
+"""
