@@ -12,7 +12,7 @@ from cohortry.functions import text
 from cohortry.operators import matrix, paths
 from cohortry.operators.filters import in_states
 from cohortry.sources import dimensions as dim
-from cohortry.sources import html_fields, sinks, tables
+from cohortry.sources import html_fields, scenarios, sinks, tables
 
 EVENT_STATES = {
     "view": dim.NO_BLEED, "click": dim.MINOR, "error": dim.MAJOR, "purchase": dim.LIFE_THREATENING, "signup": dim.INHIBITOR,
@@ -300,13 +300,12 @@ UNION ALL SELECT regime, stage, state, 'start' FROM f WHERE state IS NOT NULL
 
 def kept_transitions(spark: SparkSession, d: str) -> DataFrame:
     """A stored table that has all states is kept as it is; one that lacks a state is built anew."""
-    states = dim.stage_states(spark).filter("stage = 'early'")
-    stored, new = _grid(spark, d), matrix.normalise_rows(_grid(spark, d), KEYS, matrix.repair_policy(spark))
-    whole = matrix.stored_or_new(stored.filter("regime = 'on_demand'"), new.filter("regime = 'on_demand'"), states)
-    lacking = stored.filter("regime = 'prophylaxis'").filter(F.col("to_state") != dim.SURGERY)
-    anew = matrix.stored_or_new(lacking, new.filter("regime = 'prophylaxis'"), states)
-    cells = ["regime", "from_state", "to_state"]
-    return whole.select(*cells, "prob").union(anew.select(*cells, "prob")).select(*cells, F.round("prob", 8).alias("prob"))
+    two = F.broadcast(spark.createDataFrame([("on_demand",), ("prophylaxis",)], "regime string"))
+    states = dim.stage_states(spark).filter("stage = 'early'").crossJoin(two)
+    grid = _grid(spark, d)
+    stored = grid.filter((F.col("regime") == "on_demand") | (F.col("to_state") != dim.SURGERY))
+    out = scenarios.kept_or_new(stored, matrix.normalise_rows(grid, KEYS, matrix.repair_policy(spark)), states, KEYS)
+    return out.select("regime", "from_state", "to_state", F.round("prob", 8).alias("prob"))
 
 
 KEPT_TRANSITIONS = f"""
