@@ -5,7 +5,7 @@ up by their rank in their conversation; the prompt ends before the first rank wh
 no turn. It is rendered once. A completion's mask lists the code-point spans, counted from the completion's start, that
 a loss may use: the text and end mark of assistant turns. Lengths are running sums, so work is in proportion to turns.
 
-Edge cases: a null role or text is an empty string; turns of one side that share their number are ordered by role and
+Edge cases: turns of any length are rendered whole; a null role or text is an empty string; turns of one side that share their number are ordered by role and
 text; a pair that lacks a side has an empty prompt and one empty completion; equal sides have a whole prompt and two
 empty completions; a turn that repeats counts each time; a null turn number comes first; rows with a null pair_id or
 side are left out; an empty table gives no pair; other columns are ignored, whatever their names. A conversation is one string in the end, so its turns meet in one row, as they do in a text.

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words between white space, and words of ASCII letters, digits and every non-ASCII code point.
@@ -47,6 +47,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores if it is read in less than half as many pieces: a small table, or one large file, would
+    keep most cores idle. A table of more pieces is left as it is, so large ones aren't shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
+def measured(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """``written``, and aggregates of the rows that the job which writes them takes on the way."""
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    out = written(df.observe(seen, *[m.alias(n) for n, m in measures.items()]), name)
+    return out, seen.get
+
+
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``written``, and the number of rows."""
+    out, found = measured(df, name, n=F.count(F.lit(1)))
+    return out, found["n"]
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -10,7 +10,7 @@ by hash; what is left carries its words and is compared with the window word by
 Windows are looked up in parts of ``PART`` prefixes, each broadcast for one pass over the texts; a benchmark of more
 windows costs more passes, in the same way. No text or array of words is shuffled.
 
-Edge cases: a null text or one without words has no hits; a null or wordless item has no windows; an empty benchmark
+Edge cases: a text of any length is read whole; a null text or one without words has no hits; a null or wordless item has no windows; an empty benchmark
 leaves every document clean; an item that occurs twice with the same id counts once; each row of a repeated document is
 reported; a null item_id isn't listed. Only doc_id and text, item_id and text are read.
 """

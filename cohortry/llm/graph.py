@@ -5,20 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import discard, written
+from cohortry.llm.common import discard, measured
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of the edges (a, b); the component is the smallest node that can be reached.
 
     Every step is two aggregates by key and two joins, and its edges are written to the shared folder, so neither
-    lineage nor the driver holds the graph. Steps end when the edges stay as they are; their number grows with the
+    lineage nor the driver holds the graph; their number and checksum are taken as they are written. Steps end when the edges stay as they are; their number grows with the
     logarithm of the longest chain. Nulls and self-loops are left out; an empty table gives no node.
     """
-    now = written(
-        edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-0"
-    )
-    state = _state(now)
+    now, state = _held(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), 0)
     step = 0
     while state[0]:
         step += 1
@@ -31,9 +28,9 @@ def components(edges: DataFrame) -> DataFrame:
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             least.select(F.col("k").alias("u"), F.col("m").alias("v"))
         )
-        before, now = now, written(small.distinct(), f"cc-{step}")
+        before = now
+        now, new = _held(small, step)
         discard(before)
-        new = _state(now)
         if new == state:
             break
         state = new
@@ -41,8 +38,9 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
-def _state(edges: DataFrame) -> tuple[int, int, int]:
+def _held(edges: DataFrame, step: int) -> tuple[DataFrame, tuple[int, int, int]]:
     h = F.xxhash64("u", "v")
-    low, high = h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftright(h, 32)
-    r = edges.agg(F.count("*"), F.coalesce(F.sum(low), F.lit(0)), F.coalesce(F.sum(high), F.lit(0))).first()
-    return r[0], r[1], r[2]
+    parts = {"low": h.bitwiseAND(F.lit(0xFFFFFFFF)), "high": F.shiftright(h, 32)}
+    sums = {n: F.coalesce(F.sum(x), F.lit(0)) for n, x in parts.items()}
+    out, found = measured(edges.distinct(), f"cc-{step}", n=F.count(F.lit(1)), **sums)
+    return out, (found["n"], found["low"], found["high"])

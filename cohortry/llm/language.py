@@ -5,7 +5,7 @@ layer, softmax. It learns from a bounded sample of labelled rows (``SAMPLE`` win
 share for each language, so that a rare one is learned however large the table is) and reads every window of every text.
 A document's logits are the mean over its windows, each weighing as many bytes as it holds.
 
-Edge cases: a null text or one without a letter (Unicode category L) is ``und`` with score 0; without any labelled
+Edge cases: a text of any length is read whole, window by window; a null text or one without a letter (Unicode category L) is ``und`` with score 0; without any labelled
 training row every text is ``und``; with more than ``SAMPLE`` languages the sample has one row of each; rows with a null
 doc_id aren't learned from and aren't held out; repeated rows get equal predictions; the new columns replace columns of
 the same name.

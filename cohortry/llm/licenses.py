@@ -11,7 +11,7 @@ agreeing starts puts them (six digits), so a template with words put in between
 Base phrases are indexed under their rarest word in the same way and compared at each of its places, so all of their
 places are found.
 
-Edge cases: a null or empty text has no words and no labels; overlapping places all count; repeated rows each get
+Edge cases: a null or empty text has no words and no labels; a text of any length is scanned whole; overlapping places all count; repeated rows each get
 their result; an empty table gives an empty table; only doc_id and text are read.
 """
 

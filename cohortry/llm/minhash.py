@@ -17,7 +17,7 @@ with about 1e-6.
 
 Edge cases: a null text, or one without words, has an empty set and stays alone; a text of fewer than five words is one
 shingle; rows with a null doc_id stay alone with a null component and are kept; an empty table gives an empty table;
-repeated rows are copies of each other. Only doc_id and text are read.
+repeated rows are copies of each other; the longest text's shingles are held in one task. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import table, written
+from cohortry.llm.common import counted, spread, table, written
 from cohortry.llm.graph import components
 
 SHINGLE = 5
@@ -132,7 +132,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 names=fields,
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, schema)
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(sign, schema)
 
 
 def _differ(a: str, b: str) -> Column:
@@ -145,8 +145,8 @@ def _screen(a: str, b: str) -> Column:
     return (_differ(a, b) <= MOST_BITS) & (100 * F.least(x, y) >= PERCENT * F.greatest(x, y))
 
 
-def _left_over(rest: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes in different components that may still be linked.
+def _left_over(rest: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """Pairs (a, b) of classes in different components that may still be linked; None if no class is left for it.
 
     ``rest`` has the members (key, own, main, many, m) of keys that hold more than one component. Classes outside the
     largest component that have a screened partner, and those partners, are compared by a prefix join (of keys that are
@@ -163,8 +163,10 @@ def _left_over(rest: DataFrame, docs: DataFrame) -> DataFrame:
     near = y.join(x, fits, "left_semi").select(F.col("y.doc").alias("doc"), F.col("yo").alias("own"), F.lit(0).alias("apart"))
     unscreened = many.select(F.col("m.doc").alias("doc"), "own", (F.col("own") != F.col("main")).cast("int").alias("apart"))
     every = others.union(near).union(unscreened)
-    some = written(every.groupBy("doc", "own").agg(F.max("apart").alias("apart")), "near-some")
-    ids = F.broadcast(some) if some.count() <= MOST_IDS else some
+    some, n = counted(every.groupBy("doc", "own").agg(F.max("apart").alias("apart")), "near-some")
+    if not n:  # no key has a class that comes near another component
+        return None
+    ids = F.broadcast(some) if n <= MOST_IDS else some
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("doc")).select("doc", "own", "apart", "text")
 
     def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,10 +209,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     Texts of documents without a candidate are dropped before any shuffle: their ids are broadcast while they are no
     more than ``MOST_IDS``, beyond that joined.
     """
-    ids = written(
+    ids, n = counted(
         pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "near-ids"
     )
-    few = F.broadcast(ids) if ids.count() <= MOST_IDS else ids
+    few = F.broadcast(ids) if n <= MOST_IDS else ids
     texts = docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("id"), "left_semi")
     ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
@@ -288,9 +290,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "own")).alias("top"), F.count("*").alias("c"), F.sum("n").alias("all"))
     many = (F.col("all") - F.col("top.n")) * F.col("all") > MOST_SCREENED
     mixed = mixed.filter("c > 1").select("key", F.col("top.own").alias("main"), many.alias("many"))
-    rest = written(known.join(mixed, "key").select("key", "own", "main", "many", mine.alias("m")), "near-rest")
-    second = written(_left_over(rest, docs), "near-second")
-    if second.isEmpty():
+    rest, n_rest = counted(known.join(mixed, "key").select("key", "own", "main", "many", mine.alias("m")), "near-rest")
+    pairs = _left_over(rest, docs) if n_rest else None
+    second, n_second = (None, 0) if pairs is None else counted(pairs, "near-second")
+    if not n_second:
         final = labels
     else:
         found = written(confirmed(second, docs), "near-more")

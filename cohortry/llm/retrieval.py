@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import PLAIN_BYTES, plain_words, table, written
+from cohortry.llm.common import PLAIN_BYTES, plain_words, spread, table, written
 
 TOP = 10
 #: Terms of items (repeats not counted) that are searched in one pass.
@@ -66,7 +66,7 @@ def forward_index(docs: DataFrame, terms: list[str]) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), *lists], names=names)
 
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    read = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     return read.mapInArrow(count, "doc_id long, n long, ids array<int>, tfs array<long>").filter("n > 0")
 
 

@@ -10,7 +10,7 @@ check of itself is reported only if that holds:
 ``jwt``     web tokens whose first two parts are JSON objects, the first with ``alg``
 ``key``     private keys in PEM whose bytes are as long as their own outer length says, or start as OpenSSH keys do
 
-Offsets are code points, ends exclusive; spans of one kind don't overlap. Edge cases: a null or empty text has no span;
+Offsets are code points, ends exclusive; spans of one kind don't overlap. Edge cases: a text of any length is scanned whole; a null or empty text has no span;
 repeated rows each get theirs; an empty table gives an empty table; only doc_id and text are read.
 """
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import table, written
+from cohortry.llm.common import counted, spread, table, written
 from cohortry.llm.graph import components
 
 SHINGLE = 3
@@ -72,7 +72,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 out[k] = powers[2 * counts > n].sum(dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out.view(np.int64))], names=["doc_id", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, bits long")
+    read = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return read.mapInArrow(sign, "doc_id long, bits long")
 
 
 def segment_variants(prints: DataFrame) -> DataFrame:
@@ -91,11 +92,11 @@ def _near(a: str, b: str) -> Column:
 def links(prints: DataFrame, many: int = MANY) -> DataFrame:
     """Links (a, b) that connect all of the different fingerprints ``bits`` that differ in ``DISTANCE`` places at most."""
     index = segment_variants(prints)
-    counted = index.groupBy("variant").agg(F.count("*").alias("n"), F.min("bits").alias("a"), F.max("bits").alias("b"))
-    shared = written(counted.filter("n > 1"), "sim-shared")
+    sums = index.groupBy("variant").agg(F.count("*").alias("n"), F.min("bits").alias("a"), F.max("bits").alias("b"))
+    shared, n_shared = counted(sums.filter("n > 1"), "sim-shared")
     twos = shared.filter("n = 2").select("a", "b")
     large = shared.filter("n > 2").select("variant", "n")
-    large = F.broadcast(large) if shared.count() <= MOST_SHARED else large
+    large = F.broadcast(large) if n_shared <= MOST_SHARED else large
     members = written(index.join(large, "variant"), "sim-members")
 
     few = members.filter(F.col("n") <= many).select("variant", "bits")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import discard, table, written
+from cohortry.llm.common import discard, spread, table, written
 
 LEAST_LENGTH, LEAST_COUNT = 5, 3
 #: A run whose checksum this number divides loses a letter.
@@ -75,7 +75,7 @@ def run_counts(docs: DataFrame) -> DataFrame:
                     totals = Counter()
         yield _rows(totals)
 
-    read = docs.select(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias("name"), "text")
+    read = spread(docs.select(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias("name"), "text"))
     return read.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -147,7 +147,7 @@ def trie_walks(words: DataFrame, longest: int) -> DataFrame:
                         rows = []
             yield _table(rows)
 
-    return words.select("word").mapInArrow(walk, ", ".join(f"{f.name} {_KINDS[str(f.type)]}" for f in _WALK))
+    return spread(words.select("word")).mapInArrow(walk, ", ".join(f"{f.name} {_KINDS[str(f.type)]}" for f in _WALK))
 
 
 _WALK = pa.schema([

@@ -10,7 +10,7 @@ It learns from a bounded sample: at most ``PER_CLASS`` labelled ids of either la
 of them gives the lexicon, the other half the curve, weighted to the true share of labels. Every term that passes the
 thresholds is in the lexicon.
 
-Edge cases: a null or empty text scores as one without hits; without labelled rows of both classes the short list and a
+Edge cases: a text of any length is scanned whole; a null or empty text scores as one without hits; without labelled rows of both classes the short list and a
 fixed curve are used; rows whose label or doc_id is null aren't learned from; an id with both labels counts for each, an
 equal label of one id once; of several texts of one id the one of the smallest hash is learned from; repeated rows get
 equal scores; other columns are ignored.
