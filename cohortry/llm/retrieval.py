@@ -37,9 +37,10 @@ TOP = 10
 PART = 200_000
 #: Documents of the first search, about.
 FIRST = 4_096
-LEAF, ITEMS, FAN = 16, 4, 4
+#: Documents and items of a leaf, and nodes below a node.
+LEAF, ITEMS, FAN = 8, 1, 4
 #: Leaves of a block at most, and numbers of their maxima at most.
-LEAVES, CELLS = 256, 8_000_000
+LEAVES, CELLS = 512, 8_000_000
 NO_ID = (1 << 63) - 1
 
 
