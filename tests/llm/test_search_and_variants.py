@@ -9,13 +9,14 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from cohortry.llm import retrieval, simhash, spelling
+from cohortry.llm import common, retrieval, simhash, spelling
 from tests.llm.cases import BASE, documents, lowered, plain, spaced
 
-
 # fingerprints
 
+
 def plain_print(text):
     w = spaced(lowered(text))
     if not w:
@@ -324,3 +325,18 @@ def test_frontier_meets_a_neighbour_once(spark):
     pairs = [tuple(sorted((r.a, r.b))) for r in got]
     assert len(set(pairs)) == len(pairs)
     assert set(pairs) == {(a, b) for a in words for b in words if a < b and one_edit(a, b)}
+
+
+def test_only_tables_in_few_pieces_are_spread(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert common.spread(spark.range(100, numPartitions=1)).rdd.getNumPartitions() == cores
+    many = spark.range(100, numPartitions=cores)
+    assert common.spread(many) is many
+
+
+def test_rows_are_counted_as_they_are_written(spark):
+    for n in (0, 7):
+        out, found = common.counted(spark.range(n), "counted")
+        assert found == n == out.count()
+    out, found = common.measured(spark.range(5), "measured", most=F.max("id"), n=F.count("*"))
+    assert found == {"most": 4, "n": 5} and out.columns == ["id"]
