@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortry.functions import text
 from cohortry.operators import matrix, paths
 from cohortry.operators.filters import in_states
 from cohortry.sources import dimensions as dim
@@ -367,11 +366,9 @@ FROM b JOIN tr USING (regime)
 
 def page_titles(spark: SparkSession, d: str) -> DataFrame:
     """Title, heading and first link text of each page."""
-    found = html_fields.label_values(_t(spark, d, "pages"), ["title", "h1", "a"])
-    first = found.withColumn("pos", -F.col("pos"))
-    # the shortest label last: it is a part of none of the others here, but a rule takes the first that fits
-    out = html_fields.records(first, (("title", "title"), ("h1", "heading"), ("a", "link")), ())
-    return out.select("page_id", *[text.stripped(F.col(c)).alias(c) for c in ("title", "heading", "link")])
+    html, names = F.col("html"), {"title": "title", "h1": "heading", "a": "link"}
+    pages = _t(spark, d, "pages").filter(html_fields.has_tag(html, list(names)))
+    return pages.select("page_id", *[html_fields.first_text(html, tag).alias(name) for tag, name in names.items()])
 
 
 def _first_text(tag: str) -> str:

@@ -56,3 +56,26 @@ def test_query(spark, duck, name):
     rows = want.fetchall()
     assert sorted(df.columns) == sorted(names)
     assert cells(got, df.columns) == cells(rows, names)
+
+
+def test_page_titles_equal_their_sql_on_odd_pages(spark, tmp_path):
+    pages = {
+        "<title>R&amp;amp;D &lt;b&gt; &amp</title><h1>cut&amp</h1><a>&eacute; &#65; &lt &nbsp</a>": ("R&amp;D <b> &amp", "cut&amp", "&eacute; &#65; &lt &nbsp"),
+        "<TITLE>upper</TITLE><title>lower</title><h1>\u2003x\x0b\u00a0</h1><a\x0b>y</a>": ("lower", "\u2003x\x0b", "N/A"),
+        "<h1>open <b>text<a>out<a href='>'>in</a></a>": ("N/A", "", "out'>in"),
+        "<!-- <title>note</title> --><title>real</title><h1/><h1>a < b</h1><a": ("note", "a < b", "N/A"),
+        "<h1><title>x</h1>y <i\n>z</title><abbr>no link</abbr>": ("xy z", "x", "N/A"),
+        "<a <h1 <title": ("N/A", "N/A", "N/A"),
+        "<b>none</b>": None, "": None, None: None,
+    }
+    # one key twice and a null key: each page is a row
+    rows = [((1, 1, None)[k] if k < 3 else k, "u", html) for k, html in enumerate(pages)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    df = registry.QUERIES["page_titles"](spark, str(tmp_path))
+    got = df.collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(registry.ORACLE_SQL["page_titles"])
+    names = [d[0] for d in want.description]
+    assert cells(got, df.columns) == cells(want.fetchall(), names)
+    assert Counter(map(tuple, got)) == Counter((key, *pages[html]) for key, _, html in rows if pages[html])
